@@ -114,7 +114,7 @@ starts AS (
 pos AS (
   SELECT f.fold, f.id, s.start, s.g, s.n, row_number() OVER (PARTITION BY f.fold, f.project, f.file_name, f.function_name ORDER BY md5(concat('row:', id)), id) AS r
   FROM folded f JOIN starts s USING (fold, project, file_name, function_name)),
-at AS (SELECT fold, start + r - 1 AS at, id AS id_b FROM pos),
+seats AS (SELECT fold, start + r - 1 AS seat, id AS id_b FROM pos),
 draws AS (
   SELECT *, ('0x' || substr(md5(concat('+:', epoch, ':', id)), 1, 8))::bigint AS hp, ('0x' || substr(md5(concat('-:', epoch, ':', id)), 1, 8))::bigint AS hn FROM pos, (SELECT unnest(range(0, {EPOCHS})) AS epoch)),
 places AS (
@@ -124,7 +124,7 @@ places AS (
 
 def _pairs_sql(side: str, need: str) -> str:
     col, y = {"p": ("p", 1), "q": ("q", -1)}[side]
-    return f"SELECT l.fold, cast(epoch AS int) AS epoch, id AS id_a, id_b, {y} AS y FROM places l JOIN at a ON l.fold = a.fold AND l.{col} = a.at WHERE {need}"
+    return f"SELECT l.fold, cast(epoch AS int) AS epoch, id AS id_a, id_b, {y} AS y FROM places l JOIN seats a ON l.fold = a.fold AND l.{col} = a.seat WHERE {need}"
 
 
 BOTH = f"{_pairs_sql('p', 'p IS NOT NULL AND q IS NOT NULL')} UNION ALL {_pairs_sql('q', 'p IS NOT NULL AND q IS NOT NULL')}"

@@ -162,7 +162,17 @@ def _dispatch(points: DataFrame, ks: DataFrame, local: Callable, large: Callable
 
 
 def _blocks(sized: DataFrame, block: int) -> DataFrame:
-    return sized.withColumn("__block", F.pmod(F.xxhash64("index"), F.ceil(F.col("__n") / block)).cast("int"))
+    """Large problems cut into blocks, placed by block once; the rounds then move only the other side."""
+    n = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = sized.withColumn("__block", F.pmod(F.xxhash64("index"), F.ceil(F.col("__n") / block)).cast("int"))
+    return cut(cells.repartition(n, "problem", "__block"))
+
+
+def _meet(pts: DataFrame, other: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``fn(rows of a block, rows of ``other`` for its problem)`` for every block."""
+    cells = pts.select(F.col("problem").alias("__p"), F.col("__block").alias("__b")).distinct()
+    there = cells.join(other.withColumnRenamed("problem", "__p"), "__p")
+    return pts.groupBy("problem", "__block").cogroup(there.groupBy("__p", "__b")).applyInPandas(fn, schema)
 
 
 def _sample(sized: DataFrame, m: int) -> DataFrame:
@@ -231,7 +241,6 @@ def kmeans(points: DataFrame, ks: DataFrame, iterations: int = ITERATIONS, block
 def _kmeans_large(sized: DataFrame, iterations: int, block: int) -> DataFrame:
     """Lloyd rounds: every block assigns its rows and returns k partial sums."""
     pts = _blocks(sized, block)
-    blocks = pts.select("problem", "__block").distinct()
     types = dict(sized.dtypes)
     centers = cut(seed_centers(sized, sized.select("problem", "k").distinct()))
 
@@ -247,11 +256,8 @@ def _kmeans_large(sized: DataFrame, iterations: int, block: int) -> DataFrame:
         near = _sq_dist(_matrix(p["x"]), _matrix(c["center"])).argmin(1)
         return pd.DataFrame({"problem": p["problem"], "index": p["index"], "cluster": near})
 
-    def meet(fn, schema: str, centers: DataFrame) -> DataFrame:
-        return pts.groupBy("problem", "__block").cogroup(blocks.join(centers, "problem").groupBy("problem", "__block")).applyInPandas(fn, schema)
-
     for _ in range(iterations):
-        part = meet(sums, f"problem {types['problem']}, c int, s array<double>, n long", centers)
+        part = _meet(pts, centers, sums, f"problem {types['problem']}, c int, s array<double>, n long")
         mean = part.groupBy("problem", "c").agg(_vector_sum("s").alias("s"), F.sum("n").alias("n")).select(
             "problem", "c", F.transform("s", lambda v: v / F.col("n")).alias("new")
         )
@@ -261,7 +267,7 @@ def _kmeans_large(sized: DataFrame, iterations: int, block: int) -> DataFrame:
         centers = moved.select("problem", "c", F.col("new").alias("center"))
         if done is None or done <= 1e-9:
             break
-    return _renumber(meet(labels, f"problem {types['problem']}, index {types['index']}, cluster int", centers))
+    return _renumber(_meet(pts, centers, labels, f"problem {types['problem']}, index {types['index']}, cluster int"))
 
 
 # ---- spectral -----------------------------------------------------------------------------------
@@ -292,7 +298,6 @@ def multiview_spectral(
 
 def _spectral_large(sized: DataFrame, cols: list[str], gamma: float, iterations: int, block: int, m: int) -> DataFrame:
     pts = _blocks(sized, block)
-    blocks = pts.select("problem", "__block").distinct()
     t = dict(sized.dtypes)
     marks = cut(_sample(sized, m).select("problem", F.col("index").alias("mark"), *cols))
 
@@ -306,13 +311,10 @@ def _spectral_large(sized: DataFrame, cols: list[str], gamma: float, iterations:
             out.append(np.exp(-gamma * _sq_dist(_matrix(p[c]), z)) @ root)
         return out
 
-    def meet(fn, other: DataFrame, schema: str) -> DataFrame:
-        return pts.groupBy("problem", "__block").cogroup(blocks.join(other, "problem").groupBy("problem", "__block")).applyInPandas(fn, schema)
-
     def column_sums(p: pd.DataFrame, lm: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"problem": [p["problem"].iloc[0]], "s": [np.concatenate([f.sum(0) for f in kernel(p, lm)])]})
 
-    total = meet(column_sums, marks, f"problem {t['problem']}, s array<double>").groupBy("problem").agg(_vector_sum("s").alias("s"))
+    total = _meet(pts, marks, column_sums, f"problem {t['problem']}, s array<double>").groupBy("problem").agg(_vector_sum("s").alias("s"))
     with_sums = cut(marks.join(total, "problem"))
 
     def features(p: pd.DataFrame, lm: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +328,7 @@ def _spectral_large(sized: DataFrame, cols: list[str], gamma: float, iterations:
         z, _ = features(p, lm)
         return pd.DataFrame({"problem": p["problem"].iloc[0], "r": range(z.shape[1]), "g": list(z.T @ z)})
 
-    g = meet(gram, with_sums, f"problem {t['problem']}, r int, g array<double>").groupBy("problem", "r").agg(_vector_sum("g").alias("g"))
+    g = _meet(pts, with_sums, gram, f"problem {t['problem']}, r int, g array<double>").groupBy("problem", "r").agg(_vector_sum("g").alias("g"))
 
     def basis(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
@@ -345,7 +347,7 @@ def _spectral_large(sized: DataFrame, cols: list[str], gamma: float, iterations:
         b = _matrix([row["b"] for row in lm["basis"].iloc[0]])
         return pd.DataFrame({"problem": p["problem"], "index": p["index"], "x": list((z @ b) / d[:, None] * np.sqrt(p["__n"].iloc[0]))})
 
-    rows = cut(meet(embed, ready, f"problem {t['problem']}, index {t['index']}, x array<double>"))
+    rows = cut(_meet(pts, ready, embed, f"problem {t['problem']}, index {t['index']}, x array<double>"))
     return kmeans(rows, ks, iterations, block)
 
 
@@ -436,7 +438,7 @@ def _nearest_clusters(state: DataFrame, block: int, t: dict[str, str]) -> DataFr
     nb = F.ceil(F.col("m") / block).cast("int")
     base = state.withColumn("__own", F.pmod(F.xxhash64("cid"), nb).cast("int")).withColumn("__all", F.sequence(F.lit(0), nb - 1))
     left = base.select("problem", "cid", "s", "w", F.col("__own").alias("i"), F.explode("__all").alias("j"))
-    right = base.select("problem", "cid", "s", "w", F.col("__own").alias("j"), F.explode("__all").alias("i"))
+    right = base.select(F.col("problem").alias("__p"), "cid", "s", "w", F.col("__own").alias("__j"), F.explode("__all").alias("__i"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = ["problem", "cid", "other", "sim"]
@@ -449,7 +451,7 @@ def _nearest_clusters(state: DataFrame, block: int, t: dict[str, str]) -> DataFr
         got = pd.DataFrame({"problem": a["problem"], "cid": a["cid"], "other": b["cid"].to_numpy()[best], "sim": sim[np.arange(len(a)), best]}, columns=cols)
         return got[np.isfinite(got["sim"])]
 
-    pairs = left.groupBy("problem", "i", "j").cogroup(right.groupBy("problem", "i", "j")).applyInPandas(
+    pairs = left.groupBy("problem", "i", "j").cogroup(right.groupBy("__p", "__i", "__j")).applyInPandas(
         run, f"problem {t['problem']}, cid {t['index']}, other {t['index']}, sim double"
     )
     # smallest (-sim, other): highest similarity first, then the smaller id

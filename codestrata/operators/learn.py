@@ -6,10 +6,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import Interaction
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from codestrata.session import cut
 
 MAX_PROBLEMS = 1000  # library estimators are fitted one problem at a time
 MAX_LABELS = 10000
+MAX_WEIGHTS = 4_000_000  # weights of one linear model, held by the driver while it is fitted
+PARALLEL_FITS = 8
 
 
 def nearest_centroid(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -37,31 +42,38 @@ def nearest_centroid(train: DataFrame, test: DataFrame) -> DataFrame:
     return hit.select("problem", "index", best["label"].alias("pred"))
 
 
-def _per_problem(train: DataFrame, test: DataFrame, fit: Callable[[DataFrame, int], object]) -> DataFrame:
-    """Fit one distributed model per problem. The list of problems and labels is small and checked."""
-    train = cut(train.select("problem", "label", array_to_vector(as_double(F.col("x"))).alias("features")))
-    test = cut(test.select("problem", "index", array_to_vector(as_double(F.col("x"))).alias("features")))
+def _label_lists(train: DataFrame) -> dict:
+    """Sorted labels per problem. The list is fetched, so its size is checked first."""
     pairs = train.select("problem", "label").distinct().limit(MAX_LABELS + 1).collect()
     names: dict = {}
     for r in pairs:
         names.setdefault(r["problem"], []).append(r["label"])
     if len(pairs) > MAX_LABELS or len(names) > MAX_PROBLEMS:
-        raise ValueError("too many problems for one fit per problem; use nearest_centroid")
-    out = None
-    for problem, labels in sorted(names.items()):
-        labels = sorted(labels)
+        raise ValueError("too many problems for library estimators; use nearest_centroid")
+    return {p: sorted(v) for p, v in sorted(names.items())}
+
+
+def _per_problem(train: DataFrame, test: DataFrame, fit: Callable[[DataFrame, int], object]) -> DataFrame:
+    """Fit one distributed model per problem; a few problems are fitted at the same time."""
+    train = cut(train.select("problem", "label", array_to_vector(as_double(F.col("x"))).alias("features")))
+    test = cut(test.select("problem", "index", array_to_vector(as_double(F.col("x"))).alias("features")))
+    names = _label_lists(train)
+
+    def one(problem) -> DataFrame:
+        labels = names[problem]
         there = test.filter(F.col("problem") == problem)
         if len(labels) == 1:
-            got = there.select("problem", "index", F.lit(labels[0]).alias("pred"))
-        else:
-            array = F.array(*[F.lit(x) for x in labels])
-            rows = train.filter(F.col("problem") == problem).withColumn("y", (F.array_position(array, F.col("label")) - 1).cast("double"))
-            model = fit(rows.select("features", "y"), len(labels))
-            got = model.transform(there).select("problem", "index", F.get(array, F.col("prediction").cast("int")).alias("pred"))
-        out = got if out is None else out.unionByName(got)
-    if out is None:
+            return there.select("problem", "index", F.lit(labels[0]).alias("pred"))
+        array = F.array(*[F.lit(x) for x in labels])
+        rows = train.filter(F.col("problem") == problem).withColumn("y", (F.array_position(array, F.col("label")) - 1).cast("double"))
+        model = fit(rows.select("features", "y"), len(labels))
+        return model.transform(there).select("problem", "index", F.get(array, F.col("prediction").cast("int")).alias("pred"))
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        parts = pool.map(one, names)
+    if not parts:
         return test.select("problem", "index", F.lit(None).cast("string").alias("pred"))
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def random_forest(train: DataFrame, test: DataFrame, trees: int = 100, seed: int = 42) -> DataFrame:
@@ -71,17 +83,25 @@ def random_forest(train: DataFrame, test: DataFrame, trees: int = 100, seed: int
 def boosted_trees(train: DataFrame, test: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame:
     def fit(rows: DataFrame, n: int):
         one = GBTClassifier(maxIter=rounds, seed=seed, labelCol="y")
-        return one.fit(rows) if n == 2 else OneVsRest(classifier=one, labelCol="y").fit(rows)
+        return one.fit(rows) if n == 2 else OneVsRest(classifier=one, labelCol="y", parallelism=n).fit(rows)
 
     return _per_problem(train, test, fit)
 
 
-def rbf_svm(train: DataFrame, test: DataFrame, features: int = 256, seed: int = 42) -> DataFrame:
-    """Linear SVM, one against the rest, on random Fourier features of the RBF kernel (gamma = 1 / (d var))."""
-    flat = train.select(F.explode(as_double(F.col("x"))).alias("v"))
-    var = flat.agg(F.var_pop("v")).first()[0] or 1.0
-    head = train.select(F.size("x").alias("d")).first()
-    d = head["d"] if head else 1
+def rbf_svm(train: DataFrame, test: DataFrame, features: int = 256, reg: float = 0.001, seed: int = 42) -> DataFrame:
+    """Linear SVM, one against the rest, on random Fourier features of the RBF kernel (gamma = 1 / (d var)).
+
+    Every problem owns one block of a sparse feature vector, so the weights of the
+    problems do not interact and one fit per label position serves all problems. Rows
+    weigh 1 / (rows of their problem), which gives every problem the same penalty.
+    """
+    stats = train.select(F.size("x").alias("d"), F.explode(as_double(F.col("x"))).alias("v")).agg(F.max("d"), F.var_pop("v")).first()
+    names = _label_lists(train)
+    if stats[0] is None:
+        return test.select("problem", "index", F.lit(None).cast("string").alias("pred"))
+    d, var, width = stats[0], stats[1] or 1.0, features + 1
+    if len(names) * width > MAX_WEIGHTS:
+        raise ValueError("too many problems for one linear model; use nearest_centroid")
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, np.sqrt(2.0 / (d * var)), (d, features))
     b = rng.uniform(0.0, 2 * np.pi, features)
@@ -91,12 +111,39 @@ def rbf_svm(train: DataFrame, test: DataFrame, features: int = 256, seed: int =
         if not len(x):
             return pd.Series([], dtype=object)
         z = np.sqrt(2.0 / features) * np.cos(np.stack([np.asarray(v, dtype=np.float64) for v in x]) @ w + b)
-        return pd.Series(list(z))
-
-    def fit(rows: DataFrame, n: int):
-        return OneVsRest(classifier=LinearSVC(maxIter=50, regParam=0.001), labelCol="y").fit(rows)
-
-    return _per_problem(train.withColumn("x", project("x")), test.withColumn("x", project("x")), fit)
+        return pd.Series(list(np.hstack([z, np.ones((len(z), 1))])))
+
+    slots = {p: i for i, p in enumerate(names)}
+    where = F.create_map(*[F.lit(v) for kv in slots.items() for v in kv])
+    lists = F.create_map(*[F.lit(v) if i % 2 == 0 else F.array(*[F.lit(n) for n in v]) for kv in names.items() for i, v in enumerate(kv)])
+
+    numeric = [{"idx": i, "name": f"z{i}"} for i in range(width)]
+    z_meta = {"ml_attr": {"attrs": {"numeric": numeric}, "num_attrs": width}}
+    slot_meta = {"ml_attr": {"type": "nominal", "name": "slot", "num_vals": len(slots)}}
+    blocks = Interaction(inputCols=["slot", "z"], outputCol="features")
+
+    def prepared(df: DataFrame) -> DataFrame:
+        known = df.withColumn("slot", F.try_element_at(where, "problem")).filter(F.col("slot").isNotNull())
+        known = known.withColumn("names", F.element_at(lists, F.col("problem"))).withColumn("z", array_to_vector(project("x")))
+        known = known.withMetadata("slot", slot_meta).withMetadata("z", z_meta)
+        return blocks.transform(known).drop("slot", "z")
+
+    sizes = train.groupBy("problem").agg((1.0 / F.count(F.lit(1))).alias("weight"))
+    rows = cut(
+        prepared(salted_join(train, sizes, ["problem"], spread=["index"]))
+        .withColumn("y", F.array_position("names", F.col("label")) - 1)
+        .select("features", "y", "weight")
+    )
+    out = prepared(test).select("problem", "index", "features", "names")
+    for j in range(max(map(len, names.values()))):
+        model = LinearSVC(
+            labelCol="__y", weightCol="weight", rawPredictionCol=f"__r{j}", predictionCol="__p", maxIter=50, regParam=reg / len(slots),
+            standardization=False, fitIntercept=False,
+        ).fit(rows.withColumn("__y", (F.col("y") == j).cast("double")))
+        out = model.transform(out).drop("__p")
+    scores = F.array(*[F.get(vector_to_array(f"__r{j}"), F.lit(1)) for j in range(max(map(len, names.values())))])
+    best = F.array_max(F.transform(F.arrays_zip(F.slice(scores, F.lit(1), F.size("names")).alias("s"), F.col("names").alias("n")), lambda s: F.struct(s["s"], s["n"])))
+    return out.select("problem", "index", best["n"].alias("pred"))
 
 
 CLASSIFIERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {

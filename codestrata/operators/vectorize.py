@@ -70,9 +70,7 @@ def attention_pool(df: DataFrame, keys: list[str], weight: str = "weight", mask:
     e = F.exp(F.col(weight))
     if mask:
         e = F.when(F.col(mask), e).otherwise(F.lit(0.0))
-    d = df.select(*keys, array_to_vector(as_double(F.col(vec))).alias("__v"), e.alias("__e"))
-    got = d.groupBy(*keys).agg(
-        vector_to_array(Summarizer.mean(F.col("__v"), F.col("__e"))).alias("m"), F.sum("__e").alias("s")
-    )
-    scale = F.col("s") / (F.col("s") + ATTENTION_EPSILON)
-    return got.select(*keys, F.transform("m", lambda v: v * scale).alias(vec))
+    d = df.select(*keys, vec, e.alias("__e"))
+    weighted = array_to_vector(F.transform(vec, lambda v: v.cast("double") * F.col("__e")))
+    got = d.groupBy(*keys).agg(vector_to_array(Summarizer.sum(weighted)).alias("s"), F.sum("__e").alias("total"))
+    return got.select(*keys, F.transform("s", lambda v: v / (F.col("total") + ATTENTION_EPSILON)).alias(vec))
