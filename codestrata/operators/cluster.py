@@ -162,10 +162,13 @@ def _dispatch(points: DataFrame, ks: DataFrame, local: Callable, large: Callable
 
 
 def _blocks(sized: DataFrame, block: int) -> DataFrame:
-    """Large problems cut into blocks, placed by block once; the rounds then move only the other side."""
+    """Large problems cut into blocks, placed by block and kept; the rounds then move only the other side.
+
+    Blocks lost with an executor come back from the written table below the cache.
+    """
     n = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = sized.withColumn("__block", F.pmod(F.xxhash64("index"), F.ceil(F.col("__n") / block)).cast("int"))
-    return cut(cells.repartition(n, "problem", "__block"))
+    return cut(cells).repartition(n, "problem", "__block").persist()
 
 
 def _meet(pts: DataFrame, other: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -267,7 +270,9 @@ def _kmeans_large(sized: DataFrame, iterations: int, block: int) -> DataFrame:
         centers = moved.select("problem", "c", F.col("new").alias("center"))
         if done is None or done <= 1e-9:
             break
-    return _renumber(_meet(pts, centers, labels, f"problem {types['problem']}, index {types['index']}, cluster int"))
+    found = cut(_meet(pts, centers, labels, f"problem {types['problem']}, index {types['index']}, cluster int"))
+    pts.unpersist()
+    return _renumber(found)
 
 
 # ---- spectral -----------------------------------------------------------------------------------
@@ -348,6 +353,7 @@ def _spectral_large(sized: DataFrame, cols: list[str], gamma: float, iterations:
         return pd.DataFrame({"problem": p["problem"], "index": p["index"], "x": list((z @ b) / d[:, None] * np.sqrt(p["__n"].iloc[0]))})
 
     rows = cut(_meet(pts, ready, embed, f"problem {t['problem']}, index {t['index']}, x array<double>"))
+    pts.unpersist()
     return kmeans(rows, ks, iterations, block)
 
 
