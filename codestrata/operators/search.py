@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.scale import salted_join
+
 SCORE_DIGITS = 9  # scores are compared after rounding, so the order of summation cannot break ties
 BLOCK = 4096  # rows of one side that meet in one block product
 BROADCAST_BYTES = 64 << 20  # queries above this size take the block grid
@@ -127,13 +129,15 @@ def ground_truth(top: DataFrame, labels: DataFrame) -> DataFrame:
     """Flag the results that carry the label of their query; ``labels(id, label)``."""
     q = labels.select(F.col("id").alias("query_id"), F.col("label").alias("q_label"))
     c = labels.select(F.col("id").alias("cand_id"), F.col("label").alias("c_label"))
-    return top.join(q, "query_id").join(c, "cand_id").withColumn("rel", (F.col("q_label") == F.col("c_label")).cast("int")).drop("q_label", "c_label")
+    both = salted_join(top.join(q, "query_id"), c, ["cand_id"], spread=["query_id"], salts=8)  # a hub is a hit of many queries
+    return both.withColumn("rel", (F.col("q_label") == F.col("c_label")).cast("int")).drop("q_label", "c_label")
 
 
 def relevant_totals(queries: DataFrame, labels: DataFrame) -> DataFrame:
     """Number of candidates that share the label of a query, counted once per label."""
     per = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant"))
-    return queries.select(F.col("id").alias("query_id"), "label").join(per, "label").select("query_id", "n_relevant")
+    rows = queries.select(F.col("id").alias("query_id"), "label")
+    return salted_join(rows, per, ["label"], spread=["query_id"]).select("query_id", "n_relevant")
 
 
 def dcg(rels: DataFrame) -> DataFrame:

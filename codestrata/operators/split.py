@@ -120,8 +120,7 @@ def _positions(functions: DataFrame, fold: str) -> DataFrame:
     rows = functions.select(fold, "id", *prov).withColumn("__h", stable_hash("row", "id"))
     groups = rows.groupBy(fold, *prov).agg(F.count(F.lit(1)).alias("g")).withColumn("__gh", stable_hash("group", *prov))
     groups = hash_running_sum(groups, [fold], "__gh", prov, "g", "start", total="n").drop("__gh")
-    ranked = hash_rank(rows, [fold, *prov], "__h", ["id"], out="r")
-    return salted_join(ranked, groups, [fold, *prov], spread=["id"]).select(fold, "id", "r", "start", "g", "n")
+    return hash_rank(rows, [fold, *prov], "__h", ["id"], out="r", per_key=groups).select(fold, "id", "r", "start", "g", "n")
 
 
 def epoch_pairs(functions: DataFrame, epochs: int = 25, fold: str = "fold", sides: str = "both") -> DataFrame:

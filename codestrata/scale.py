@@ -29,15 +29,13 @@ def hash_int(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
+def _with_offsets(
+    d: DataFrame, keys: list[str], bucket: str, measure: Column, out: str, order: list, total: str | None, per_key: DataFrame | None = None
+) -> DataFrame:
+    """``out`` = measure summed over the rows before this one in its key, ``total`` = over the whole key.
 
-def _with_offsets(d: DataFrame, keys: list[str], bucket: str, measure: Column, out: str, order: list, total: str | None) -> DataFrame:
-    """``out`` = measure summed over the rows before this one in its key, ``total`` = over the whole key."""
+    Columns of ``per_key`` ride along on the bucket table, so a hot key never meets them row by row.
+    """
     per_bucket = d.groupBy(*keys, bucket).agg(F.sum(measure).alias("__size"))
     # one row per non-empty bucket: the window below never sees more than the bucket count per key
     w = Window.partitionBy(*keys, F.lit(0)).orderBy(bucket)
@@ -47,6 +45,12 @@ def _with_offsets(d: DataFrame, keys: list[str], bucket: str, measure: Column, o
         (F.sum("__size").over(w) - F.col("__size")).alias("__before"),
         *([F.sum("__size").over(Window.partitionBy(*keys, F.lit(0))).alias(total)] if total else []),
     )
+    if per_key is not None:
+        extra = per_key.select(*[F.col(k).alias(f"__e_{k}") for k in keys], *[c for c in per_key.columns if c not in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & offsets[f"__k_{k}"].eqNullSafe(extra[f"__e_{k}"])
+        offsets = offsets.join(extra, same).drop(*[f"__e_{k}" for k in keys])
     cond = d[bucket] == offsets["__k_bucket"]
     for k in keys:
         cond = cond & d[k].eqNullSafe(offsets[f"__k_{k}"])
@@ -67,11 +71,11 @@ def hash_running_sum(
 
 
 def hash_rank(
-    df: DataFrame, keys: Sequence[str], hash_col: str, tie: Sequence[str], out: str = "rn", total: str | None = None
+    df: DataFrame, keys: Sequence[str], hash_col: str, tie: Sequence[str], out: str = "rn", total: str | None = None, per_key: DataFrame | None = None
 ) -> DataFrame:
-    """1-based position of every row inside its key, in md5 order; ``total`` = rows of the key."""
+    """1-based position of every row inside its key, in md5 order; ``total`` = rows of the key, ``per_key`` = columns to add per key."""
     d = df.withColumn("__bucket", F.substring(F.col(hash_col), 1, HASH_DIGITS))
-    return _with_offsets(d, list(keys), "__bucket", F.lit(1).cast("long"), out, [hash_col, *tie], total).withColumn(out, F.col(out) + 1)
+    return _with_offsets(d, list(keys), "__bucket", F.lit(1).cast("long"), out, [hash_col, *tie], total, per_key).withColumn(out, F.col(out) + 1)
 
 
 def range_running(
