@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.arrays import difficulty_class, is_labelled, multi_hot
 from codestrata.scale import hash_int, hash_rank, hash_running_sum, salted_join, stable_hash
+from codestrata.session import cut
 
 RARE = 7  # label sets with fewer rows are pooled under their rarest label
 
@@ -72,7 +73,7 @@ def grouped_split(df: DataFrame, validation: float, test: float, seed: int = 123
     """Whole files go to test until its quota is met, then to validation, then to train."""
     files = df.groupBy("project", "file_name").agg(F.count(F.lit(1)).alias("n"))
     files = files.withColumn("h", stable_hash(seed, "project", "file_name"))
-    run = hash_running_sum(files, [], "h", ["project", "file_name"], "n", "before", total="rows")
+    run = cut(hash_running_sum(files, [], "h", ["project", "file_name"], "n", "before", total="rows"))
     q_test, q_val = F.floor(F.col("rows") * test), F.floor(F.col("rows") * validation)
     in_test = run.filter(F.col("before") < q_test).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     fold = (
@@ -131,7 +132,7 @@ def epoch_pairs(functions: DataFrame, epochs: int = 25, fold: str = "fold", side
     draw. Each draw is one equi-join on a unique position; no pairs are listed first.
     Functions lacking either partner are left out of both sides, unless only one side is asked for.
     """
-    pos = _positions(functions, fold)
+    pos = cut(_positions(functions, fold))
     at = pos.select(fold, (F.col("start") + F.col("r") - 1).alias("at"), F.col("id").alias("id_b"))
     draws = pos.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     h_pos = hash_int(F.md5(F.concat_ws(":", F.lit("+"), F.col("epoch").cast("string"), F.col("id").cast("string"))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.arrays import as_double
 from codestrata.functions.text import tfidf_terms
 from codestrata.scale import range_running, salted_join
+from codestrata.session import cut
 
 ATTENTION_EPSILON = 1e-7
 MAX_VOCABULARY = 20_000_000  # the word2vec trainer keeps its whole matrix on the driver
@@ -19,12 +20,12 @@ MAX_VOCABULARY = 20_000_000  # the word2vec trainer keeps its whole matrix on th
 def tfidf(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """Sparse weights ``(key, term, w)``: raw counts, idf ``ln((1+n)/(1+df))+1``, unit length per document.
 
-    Terms are counted per document before the first shuffle ends; the look-up of the
-    document frequency spreads frequent terms over salted keys.
+    The counts are written once, so texts are tokenised once for both term and document
+    frequencies; the look-up of the latter spreads frequent terms over salted keys.
     """
     docs = df.select(key, F.array_join(tokens, " ").alias("__text"))
     n = docs.select(F.count(F.lit(1))).scalar()
-    tf = docs.select(key, F.explode(tfidf_terms(F.col("__text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(docs.select(key, F.explode(tfidf_terms(F.col("__text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((n + 1).cast("double") / (F.col("df") + 1)) + 1).alias("idf")
     )

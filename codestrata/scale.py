@@ -40,28 +40,29 @@ def _with_offsets(
     # one row per non-empty bucket: the window below never sees more than the bucket count per key
     w = Window.partitionBy(*keys, F.lit(0)).orderBy(bucket)
     offsets = per_bucket.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col(bucket).alias("__k_bucket"),
+        *keys,
+        _cell(keys, bucket),
         (F.sum("__size").over(w) - F.col("__size")).alias("__before"),
         *([F.sum("__size").over(Window.partitionBy(*keys, F.lit(0))).alias(total)] if total else []),
     )
     if per_key is not None:
-        extra = per_key.select(*[F.col(k).alias(f"__e_{k}") for k in keys], *[c for c in per_key.columns if c not in keys])
-        same = F.lit(True)
-        for k in keys:
-            same = same & offsets[f"__k_{k}"].eqNullSafe(extra[f"__e_{k}"])
-        offsets = offsets.join(extra, same).drop(*[f"__e_{k}" for k in keys])
-    cond = d[bucket] == offsets["__k_bucket"]
-    for k in keys:
-        cond = cond & d[k].eqNullSafe(offsets[f"__k_{k}"])
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        extra = per_key.select(_cell(keys, None, "__key"), *[c for c in per_key.columns if c not in keys])
+        offsets = offsets.withColumn("__key", _cell(keys, None, "__key")).join(extra, "__key").drop("__key")
+    # join and window share the one partitioning by cell
+    inside = Window.partitionBy("__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        d.join(offsets, cond)
+        d.withColumn("__cell", _cell(keys, bucket))
+        .join(offsets.drop(*keys), "__cell")
         .withColumn(out, F.col("__before") + F.coalesce(F.sum(measure).over(inside), F.lit(0)))
-        .drop("__before", "__k_bucket", bucket, *[f"__k_{k}" for k in keys])
+        .drop("__before", "__cell", bucket)
     )
 
 
+def _cell(keys: list[str], bucket: str | None, name: str = "__cell") -> Column:
+    """Key and bucket as one value that is never null itself, so null keys join like any other."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *([F.col(bucket).alias("b")] if bucket else [])).alias(name)
+
+
 def hash_running_sum(
     df: DataFrame, keys: Sequence[str], hash_col: str, tie: Sequence[str], value: str, out: str, total: str | None = None
 ) -> DataFrame:
@@ -93,19 +94,12 @@ def range_running(
     keys = list(keys)
     per = placed.groupBy(*keys, "__bucket").agg(*[F.sum(v).alias(f"__s_{o}") for o, v in sums.items()])
     w = Window.partitionBy(*keys, F.lit(0)).orderBy("__bucket")
-    offsets = per.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col("__bucket").alias("__k_bucket"),
-        *[(F.sum(f"__s_{o}").over(w) - F.col(f"__s_{o}")).alias(f"__b_{o}") for o in sums],
-    )
-    cond = placed["__bucket"] == offsets["__k_bucket"]
-    for k in keys:
-        cond = cond & placed[k].eqNullSafe(offsets[f"__k_{k}"])
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(offsets, cond)
+    offsets = per.select(_cell(keys, "__bucket"), *[(F.sum(f"__s_{o}").over(w) - F.col(f"__s_{o}")).alias(f"__b_{o}") for o in sums])
+    inside = Window.partitionBy("__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("__cell", _cell(keys, "__bucket")).join(offsets, "__cell")
     for o, v in sums.items():
         out = out.withColumn(o, F.col(f"__b_{o}") + F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    return out.drop("__bucket", "__k_bucket", *[f"__k_{k}" for k in keys], *[f"__b_{o}" for o in sums])
+    return out.drop("__bucket", "__cell", *[f"__b_{o}" for o in sums])
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", spread: Sequence[str] = (), salts: int = SALTS) -> DataFrame:
