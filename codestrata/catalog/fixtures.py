@@ -121,7 +121,7 @@ def half_views(t: Tables) -> dict[str, DataFrame]:
     """Three views: both halves of the vector and the whole one; one view lacks every seventh row."""
     v = vectors(t)
     return {
-        "safe": v.withColumn("x", F.slice("x", 33, 32)).filter(F.col("index") % 7 != 0),
+        "functions": v.withColumn("x", F.slice("x", 33, 32)).filter(F.col("index") % 7 != 0),
         "w2v": v.withColumn("x", F.slice("x", 1, 32)),
         "tfidf": v,
     }
@@ -129,7 +129,7 @@ def half_views(t: Tables) -> dict[str, DataFrame]:
 
 HALF_VIEWS = VECTORS + """,
 w2v AS (SELECT index, problem, label, x[1:32] AS x FROM vectors),
-safe AS (SELECT index, problem, label, x[33:64] AS x FROM vectors WHERE index % 7 <> 0)"""
+callees AS (SELECT index, problem, label, x[33:64] AS x FROM vectors WHERE index % 7 <> 0)"""
 
 
 def given_clusters(t: Tables) -> DataFrame:

@@ -78,7 +78,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "align_views",
     f"""WITH {fx.HALF_VIEWS} SELECT w.problem, w.index, w.label, round(list_sum(w.x), 6) AS s0, round(list_sum(s.x), 6) AS s1, round(list_sum(v.x), 6) AS s2
-    FROM w2v w JOIN safe s USING (index) JOIN vectors v USING (index)""",
+    FROM w2v w JOIN callees s USING (index) JOIN vectors v USING (index)""",
 )
 def _(t: Tables) -> DataFrame:
     rows = R.align_views(fx.half_views(t))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
@@ -52,37 +52,12 @@ def with_problem(df: DataFrame, label: str = "label") -> DataFrame:
 def remove_spans(files: DataFrame, findings: DataFrame, key: str = "file", col: str = "code") -> DataFrame:
     """Delete, per finding (file, 1-based line), the lines up to where the braces close again.
 
-    Brace counts are taken per line, the running balance per (file, finding); files
-    without findings pass through untouched and never leave their row.
+    The start lines of a file join its row once; the work stays inside the row, and
+    files without findings pass through untouched.
     """
-    hits = findings.select(key, F.col("line").alias("start")).distinct()
-    touched = files.join(hits.select(key).distinct(), key, "left_semi")
-    clean = files.join(hits.select(key).distinct(), key, "left_anti")
-    # the longest running position list is the lines of one file times its findings
-    lines = touched.select(key, F.posexplode(X.lines_of(F.col(col))).alias("pos", "text")).withColumn(
-        "delta", F.length("text") - F.length(F.replace("text", F.lit("{"), F.lit("")))
-        - (F.length("text") - F.length(F.replace("text", F.lit("}"), F.lit(""))))
-    ).withColumn("closes", F.contains("text", F.lit("}")))
-    spans = lines.join(hits, key).filter(F.col("pos") >= F.col("start") - 1)
-    run = Window.partitionBy(key, "start").orderBy("pos")
-    spans = spans.withColumn("balance", F.sum("delta").over(run)).withColumn("seen", F.max("closes").over(run))
-    ends = spans.groupBy(key, "start").agg(
-        F.min(F.when((F.col("balance") == 0) & F.col("seen"), F.col("pos"))).alias("end")
-    )
-    dropped = (
-        spans.select(key, "start", "pos")
-        .join(ends, [key, "start"])
-        .filter(F.col("end").isNull() | (F.col("pos") <= F.col("end")))
-        .select(key, "pos")
-        .distinct()
-    )
-    kept = lines.filter(F.length("text") > 0).join(dropped, [key, "pos"], "left_anti")
-    rebuilt = kept.groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("__new")
-    )
-    rest = [c for c in files.columns if c != col]
-    done = touched.select(*rest).join(rebuilt, key, "left").withColumn(col, F.coalesce("__new", F.lit(""))).drop("__new")
-    return clean.unionByName(done.select(*files.columns))
+    starts = findings.groupBy(key).agg(F.collect_set(F.col("line").cast("int")).alias("__starts"))
+    cut_out = F.when(F.col("__starts").isNull(), F.col(col)).otherwise(X.remove_spans(F.col(col), F.col("__starts")))
+    return files.join(starts, key, "left").withColumn(col, cut_out).select(*files.columns)
 
 
 # ---- views --------------------------------------------------------------------------------------

@@ -77,7 +77,7 @@ def write_folds(df: DataFrame, path: str, fmt: str = "json", mode: str = "error"
 
 def write_report(df: DataFrame, path: str, columns: list[str], mode: str = "error") -> None:
     """A report with a fixed header; reports hold one row per problem and configuration."""
-    df.select(*columns).coalesce(1).write.mode(mode).csv(path, header=True)
+    df.select(*columns).repartition(1).write.mode(mode).csv(path, header=True)
 
 
 def with_function_id(df: DataFrame) -> DataFrame:

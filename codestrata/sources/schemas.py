@@ -1,9 +1,9 @@
-"""Explicit schemas of the corpus relations; nothing is inferred."""
+"""Explicit schemas of the corpus relations for ``load``; nothing is inferred."""
 
 PROBLEM = (
-    "index string, tags array<string>, solutions array<struct<index:string,code:string,raw:string,"
-    "tokens array<string>,safe:array<array<double>>>>, contest_name string, difficulty string"
-).replace("tokens array", "tokens:array")
+    "index string, tags array<string>, solutions array<struct<index:string,code:string,raw:string,tokens:array<string>>>, "
+    "contest_name string, difficulty string"
+)
 
 SOLUTION = "index string, raw string, code string, tokens array<string>, tags array<string>, Y array<int>"
 

@@ -65,11 +65,11 @@ def test_classifiers(spark, name):
 
 def test_voting_and_prediction(spark):
     pts = blobs(spark, n=90)
-    views = {"safe": pts.filter("index != 4"), "w2v": pts.withColumn("x", F.slice("x", 1, 3))}
+    views = {"functions": pts.filter("index != 4"), "w2v": pts.withColumn("x", F.slice("x", 1, 3))}
     report = P.voting_report(views, ["kmeans", "agglomerative"], ["nearest_centroid"]).collect()
     assert len(report) == 2 * 4
     assert all(r["f1_micro_after"] == pytest.approx(1.0) and not r["error"] for r in report)
-    assert {r["embeddings"] for r in report} == {"w2v/safe"}
+    assert {r["embeddings"] for r in report} == {"w2v/functions"}
     ks = pts.select("problem").distinct().withColumn("k", F.lit(3))
     got = P.predict({n: v.drop("label") for n, v in views.items()}, "unsupervised_voting", ks, classifiers=["nearest_centroid"] * 2).collect()
     assert len(got) == 119 - 1 and {r["group"] for r in got} == {0, 1, 2}
