@@ -168,7 +168,9 @@ def _blocks(sized: DataFrame, block: int) -> DataFrame:
     """
     n = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = sized.withColumn("__block", F.pmod(F.xxhash64("index"), F.ceil(F.col("__n") / block)).cast("int"))
-    return cut(cells).repartition(n, "problem", "__block").persist()
+    pts = cut(cells).repartition(n, "problem", "__block").persist()
+    pts.count()  # the planner knows the placement of a cache only once it is filled
+    return pts
 
 
 def _meet(pts: DataFrame, other: DataFrame, fn: Callable, schema: str) -> DataFrame:
