@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,30 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor; call it once per session.
+
+    Functions of operators run inside tasks and are found there by import. A wheel installed on every
+    machine or ``--py-files`` does the same.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = f"{os.path.basename(package)}.zip"
+    if any(str(f).endswith(f"/{archive}") for f in spark.sparkContext.listFiles):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="codestrata-ship-"), archive)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
