@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import line_dedup, simhash_dedup
+from codestrata.llm import line_dedup, mixing, pii, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,99 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k.name) for k in pii.KINDS],
+        F.sha2(pii.digest(F.col("spans"), base_only=True), 256).alias("base_sha256"),
+        pii.digest(F.col("spans")).alias("spans"),
+    )
+
+
+def _op7_kind(no: int, kind: str, pattern: str, ok: str) -> str:
+    """Spans of one kind: matches and the gaps between them alternate, so lengths give positions."""
+    start = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
+    return f"""
+  SELECT doc_id, {no} AS no, '{kind}' AS kind, {start} AS s, {start} + length(hits[i]) AS e
+  FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i
+        FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d))
+  WHERE {ok}"""
+
+
+DIGITS = "regexp_replace(hits[i], '[^0-9]', '', 'g')"
+OP7_LUHN = f"""length({DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({DIGITS}) + 1),
+    lambda p: CASE WHEN p % 2 = 1 THEN CAST(reverse({DIGITS})[p] AS INT) ELSE (CAST(reverse({DIGITS})[p] AS INT) * 2) // 10 + (CAST(reverse({DIGITS})[p] AS INT) * 2) % 10 END)) % 10 = 0"""
+OP7_IBAN = """list_reduce(list_prepend(0, list_transform(string_split(substr(replace(hits[i], ' ', ''), 5) || substr(replace(hits[i], ' ', ''), 1, 4), ''), lambda c: ascii(c))),
+    lambda a, v: CASE WHEN v >= 65 THEN (a * 100 + v - 55) % 97 ELSE (a * 10 + v - 48) % 97 END) = 1"""
+OP7_NEAR = "regexp_matches(lower(right(gaps[i], 48) || ' ' || left(gaps[i + 1], 48)), 'ssn|social security|insurance')"
+OP7_KINDS = [
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "list_max(list_transform(string_split(hits[i], '.'), lambda x: CAST(x AS DOUBLE))) <= 255"),
+    ("card", "[0-9](?:[ -]?[0-9])+", OP7_LUHN),
+    ("phone", "\\+[0-9][ ().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 9 AND 15"),
+    ("iban", "\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b", OP7_IBAN),
+    ("ssn", "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", OP7_NEAR),
+]
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_op7_kind(no, *k) for no, k in enumerate(OP7_KINDS))})
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in OP7_KINDS)},
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 4), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+
+# the target mix: a tree of domain (three parts of the sources), language and source
+DOMAIN = "concat('part', try_cast(substr(source, 4) AS int) % 3)"
+MIX_WEIGHTS = {"domain": {"part0": 5, "part1": 3, "part2": 2}, "lang": {"en": 6, "de": 2}, "source": {"src0": 4, "src1": 2}}
+MIX_SHARE = (1, 2)
+MIX_EPOCHS = 2
+
+
+def mix_levels() -> dict[str, Column]:
+    return {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS)
+    return mixed.select(F.col("id").alias("doc_id"), "tokens", "epochs", "prefix")
+
+
+def _op9_level(depth: int) -> str:
+    """Quotas of one level of the tree, from those of the level above."""
+    names = ["domain", "lang", "source"]
+    level, path, parent = names[depth], ", ".join(names[: depth + 1]), ", ".join(names[:depth])
+    above = f"JOIN quota{depth - 1} USING ({parent})" if depth else "CROSS JOIN (SELECT least(sum(available) // 2, sum(available) * 2) AS budget FROM leaves)"
+    part = f"PARTITION BY {parent}" if parent else ""
+    weight = " ".join(f"WHEN '={k}' THEN {w}" for k, w in MIX_WEIGHTS[level].items())
+    order = f"({part} ORDER BY cap / weight, {level} ROWS BETWEEN"
+    return f"""
+nodes{depth} AS (SELECT {path}, cap, weight, budget FROM
+  (SELECT {path}, sum(available) * 2 AS cap, CASE {level} {weight} ELSE 1 END AS weight FROM leaves GROUP BY {path}) {above}),
+over{depth} AS (SELECT *, max(CASE WHEN cap * rest > weight * (budget - before) THEN 1 ELSE 0 END) OVER {order} UNBOUNDED PRECEDING AND CURRENT ROW) AS open
+  FROM (SELECT *, sum(cap) OVER {order} UNBOUNDED PRECEDING AND CURRENT ROW) - cap AS before, sum(weight) OVER {order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM nodes{depth})),
+part{depth} AS (SELECT *, CASE WHEN open = 1 THEN (weight * remains) // wide ELSE cap END AS part, sum(open) OVER {order} UNBOUNDED PRECEDING AND CURRENT ROW) AS turn
+  FROM (SELECT *, budget - sum(CASE WHEN open = 0 THEN cap ELSE 0 END) OVER ({part}) AS remains, sum(CASE WHEN open = 1 THEN weight ELSE 0 END) OVER ({part}) AS wide FROM over{depth})),
+quota{depth} AS (SELECT {path}, part + CASE WHEN open = 1 AND turn <= lost THEN 1 ELSE 0 END AS budget
+  FROM (SELECT *, remains - sum(CASE WHEN open = 1 THEN part ELSE 0 END) OVER ({part}) AS lost FROM part{depth}))"""
+
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+    coalesce('=part' || CAST(CAST(substr(source, 4) AS INT) % 3 AS VARCHAR), '') AS domain, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source FROM documents
+), leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS available FROM d GROUP BY ALL),
+{",".join(_op9_level(i) for i in range(3))},
+q AS (SELECT domain, lang, source, CASE WHEN available > 0 THEN budget // available ELSE 0 END AS whole,
+  budget - (CASE WHEN available > 0 THEN budget // available ELSE 0 END) * available AS rest FROM leaves JOIN quota2 USING (domain, lang, source)),
+r AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('42:' || whole || ':' || doc_id), doc_id) - tokens AS before FROM d JOIN q USING (domain, lang, source))
+SELECT doc_id, tokens, CAST(CASE WHEN tokens > 0 THEN whole ELSE 0 END AS BIGINT) AS epochs, CAST(greatest(0, least(tokens, rest - before)) AS BIGINT) AS prefix FROM r
+"""
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), _hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -46,6 +139,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op7_pii": op7_pii,
+    "op9_mixing": op9_mixing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op7_pii": OP7_SQL, "op9_mixing": OP9_SQL}
