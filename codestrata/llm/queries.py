@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import line_dedup, mixing, pii, simhash_dedup
+from codestrata.llm import line_dedup, mixing, pii, simhash_dedup, token_counts, token_store
+from codestrata.session import shared_folder
+
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@functools.cache
+def _vocabulary(name: str) -> str:
+    """A vocabulary file, read on the driver."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
 def _hex64(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
@@ -39,6 +53,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary(BYTE_BPE))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -83,6 +102,12 @@ SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _,
 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
 """
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary(BYTE_BPE), path)
+    return token_store.read_documents(spark, path).withColumnRenamed("id", "doc_id")
+
+
 # the target mix: a tree of domain (three parts of the sources), language and source
 DOMAIN = "concat('part', try_cast(substr(source, 4) AS int) % 3)"
 MIX_WEIGHTS = {"domain": {"part0": 5, "part1": 3, "part2": 2}, "lang": {"en": 6, "de": 2}, "source": {"src0": 4, "src1": 2}}
@@ -139,7 +164,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_token_counts": op3_token_counts,
     "op7_pii": op7_pii,
+    "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
