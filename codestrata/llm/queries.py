@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import line_dedup, mixing, pii, simhash_dedup, token_counts, token_store
+from codestrata.llm import language_id, line_dedup, mixing, pii, sentence_pieces, simhash_dedup, token_counts, token_store
 from codestrata.session import shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def _vocabulary(name: str) -> str:
         return f.read()
 
 
+@functools.cache
+def piece_model() -> sentence_pieces.Model:
+    return sentence_pieces.load_model(public_tokenizers.path(PIECES))
+
+
 def _hex64(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
@@ -58,6 +64,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of ids, checksum of the ids as little-endian 32-bit numbers, hash of the text decoded from them."""
+    model = piece_model()
+    encoded = sentence_pieces.encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = sentence_pieces.decode_pieces(encoded, model, out="decoded")
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -165,6 +192,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_sentence_pieces": op4_sentence_pieces,
+    "op5_language_id": op5_language_id,
     "op7_pii": op7_pii,
     "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
