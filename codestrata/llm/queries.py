@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import language_id, line_dedup, mixing, pii, sentence_pieces, simhash_dedup, token_counts, token_store
+from codestrata.llm import embedding_dedup, language_id, line_dedup, mixing, pii, sentence_pieces, simhash_dedup, token_counts, token_store, topk_search
 from codestrata.session import shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -59,6 +59,40 @@ FROM marked GROUP BY doc_id
 """
 
 
+QUERY_STEP = 50  # every vector whose id it divides is a query
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0))
+
+
+OP2_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(q.x, p.x) AS BIGINT) AS score FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % {QUERY_STEP} = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reached(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS root FROM reached GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, root = vec_id AS kept
+FROM embeddings JOIN roots ON roots.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary(BYTE_BPE))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -191,12 +225,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_topk_search": op2_topk_search,
     "op3_token_counts": op3_token_counts,
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_language_id": op5_language_id,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_pii": op7_pii,
     "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op7_pii": OP7_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op7_pii": OP7_SQL, "op9_mixing": OP9_SQL}
