@@ -30,7 +30,7 @@ DATA_BLOCK = 4096
 QUERY_BLOCK = 256
 PIVOTS = 256  # rows that the blocks are laid around, whatever the corpus
 LEAF = 64  # rows compared as one matrix product
-QUERY_LEAF = 4  # queries that share a bound at the bottom of their tree
+QUERY_LEAF = 1  # queries are compared alone at the bottom of their tree, unless they are equal
 EXACT = 1 << 52  # products of norms below it are exact in doubles
 LONGEST = (1 << 63) - 1
 
