@@ -132,6 +132,31 @@ w2v AS (SELECT index, problem, label, x[1:32] AS x FROM vectors),
 callees AS (SELECT index, problem, label, x[33:64] AS x FROM vectors WHERE index % 7 <> 0)"""
 
 
+def separable(t: Tables) -> DataFrame:
+    """The vectors with ten times a one-hot of the label behind them: any sound grouping is that by label."""
+    kind = F.split_part("label", F.lit("$"), F.lit(2)).cast("int")
+    return vectors(t).withColumn("x", F.concat("x", F.array(*[F.when(kind == i, 10.0).otherwise(0.0) for i in range(3)])))
+
+
+def separable_views(t: Tables) -> dict[str, DataFrame]:
+    """The views of ``half_views``, each with the one-hot."""
+    v = separable(t)
+    hot = F.slice("x", 65, 3)
+    return {
+        "functions": v.withColumn("x", F.concat(F.slice("x", 33, 32), hot)).filter(F.col("index") % 7 != 0),
+        "w2v": v.withColumn("x", F.concat(F.slice("x", 1, 32), hot)),
+        "tfidf": v,
+    }
+
+
+def label_groups(where: str = "true") -> str:
+    """Relations ending in ``grouped``(problem, index, label, cluster): the rows by label, groups numbered by their smallest index."""
+    return VECTORS + f""",
+grouped AS (
+  SELECT problem, index, label, cast(dense_rank() OVER (PARTITION BY problem ORDER BY first) - 1 AS int) AS cluster
+  FROM (SELECT *, min(index) OVER (PARTITION BY problem, label) AS first FROM vectors WHERE {where}))"""
+
+
 def given_clusters(t: Tables) -> DataFrame:
     """Cluster numbers of three views made from the label and the id; they mostly agree with the label."""
     kind = F.split_part("label", F.lit("$"), F.lit(2)).cast("int")

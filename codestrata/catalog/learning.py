@@ -93,29 +93,29 @@ def _(t: Tables) -> DataFrame:
     return got.select("problem", "c", "n", F.posexplode("center").alias("dim", "v")).select("problem", "c", "dim", F.round("v", 6).alias("v"), "n")
 
 
-@query("kmeans")
+@query("kmeans", f"WITH {fx.label_groups()} SELECT problem, index, cluster FROM grouped")
 def _(t: Tables) -> DataFrame:
-    v = fx.vectors(t)
+    v = fx.separable(t)
     return C.kmeans(v, C.known_k(v))
 
 
-@query("spectral")
+@query("spectral", f"WITH {fx.label_groups()} SELECT problem, index, cluster FROM grouped")
 def _(t: Tables) -> DataFrame:
-    v = fx.vectors(t)
+    v = fx.separable(t)
     return C.spectral(v, C.known_k(v))
 
 
-@query("agglomerative")
+@query("agglomerative", f"WITH {fx.label_groups()} SELECT problem, index, cluster FROM grouped")
 def _(t: Tables) -> DataFrame:
-    v = fx.vectors(t)
+    v = fx.separable(t)
     return C.agglomerative(v, C.known_k(v))
 
 
-@query("multiview_spectral")
+@query("multiview_spectral", f"WITH {fx.label_groups('index % 7 <> 0')} SELECT problem, index, cluster FROM grouped")
 def _(t: Tables) -> DataFrame:
     from codestrata.operators.reshape import align_views
 
-    rows = align_views(fx.half_views(t))
+    rows = align_views(fx.separable_views(t))
     return C.multiview_spectral(rows.drop("label"), C.known_k(rows))
 
 
@@ -215,12 +215,34 @@ def _(t: Tables) -> DataFrame:
     return U.self_train(agreed, rest, [L.nearest_centroid] * 2, max_rounds=1)
 
 
-@query("self_train")
+@query(
+    "self_train",
+    f"""WITH {CONSENSUS} SELECT g.problem, g.index, cast(c0 AS varchar) AS label,
+      CASE WHEN c.path IS NOT NULL THEN 0 WHEN count(c.path) OVER (PARTITION BY g.problem) > 20 THEN 1 ELSE -1 END AS round
+    FROM given g LEFT JOIN chosen c ON g.problem = c.problem AND concat(c0, '$', c1, '$', c2) = c.path""",
+)
 def _(t: Tables) -> DataFrame:
-    agreed, rest = _seeds(t)
+    hot = F.slice("x", 65, 3)
+    agreed, rest = (
+        d.drop("x").join(fx.separable(t).select("problem", "index", "x"), ["problem", "index"])
+        .withColumn("x0", F.concat(F.slice("x", 1, 32), hot)).withColumn("x1", F.concat(F.slice("x", 33, 32), hot))
+        for d in _seeds(t)
+    )
     return U.self_train(agreed, rest, [L.nearest_centroid] * 2, final=True)
 
 
+@query(
+    "named_clusters_missing_label",
+    f"""WITH {fx.GIVEN_CLUSTERS}, one AS (SELECT problem, index, c1 AS cluster, label FROM given WHERE NOT ends_with(label, '$2')), {_aligned('one').replace('c.label, coalesce', 'c.label AS label, coalesce').replace('JOIN colsum c USING (problem)', "JOIN (SELECT DISTINCT v.problem, v.label, coalesce(c.n, 0) AS n FROM vectors v LEFT JOIN colsum c ON v.problem = c.problem AND v.label = c.label) c USING (problem)")}
+    SELECT o.problem, o.index, o.label AS y_true, a.label AS y_pred FROM one o LEFT JOIN aligned a USING (problem, cluster)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Rows of one label are missing, its name is not: names are still taken from all labels, and no row is lost."""
+    g = fx.given_clusters(t)
+    part = g.filter(~F.col("label").endswith("$2")).withColumn("cluster", F.col("c1"))
+    return U.named_clusters(part, labels=g).select("problem", "index", "y_true", "y_pred")
+
+
 # ---- supervised ---------------------------------------------------------------------------------
 
 HOLDOUT = fx.VECTORS + """,
@@ -258,14 +280,23 @@ def _(t: Tables) -> DataFrame:
     return rounded(P.estimator_report({"whole": fx.vectors(t)}, ["nearest_centroid"]), "f1_micro", "f1_macro", "f1_weighted")
 
 
-@query("estimator_report_library")
+@query(
+    "estimator_report_library",
+    f"""WITH {HOLDOUT} SELECT problem, 'whole' AS embedding, estimator, 1.0::double AS f1_micro, 1.0::double AS f1_macro, 1.0::double AS f1_weighted, count(*) AS samples
+    FROM test, (SELECT unnest({P.REPORTED_CLASSIFIERS}) AS estimator) GROUP BY ALL""",
+)
 def _(t: Tables) -> DataFrame:
-    return rounded(P.estimator_report({"whole": fx.vectors(t)}), "f1_micro", "f1_macro", "f1_weighted")
+    return rounded(P.estimator_report({"whole": fx.separable(t)}), "f1_micro", "f1_macro", "f1_weighted")
 
 
-@query("multilabel_fit_predict")
+@query(
+    "multilabel_fit_predict",
+    f"""WITH {fx.LABEL_ROWS} SELECT index, array_to_string(Y, '') AS p FROM label_rows JOIN embeddings ON vec_id = index WHERE index % 5 = 0""",
+)
 def _(t: Tables) -> DataFrame:
     rows = fx.label_rows(t).join(t.embeddings.select(F.col("vec_id").alias("index"), F.col("embedding").alias("x")), "index")
+    # ten times the target behind the vector: every label can be learnt
+    rows = rows.withColumn("x", F.concat(F.col("x").cast("array<double>"), F.transform("Y", lambda y: y * 10.0)))
     train, test = rows.filter(F.col("index") % 5 != 0), rows.filter(F.col("index") % 5 == 0)
     got = L.multilabel_fit_predict(train, test, ["x"], fx.LABELS)
     return got.select("index", F.array_join(F.col("p").cast("array<string>"), "").alias("p"))
@@ -274,32 +305,65 @@ def _(t: Tables) -> DataFrame:
 # ---- reports ------------------------------------------------------------------------------------
 
 
-@query("kcluster_report")
+def _perfect(cells: str, relation: str, keys: str) -> str:
+    """F1 of one for every cell and problem, with the number of rows."""
+    return f"SELECT {keys}, 1.0::double AS f1_micro, 1.0::double AS f1_macro, 1.0::double AS f1_weighted, count(*) AS samples FROM {relation}, {cells} GROUP BY ALL"
+
+
+@query(
+    "kcluster_report",
+    f"""WITH {fx.VECTORS}, cells AS (SELECT * FROM (SELECT unnest(['functions', 'w2v', 'tfidf']) AS embedding), (SELECT unnest({P.REPORTED_CLUSTERERS}) AS clustering)),
+    rows AS (SELECT * FROM vectors, cells WHERE embedding <> 'functions' OR index % 7 <> 0)
+    SELECT problem, embedding, clustering, 1.0::double AS f1_micro, 1.0::double AS f1_macro, 1.0::double AS f1_weighted, count(*) AS samples FROM rows GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    return rounded(P.kcluster_report(fx.separable_views(t)), "f1_micro", "f1_macro", "f1_weighted")
+
+
+@query(
+    "multiview_report",
+    f"""WITH {fx.VECTORS}, cells AS (SELECT unnest(['functions/w2v', 'functions/tfidf', 'w2v/tfidf', 'functions/w2v/tfidf']) AS embeddings),
+    rows AS (SELECT * FROM vectors, cells WHERE embeddings = 'w2v/tfidf' OR index % 7 <> 0) {_perfect('(SELECT 1)', 'rows', 'problem, embeddings')}""",
+)
 def _(t: Tables) -> DataFrame:
-    return rounded(P.kcluster_report(fx.half_views(t)), "f1_micro", "f1_macro", "f1_weighted")
+    return rounded(P.multiview_report(fx.separable_views(t)), "f1_micro", "f1_macro", "f1_weighted")
+
 
+VOTING = ["functions", "w2v"]
 
-@query("multiview_report")
+
+@query(
+    "voting_report",
+    f"""WITH {fx.VECTORS}, c AS (SELECT unnest({P.REPORTED_CLUSTERERS}) AS c), e AS (SELECT unnest({P.REPORTED_CLASSIFIERS}) AS e),
+    cells AS (SELECT concat(a.c, '/', b.c) AS clusterings, concat(x.e, '/', y.e) AS estimators FROM c a, c b, e x, e y)
+    SELECT problem, 'w2v/functions' AS embeddings, clusterings, estimators,
+      {', '.join(f"{'count(*)' if m == 'samples' else '1.0::double'} AS {m}_{w}" for w in ('before', 'after') for m in ('f1_micro', 'f1_macro', 'f1_weighted', 'samples'))}, false AS error
+    FROM vectors, cells WHERE index % 7 <> 0 GROUP BY problem, clusterings, estimators""",
+)
 def _(t: Tables) -> DataFrame:
-    return rounded(P.multiview_report(fx.half_views(t)), "f1_micro", "f1_macro", "f1_weighted")
+    """The whole grid of clusterings and of the three library classifiers over two views."""
+    views = {n: v for n, v in fx.separable_views(t).items() if n in VOTING}
+    names = [f"{m}_{w}" for w in ("before", "after") for m in ("f1_micro", "f1_macro", "f1_weighted")]
+    return rounded(P.voting_report(views), *names)
 
 
-@query("voting_report")
+@query("voting_report_mixed")
 def _(t: Tables) -> DataFrame:
+    """Views that disagree, so that self-training has work; all view sets, with the learner that fits all cells in one job."""
     return P.voting_report(fx.half_views(t), classifiers=["nearest_centroid"])
 
 
-@query("predict_kclustering")
+@query("predict_kclustering", f"WITH {fx.label_groups()} SELECT problem, index, cluster AS \"group\" FROM grouped")
 def _(t: Tables) -> DataFrame:
-    v = fx.vectors(t)
+    v = fx.separable(t)
     return P.predict({"w2v": v}, "kclustering", C.known_k(v), ["agglomerative"])
 
 
-@query("predict_multiview")
+@query("predict_multiview", f"WITH {fx.label_groups('index % 7 <> 0')} SELECT problem, index, cluster AS \"group\" FROM grouped")
 def _(t: Tables) -> DataFrame:
-    return P.predict(fx.half_views(t), "mv_spectral_clustering", C.known_k(fx.vectors(t)))
+    return P.predict(fx.separable_views(t), "mv_spectral_clustering", C.known_k(fx.vectors(t)))
 
 
-@query("predict_voting")
+@query("predict_voting", f"WITH {fx.label_groups('index % 7 <> 0')} SELECT problem, index, cluster AS \"group\" FROM grouped")
 def _(t: Tables) -> DataFrame:
-    return P.predict(fx.half_views(t), "unsupervised_voting", C.known_k(fx.vectors(t)), classifiers=["nearest_centroid"] * 3)
+    return P.predict(fx.separable_views(t), "unsupervised_voting", C.known_k(fx.vectors(t)), classifiers=["nearest_centroid"] * 3)

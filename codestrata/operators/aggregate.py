@@ -73,7 +73,7 @@ def fold_sizes(df: DataFrame, by: list[str] = ()) -> DataFrame:
 def f1_report(df: DataFrame, keys: list[str], swap: bool = False) -> DataFrame:
     """Micro, macro and weighted F1 and the sample size per group, for one label per row.
 
-    ``swap`` exchanges truth and prediction, which changes only the weighted score.
+    A null prediction is a wrong one and no class of its own. ``swap`` exchanges truth and prediction, which changes only the weighted score.
     """
     t, p = ("y_pred", "y_true") if swap else ("y_true", "y_pred")
     cells = df.groupBy(*keys, F.col(t).alias("t"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
@@ -91,7 +91,8 @@ def f1_report(df: DataFrame, keys: list[str], swap: bool = False) -> DataFrame:
         ),
     )
     per = (
-        sides.groupBy(*keys, "label")
+        sides.filter(F.col("label").isNotNull() | (F.col("support") > 0))
+        .groupBy(*keys, "label")
         .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
         .withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), (F.col("support") + F.col("predicted")).cast("double")), F.lit(0.0)))
     )

@@ -1,9 +1,8 @@
 """Clustering of every problem at once: k-means, spectral (one or several views), agglomerative.
 
-A problem whose rows fit one bounded block is solved inside one task. Larger problems
-are cut into blocks ``(problem, block)`` and solved by rounds of Spark jobs that pass
-centres, landmarks or cluster sums between blocks; no task ever holds a whole large
-problem and no pair table is written.
+There is one way for problems of every size: rounds of Spark jobs over all problems that pass
+centres, landmarks or cluster sums to the rows. Blocks ``(problem, block)`` only place the rows;
+their size changes no result. No task ever holds a whole large problem and no pair table is written.
 
 All clusterings take ``points(problem, index, x)`` and ``ks(problem, k)`` and give
 ``(problem, index, cluster)`` with clusters numbered from 0 by their smallest index.
@@ -24,10 +23,9 @@ from codestrata.functions.arrays import as_double, dot
 from codestrata.scale import hash_int, salted_join, stable_hash
 from codestrata.session import cut
 
-BLOCK = 2048  # rows of one problem that may meet in one task
-LANDMARKS = 512  # expected sample of a large problem used as spectral landmarks or for seeding
+BLOCK = 2048  # rows of one problem that meet in one task
+LANDMARKS = 512  # expected landmark rows of a problem in the spectral clusterings
 DIGITS = 9  # distances are compared after rounding
-ITERATIONS = 50
 
 
 def known_k(labelled: DataFrame) -> DataFrame:
@@ -47,50 +45,6 @@ def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(d, 0), DIGITS)
 
 
-def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
-    """k centres: the first row, then always the row farthest from all chosen ones."""
-    chosen = [0]
-    near = _sq_dist(x, x[:1])[:, 0]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, _sq_dist(x, x[chosen[-1:]])[:, 0])
-    return x[chosen]
-
-
-def _lloyd(x: np.ndarray, centers: np.ndarray, iterations: int) -> np.ndarray:
-    for _ in range(iterations):
-        c = _sq_dist(x, centers).argmin(1)
-        new = np.stack([x[c == j].mean(0) if (c == j).any() else centers[j] for j in range(len(centers))])
-        if np.allclose(new, centers, atol=1e-9, rtol=0):
-            break
-        centers = new
-    return _sq_dist(x, centers).argmin(1)
-
-
-def _by_first_index(labels: np.ndarray) -> np.ndarray:
-    """Renumber clusters by first appearance (rows are sorted by index)."""
-    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
-    order = np.empty(len(first), dtype=np.int64)
-    order[np.argsort(first)] = np.arange(len(first))
-    return order[inverse]
-
-
-def _spectral(views: list[np.ndarray], k: int, gamma: float, iterations: int) -> np.ndarray:
-    """Leading eigenvectors of the mean normalised RBF affinity, then k-means on the rows."""
-    total, degrees = 0.0, []
-    for x in views:
-        a = np.exp(-gamma * _sq_dist(x, x))
-        np.fill_diagonal(a, 0.0)
-        d = np.sqrt(np.maximum(a.sum(1), 1e-12))
-        total, degrees = total + a / d[:, None] / d[None, :], [*degrees, d]
-    _, vectors = np.linalg.eigh(total / len(views))
-    u = vectors[:, ::-1][:, :k]
-    u = u * np.where(u[np.abs(u).argmax(0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
-    u = u / np.mean(degrees, axis=0)[:, None]
-    scale = np.abs(u).max() or 1.0
-    return _lloyd(u / scale, farthest_first(u / scale, k), iterations)
-
-
 def _mutual_merges(sums: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
     """Average-linkage merges of unit-vector sums as (parent, child, height, round).
 
@@ -115,24 +69,7 @@ def _mutual_merges(sums: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
     return merges
 
 
-def _cut_merges(merges: list, ids: np.ndarray, k: int) -> np.ndarray:
-    """Cluster root per id after leaving out the k-1 highest merges."""
-    merges = sorted(merges, key=lambda m: (m[2], m[3]))[: max(len(ids) - k, 0)]
-    parent = {child: par for par, child, _, _ in merges}
-
-    def root(i):
-        while i in parent:
-            i = parent[i]
-        return i
-
-    return np.array([root(i) for i in ids])
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-
-# ---- splitting by size --------------------------------------------------------------------------
+# ---- blocks -------------------------------------------------------------------------------------
 
 
 def _sized(points: DataFrame, ks: DataFrame) -> DataFrame:
@@ -141,28 +78,8 @@ def _sized(points: DataFrame, ks: DataFrame) -> DataFrame:
     return salted_join(points, sizes, ["problem"], spread=["index"])
 
 
-def _local(small: DataFrame, fn: Callable[[pd.DataFrame, int], np.ndarray]) -> DataFrame:
-    types = dict(small.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("index")
-        return pd.DataFrame({"problem": pdf["problem"], "index": pdf["index"], "cluster": _by_first_index(fn(pdf, int(pdf["k"].iloc[0])))})
-
-    return small.groupBy("problem").applyInPandas(run, f"problem {types['problem']}, index {types['index']}, cluster int")
-
-
-def _dispatch(points: DataFrame, ks: DataFrame, local: Callable, large: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
-    """Small problems through ``local``, each within one task; large ones through ``large``."""
-    biggest = points.groupBy("problem").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest <= block:
-        return _local(points.join(ks, "problem"), local)
-    sized = cut(_sized(points, ks))
-    small = _local(sized.filter(F.col("__n") <= block).drop("__n"), local)
-    return small.unionByName(large(sized.filter(F.col("__n") > block)))
-
-
 def _blocks(sized: DataFrame, block: int) -> DataFrame:
-    """Large problems cut into blocks, placed by block and kept; the rounds then move only the other side.
+    """Problems cut into blocks, placed by block and kept; the rounds then move only the other side.
 
     Blocks lost with an executor come back from the written table below the cache.
     """
@@ -181,9 +98,9 @@ def _meet(pts: DataFrame, other: DataFrame, fn: Callable, schema: str) -> DataFr
 
 
 def _sample(sized: DataFrame, m: int) -> DataFrame:
-    """About ``m`` rows per problem by hash, all rows where there are no more than ``m``."""
+    """About ``m`` rows per problem by hash, at least four per group asked for; all rows where there are no more."""
     draw = hash_int(stable_hash("landmark", "problem", "index")) / float(2**32)
-    return sized.filter(draw < F.lit(float(m)) / F.col("__n"))
+    return sized.filter(draw < F.greatest(F.lit(m), F.col("k") * 4) / F.col("__n"))
 
 
 def _renumber(assign: DataFrame) -> DataFrame:
@@ -201,109 +118,82 @@ def _vector_sum(col: str):
 # ---- k-means ------------------------------------------------------------------------------------
 
 
-def seed_centers(points: DataFrame, ks: DataFrame, sample: int = LANDMARKS) -> DataFrame:
-    """Starting centres ``(problem, c, center)``: farthest-first over a bounded sample of every problem."""
-    sized = _sized(points, ks) if "__n" not in points.columns else points
-    t = dict(points.dtypes)["problem"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("index")
-        c = farthest_first(_matrix(pdf["x"]), int(pdf["k"].iloc[0]))
-        return pd.DataFrame({"problem": pdf["problem"].iloc[0], "c": range(len(c)), "center": list(c)})
+def seed_centers(points: DataFrame, ks: DataFrame) -> DataFrame:
+    """Starting centres ``(problem, c, center)``, farthest first over all rows.
 
-    return _sample(sized, sample).groupBy("problem").applyInPandas(run, f"problem {t}, c int, center array<double>")
+    The row with the smallest index, then k - 1 times the row farthest from all chosen ones, ties to the
+    smaller index. Every round is one job for all problems that ask for so many groups.
+    """
+    rows = points.join(ks, "problem", "left_semi")
+    first = rows.groupBy("problem").agg(F.min(F.struct("index", "x")).alias("f"))
+    centers = cut(first.select("problem", F.lit(0).alias("c"), F.col("f.x").alias("center")))
+    for c in range(1, ks.agg(F.max("k")).first()[0] or 0):
+        wanted = rows.join(ks.filter(F.col("k") > c), "problem", "left_semi")
+        far = F.min(F.struct((-F.col("distance")).alias("near"), "index", "x")).alias("f")
+        chosen = assign_to_centers(wanted, centers).groupBy("problem").agg(far)
+        centers = cut(centers.unionByName(chosen.select("problem", F.lit(c).alias("c"), F.col("f.x").alias("center"))))
+    return centers
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """One assignment and update as joins and built-in aggregates: new ``(problem, c, center, n)``."""
+    """One assignment and update as joins and built-in aggregates: new ``(problem, c, center, n, cost)``."""
     assigned = assign_to_centers(points, centers)
+    mean = vector_to_array(Summarizer.mean(array_to_vector(as_double(F.col("x")))))
     return assigned.groupBy("problem", F.col("cluster").alias("c")).agg(
-        vector_to_array(Summarizer.mean(array_to_vector(as_double(F.col("x"))))).alias("center"), F.count(F.lit(1)).alias("n")
+        F.transform(mean, lambda v: F.round(v, 12)).alias("center"), F.count(F.lit(1)).alias("n"), F.sum("distance").alias("cost")
     )
 
 
 def assign_to_centers(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """Nearest centre per point, ties to the smaller centre number; centres travel packed, one row per problem."""
+    """Nearest centre per point as ``cluster`` with its squared ``distance``, ties to the smaller number; centres travel packed."""
     packed = centers.groupBy("problem").agg(
         F.sort_array(F.collect_list(F.struct("c", "center", dot(F.col("center"), F.col("center")).alias("sq")))).alias("__cs")
     )
     near = F.array_min(
         F.transform("__cs", lambda s: F.struct(F.round(s["sq"] - 2.0 * dot(F.col("x"), s["center"]), DIGITS).alias("d"), s["c"].alias("c")))
     )
-    return salted_join(points, packed, ["problem"], spread=["index"]).withColumn("cluster", near["c"]).drop("__cs")
-
-
-def kmeans(points: DataFrame, ks: DataFrame, iterations: int = ITERATIONS, block: int = BLOCK) -> DataFrame:
-    """Lloyd's k-means for every problem."""
-
-    def local(pdf: pd.DataFrame, k: int) -> np.ndarray:
-        x = _matrix(pdf["x"])
-        return _lloyd(x, farthest_first(x, k), iterations)
-
-    return _dispatch(points.select("problem", "index", "x"), ks, local, lambda s: _kmeans_large(s, iterations, block), block)
+    met = salted_join(points, packed, ["problem"], spread=["index"]).withColumn("__near", near)
+    distance = F.round(F.col("__near.d") + dot(F.col("x"), F.col("x")), DIGITS)
+    return met.withColumn("cluster", F.col("__near.c")).withColumn("distance", F.greatest(distance, F.lit(0.0))).drop("__cs", "__near")
 
 
-def _kmeans_large(sized: DataFrame, iterations: int, block: int) -> DataFrame:
-    """Lloyd rounds: every block assigns its rows and returns k partial sums."""
-    pts = _blocks(sized, block)
-    types = dict(sized.dtypes)
-    centers = cut(seed_centers(sized, sized.select("problem", "k").distinct()))
-
-    def sums(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values("c")
-        x = _matrix(p["x"])
-        near = _sq_dist(x, _matrix(c["center"])).argmin(1)
-        got = [(p["problem"].iloc[0], int(j), x[near == j].sum(0), int((near == j).sum())) for j in np.unique(near)]
-        return pd.DataFrame(got, columns=["problem", "c", "s", "n"])
-
-    def labels(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values("c")
-        near = _sq_dist(_matrix(p["x"]), _matrix(c["center"])).argmin(1)
-        return pd.DataFrame({"problem": p["problem"], "index": p["index"], "cluster": near})
-
-    for _ in range(iterations):
-        part = _meet(pts, centers, sums, f"problem {types['problem']}, c int, s array<double>, n long")
-        mean = part.groupBy("problem", "c").agg(_vector_sum("s").alias("s"), F.sum("n").alias("n")).select(
-            "problem", "c", F.transform("s", lambda v: v / F.col("n")).alias("new")
-        )
-        moved = cut(centers.join(mean, ["problem", "c"], "left").withColumn("new", F.coalesce("new", "center")))
+def kmeans(points: DataFrame, ks: DataFrame) -> DataFrame:
+    """Lloyd's k-means for every problem, until no centre moves or the summed squared distance falls no further."""
+    pts = cut(points.select("problem", "index", as_double(F.col("x")).alias("x")).join(ks, "problem", "left_semi"))
+    centers = seed_centers(pts, ks)
+    last = None
+    while True:
+        step = lloyd_step(pts, centers).select("problem", "c", F.col("center").alias("new"), "cost")
+        moved = cut(centers.join(step, ["problem", "c"], "left").withColumn("new", F.coalesce("new", "center")))
         shift = F.array_max(F.zip_with("new", "center", lambda a, b: F.abs(a - b)))
-        done = moved.agg(F.max(shift)).first()[0]
+        far, cost = moved.agg(F.max(shift), F.sum("cost")).first()
         centers = moved.select("problem", "c", F.col("new").alias("center"))
-        if done is None or done <= 1e-9:
+        if far is None or far <= 1e-9 or (last is not None and cost >= last):
             break
-    found = cut(_meet(pts, centers, labels, f"problem {types['problem']}, index {types['index']}, cluster int"))
-    pts.unpersist()
-    return _renumber(found)
+        last = cost
+    return _renumber(cut(assign_to_centers(pts, centers).select("problem", "index", "cluster")))
 
 
 # ---- spectral -----------------------------------------------------------------------------------
 
 
-def spectral(points: DataFrame, ks: DataFrame, gamma: float = 1.0, iterations: int = ITERATIONS, block: int = BLOCK) -> DataFrame:
+def spectral(points: DataFrame, ks: DataFrame, gamma: float = 1.0, block: int = BLOCK) -> DataFrame:
     """Spectral clustering with an RBF affinity."""
-    return multiview_spectral(points.select("problem", "index", F.col("x").alias("x0")), ks, gamma, iterations, block)
+    return multiview_spectral(points.select("problem", "index", F.col("x").alias("x0")), ks, gamma, block)
 
 
 def multiview_spectral(
-    points: DataFrame, ks: DataFrame, gamma: float = 1.0, iterations: int = ITERATIONS, block: int = BLOCK, landmarks: int = LANDMARKS
+    points: DataFrame, ks: DataFrame, gamma: float = 1.0, block: int = BLOCK, landmarks: int = LANDMARKS
 ) -> DataFrame:
     """Spectral clustering of aligned views ``x0, x1, ...``: the normalised affinities are averaged.
 
-    Problems of up to ``block`` rows use the full affinity matrix. Larger ones use its
-    low-rank form through hashed landmark rows, linear in the number of rows.
+    The affinity exp(-gamma d^2), a row with itself included, is used in its low-rank form through landmark rows
+    chosen by hash: linear in the rows, exact where a problem has no more rows than ``landmarks``. Landmarks are a
+    bounded sample by which the space is spanned; every row is embedded and grouped.
     """
     cols = [c for c in points.columns if c.startswith("x") and c[1:].isdigit()]
-
-    def local(pdf: pd.DataFrame, k: int) -> np.ndarray:
-        return _spectral([_matrix(pdf[c]) for c in cols], k, gamma, iterations)
-
-    return _dispatch(
-        points.select("problem", "index", *cols), ks, local, lambda s: _spectral_large(s, cols, gamma, iterations, block, landmarks), block
-    )
-
-
-def _spectral_large(sized: DataFrame, cols: list[str], gamma: float, iterations: int, block: int, m: int) -> DataFrame:
+    sized = cut(_sized(points.select("problem", "index", *cols), ks))
+    m = landmarks
     pts = _blocks(sized, block)
     t = dict(sized.dtypes)
     marks = cut(_sample(sized, m).select("problem", F.col("index").alias("mark"), *cols))
@@ -356,28 +246,21 @@ def _spectral_large(sized: DataFrame, cols: list[str], gamma: float, iterations:
 
     rows = cut(_meet(pts, ready, embed, f"problem {t['problem']}, index {t['index']}, x array<double>"))
     pts.unpersist()
-    return kmeans(rows, ks, iterations, block)
+    return kmeans(rows, ks)
 
 
 # ---- agglomerative ------------------------------------------------------------------------------
 
 
 def agglomerative(points: DataFrame, ks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Average linkage on cosine distance, cut at k clusters."""
-
-    def local(pdf: pd.DataFrame, k: int) -> np.ndarray:
-        ids = np.arange(len(pdf))
-        return _cut_merges(_mutual_merges(_unit(_matrix(pdf["x"])), np.ones(len(pdf)), ids), ids, k)
-
-    return _dispatch(points.select("problem", "index", "x"), ks, local, lambda s: _agglomerative_large(s, block), block)
-
-
-def _agglomerative_large(sized: DataFrame, block: int) -> DataFrame:
-    """Rounds of mutual nearest-neighbour merges on cluster sums, then one cut over all merge heights.
+    """Average linkage on cosine distance, cut at k clusters.
 
-    Nearest neighbours come from a grid of block products; a problem leaves the rounds
-    as soon as its remaining clusters fit one task.
+    The mean cosine between two clusters is the dot product of their mean unit vectors, so sums and sizes are enough. Rounds of
+    mutual nearest-neighbour merges give exactly the average-linkage tree, whatever their order; then one cut over all merge
+    heights. Nearest neighbours come from a grid of block products. A problem leaves the rounds as soon as its
+    clusters fit one block, where the same merges go on in one task: that bounds the rounds, not the result.
     """
+    sized = cut(_sized(points.select("problem", "index", "x"), ks))
     t = dict(sized.dtypes)
     length = F.sqrt(dot(F.col("x"), F.col("x")))
     state = cut(

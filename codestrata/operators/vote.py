@@ -91,8 +91,8 @@ def seed_sets(assign: DataFrame, clusters: list[str], chosen: DataFrame, keys: l
 # ---- alignment ----------------------------------------------------------------------------------
 
 
-def _assign(gain: np.ndarray) -> list[int]:
-    """Column per row with the largest total gain (shortest augmenting paths on -gain)."""
+def _assign(gain: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Column per row with the largest total gain (shortest augmenting paths on -gain), and which cells some optimum may use."""
     n = len(gain)
     cost = -gain
     u, v, match = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int)
@@ -117,24 +117,40 @@ def _assign(gain: np.ndarray) -> list[int]:
     out = [0] * n
     for j in range(1, n + 1):
         out[match[j] - 1] = j - 1
-    return out
+    return out, cost - u[1:, None] - v[None, 1:] <= 1e-9
 
 
 def _first_best(gain: np.ndarray) -> list[int]:
-    """The optimal assignment that comes first when label positions are read as a word."""
+    """The optimal assignment that comes first when label positions are read as a word.
+
+    All optimal assignments use cells without reduced cost only, so one solution is turned into the first one by
+    exchanging along such cells, row by row.
+    """
+    column, tight = _assign(gain)
     n = len(gain)
-    free, picked = list(range(n)), []
+    row_of = [0] * n
+    for r, c in enumerate(column):
+        row_of[c] = r
+
+    def free(row: int, fixed: int, goal: int, seen: set[int]) -> bool:
+        """Move ``row`` to another column, through rows after ``fixed``, so that ``goal`` is taken."""
+        for c in np.flatnonzero(tight[row]).tolist():
+            if c in seen or row_of[c] < fixed:
+                continue
+            seen.add(c)
+            if c == goal or (row_of[c] > fixed and free(row_of[c], fixed, goal, seen)):
+                row_of[c], column[row] = row, c
+                return True
+        return False
+
     for row in range(n):
-        rest = gain[row:][:, free]
-        total = sum(rest[i, j] for i, j in enumerate(_assign(rest)))
-        for at, col in enumerate(free):
-            others = [c for c in free if c != col]
-            below = gain[row + 1 :][:, others]
-            if gain[row, col] + sum(below[i, j] for i, j in enumerate(_assign(below))) >= total - 1e-12:
-                picked.append(col)
-                free.pop(at)
+        for c in np.flatnonzero(tight[row]).tolist():
+            if c == column[row]:
+                break
+            if row_of[c] > row and free(row_of[c], row, column[row], {c}):
+                row_of[c], column[row] = row, c
                 break
-    return picked
+    return column
 
 
 def align_labels(cells: DataFrame, labels: DataFrame, keys: list[str] = ("problem",)) -> DataFrame:
@@ -142,7 +158,8 @@ def align_labels(cells: DataFrame, labels: DataFrame, keys: list[str] = ("proble
 
     The score is a sum over (cluster, label) of ``2 n_a C_ab / (n_a + m_b)``, so the
     best permutation is an assignment on the k x k counts. Ties go to the permutation
-    that is first in label order. Gives ``(keys, cluster, label)``.
+    that is first in label order. Gives ``(keys, cluster, label)``; ``labels`` should hold all labels of
+    the problem, and clusters beyond their number have a null label.
     """
     types = dict(cells.dtypes)
     keys = list(keys)
@@ -156,7 +173,7 @@ def align_labels(cells: DataFrame, labels: DataFrame, keys: list[str] = ("proble
             c[int(a), names.index(b)] += n
         row, col = c.sum(1)[:, None], c.sum(0)[None, :]
         gain = np.where(c > 0, 2 * row * c / np.maximum(row + col, 1), 0.0)
-        got = [(a, names[b]) for a, b in enumerate(_first_best(gain)) if b < len(names)]
+        got = [(a, names[b] if b < len(names) else None) for a, b in enumerate(_first_best(gain))]
         out = pd.DataFrame(got, columns=["cluster", "label"])
         for at, key in enumerate(keys):
             out.insert(at, key, pdf[key].iloc[0])
@@ -166,36 +183,45 @@ def align_labels(cells: DataFrame, labels: DataFrame, keys: list[str] = ("proble
     return cells.join(names, "problem").groupBy(*keys).applyInPandas(run, schema)
 
 
-def named_clusters(assign: DataFrame, keys: list[str] = ("problem",), label: str = "label") -> DataFrame:
-    """``assign`` with truth and aligned prediction: ``(keys, index, y_true, y_pred)``."""
+def named_clusters(assign: DataFrame, keys: list[str] = ("problem",), label: str = "label", labels: DataFrame | None = None) -> DataFrame:
+    """``assign`` with truth and aligned prediction: ``(keys, index, y_true, y_pred)``.
+
+    ``labels`` are all labels ``(problem, label)`` where ``assign`` may lack some. No row with a cluster is lost: those of a cluster that
+    got no label have a null ``y_pred``.
+    """
     keys = list(keys)
     known = assign.filter(F.col("cluster").isNotNull())
     cells = known.groupBy(*keys, "cluster", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    names = align_labels(cells, assign.select("problem", F.col(label).alias("label")), keys)
-    return salted_join(known.withColumnRenamed(label, "y_true"), names.withColumnRenamed("label", "y_pred"), [*keys, "cluster"], spread=["index"])
+    every = assign.select("problem", F.col(label).alias("label")) if labels is None else labels.select("problem", "label")
+    names = align_labels(cells, every, keys)
+    return salted_join(known.withColumnRenamed(label, "y_true"), names.withColumnRenamed("label", "y_pred"), [*keys, "cluster"], "left", spread=["index"])
 
 
 # ---- self-training ------------------------------------------------------------------------------
 
 
 def self_train(
-    agreed: DataFrame, rest: DataFrame, learners: list[Learner], final: bool = False, min_growth: int = MIN_GROWTH, max_rounds: int = 50
+    agreed: DataFrame, rest: DataFrame, learners: list[Learner], final: bool = False, min_growth: int = MIN_GROWTH, max_rounds: int | None = None
 ) -> DataFrame:
     """Grow the agreed rows: ``(problem, index, label, round)`` for every row that found a label.
 
     ``agreed(problem, index, label, x0, x1, ...)``, ``rest`` the same without a label. Each
     round fits one learner per view on the agreed rows of all open problems and moves
     the rows on which all views agree. A problem closes when nothing is left or a
-    round added at most ``min_growth`` rows. ``final`` gives the rows still open the
-    label of the first view.
+    round added at most ``min_growth`` rows, so rounds end without a limit; ``max_rounds`` stops
+    earlier, for single steps. ``final`` gives the rows still open the label of the first view.
+
+    Vectors are written once; a round writes only the keys and labels that it moves.
     """
     views = len(learners)
     xs = [f"x{i}" for i in range(views)]
-    agreed = cut(agreed.select("problem", "index", "label", *xs, F.lit(0).alias("round")))
-    rest = cut(rest.select("problem", "index", *xs))
-    added = agreed.groupBy("problem").agg(F.count(F.lit(1)).alias("added"))
+    data = cut(agreed.select("problem", "index", *xs).unionByName(rest.select("problem", "index", *xs)))
+    labels = cut(agreed.select("problem", "index", "label", F.lit(0).alias("round")))
+    left = cut(rest.select("problem", "index"))
+    added = labels.groupBy("problem").agg(F.count(F.lit(1)).alias("added"))
 
     def predictions(train: DataFrame, test: DataFrame, use: list[int]) -> DataFrame:
+        train, test = train.join(data, ["problem", "index"]), test.join(data, ["problem", "index"])
         out = test.select("problem", "index")
         for i in use:
             one = learners[i](
@@ -204,21 +230,20 @@ def self_train(
             out = out.join(one.select("problem", "index", F.col("pred").alias(f"p{i}")), ["problem", "index"])
         return out
 
-    for number in range(1, max_rounds + 1):
-        open_problems = added.filter(F.col("added") > min_growth).join(rest.select("problem").distinct(), "problem", "left_semi")
+    number = 0
+    while max_rounds is None or number < max_rounds:
+        number += 1
+        open_problems = added.filter(F.col("added") > min_growth).join(left.select("problem").distinct(), "problem", "left_semi")
         open_problems = cut(open_problems.select("problem"))
         if open_problems.isEmpty():
             break
-        train, test = agreed.join(open_problems, "problem", "left_semi"), rest.join(open_problems, "problem", "left_semi")
-        voted = predictions(train, test, list(range(views)))
+        voted = predictions(labels.join(open_problems, "problem", "left_semi"), left.join(open_problems, "problem", "left_semi"), list(range(views)))
         same = reduce(lambda a, b: a & b, [F.col(f"p{i - 1}") == F.col(f"p{i}") for i in range(1, views)], F.lit(True))
-        moved = cut(voted.filter(same).select("problem", "index", F.col("p0").alias("label")))
-        new = rest.join(moved, ["problem", "index"]).select("problem", "index", "label", *xs, F.lit(number).alias("round"))
-        agreed = cut(agreed.unionByName(new))
-        rest = cut(rest.join(moved.select("problem", "index"), ["problem", "index"], "left_anti"))
+        moved = cut(voted.filter(same).select("problem", "index", F.col("p0").alias("label"), F.lit(number).alias("round")))
+        labels = labels.unionByName(moved)
+        left = cut(left.join(moved.select("problem", "index"), ["problem", "index"], "left_anti"))
         added = moved.groupBy("problem").agg(F.count(F.lit(1)).alias("added"))
-    out = agreed.select("problem", "index", "label", "round")
-    if final and not rest.isEmpty():
-        last = predictions(agreed, rest, [0]).select("problem", "index", F.col("p0").alias("label"), F.lit(-1).alias("round"))
-        out = out.unionByName(last)
-    return out
+    if final and not left.isEmpty():
+        last = predictions(labels, left, [0]).select("problem", "index", F.col("p0").alias("label"), F.lit(-1).alias("round"))
+        labels = labels.unionByName(last)
+    return labels

@@ -117,7 +117,7 @@ def voting_report(
         counts = grid.groupBy(*keys, F.concat_ws("$", *[F.col(c).cast("string") for c in cols]).alias("path")).agg(F.count(F.lit(1)).alias("n"))
         chosen = cut(consensus(counts, ks, keys))
         seeds = cut(seed_sets(grid, cols, chosen, keys))
-        named = cut(named_clusters(seeds.filter("agreed"), keys))
+        named = cut(named_clusters(seeds.filter("agreed"), keys, labels=rows))
         before = f1_report(named, keys, legacy_swap)
         embeddings = F.lit("/".join(anchored)).alias("embeddings")
         failed = chosen.filter(F.col("path").isNull()).select("problem", "clusterings")
@@ -125,9 +125,11 @@ def voting_report(
         data = rows.select("problem", "index", *xs)
         # a grid cell is its own problem for the learners, so one call trains every cell
         cell = F.concat_ws("\u0001", "problem", "clusterings").alias("cell")
-        agreed = named.select(cell, "problem", "index", F.col("y_pred").alias("label")).join(data, ["problem", "index"]).drop("problem")
+        agreed = named.filter(F.col("y_pred").isNotNull()).select(cell, "problem", "index", F.col("y_pred").alias("label")).join(data, ["problem", "index"]).drop("problem")
         ok = seeds.join(failed, keys, "left_anti")
-        rest = ok.filter(~F.col("agreed")).select(cell, "problem", "index").join(data, ["problem", "index"]).drop("problem")
+        # agreed rows of a cluster without a label have to find one like the rest
+        unnamed = named.filter(F.col("y_pred").isNull()).select(cell, "problem", "index")
+        rest = ok.filter(~F.col("agreed")).select(cell, "problem", "index").unionByName(unnamed).join(data, ["problem", "index"]).drop("problem")
         for t in product(classifiers, repeat=len(s)):
             grown = self_train(
                 agreed.withColumnRenamed("cell", "problem"), rest.withColumnRenamed("cell", "problem"), [CLASSIFIERS[c] for c in t]

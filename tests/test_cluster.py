@@ -1,4 +1,4 @@
-"""The block-wise paths against the one-task paths, and both against plain definitions."""
+"""Clusterings against plain definitions, and the same groups whatever the blocks and partitions."""
 
 import numpy as np
 import pytest
@@ -38,13 +38,43 @@ def test_separable_groups(spark, name):
     assert same_as_labels(pts, groups(C.CLUSTERERS[name](pts, ks)))
 
 
-@pytest.mark.parametrize("name", ["kmeans", "spectral", "agglomerative"])
-def test_large_path_separable(spark, name):
+@pytest.mark.parametrize("name", ["spectral", "agglomerative"])
+def test_small_blocks_separable(spark, name):
     pts = blobs(spark)
     got = groups(C.CLUSTERERS[name](pts, C.known_k(pts), block=16))
     assert same_as_labels(pts, got)
 
 
+def slow_kmeans(x, k):
+    d = lambda c: np.round(((x[:, None] - np.array(c)[None]) ** 2).sum(2), 9)
+    centers = [x[0]]
+    while len(centers) < k:
+        centers.append(x[d(centers).min(1).argmax()])
+    while True:
+        near = d(centers).argmin(1)
+        new = [x[near == j].mean(0) if (near == j).any() else centers[j] for j in range(k)]
+        if np.allclose(new, centers, atol=1e-9, rtol=0):
+            return near
+        centers = new
+
+
+def test_large_problem_in_any_partitions(spark):
+    """3,000 rows without clear groups: k-means by definition, and the clusterings do not depend on blocks or partitions."""
+    pts = noise(spark, 3000, seed=9)
+    ks = pts.select("problem").distinct().withColumn("k", F.lit(4))
+    rows = lambda df: sorted((r["index"], r["cluster"]) for r in df.collect())
+    got = rows(C.kmeans(pts, ks))
+    x = np.array([r["x"] for r in sorted(pts.collect(), key=lambda r: r["index"])])
+    near = slow_kmeans(x, 4)
+    first = {}
+    assert got == [(i, first.setdefault(int(c), len(first))) for i, c in enumerate(near)]
+    assert rows(C.kmeans(pts.repartition(7, "index"), ks)) == got
+    spectral = rows(C.spectral(pts, ks))
+    assert rows(C.spectral(pts.repartition(5), ks, block=700)) == spectral
+    assert len({c for _, c in spectral}) == 4
+    assert rows(C.agglomerative(pts, ks, block=1500)) == rows(C.agglomerative(pts, ks, block=4000))
+
+
 def noise(spark, n=70, seed=5):
     rng = np.random.default_rng(seed)
     rows = [("p", i, [float(v) for v in rng.normal(0, 1, 4)]) for i in range(n)]
@@ -74,13 +104,6 @@ def test_agglomerative_is_average_linkage(spark, block, k):
     assert sorted(map(sorted, got.values())) == slow_average_linkage(x, k)
 
 
-def test_kmeans_large_is_kmeans(spark):
-    pts = noise(spark)
-    ks = pts.select("problem").distinct().withColumn("k", F.lit(4))
-    a, b = C.kmeans(pts, ks), C.kmeans(pts, ks, block=20)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
 def test_multiview(spark):
     pts = blobs(spark)
     two = pts.select("problem", "index", "label", F.slice("x", 1, 3).alias("x0"), F.col("x").alias("x1"))

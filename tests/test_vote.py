@@ -38,6 +38,21 @@ def test_assignment_against_all_permutations(seed):
     assert U._first_best(gain) == list(best)
 
 
+def test_first_best_of_many_labels():
+    gain = np.zeros((60, 60))
+    assert U._first_best(gain) == list(range(60))  # all equal: the first word
+    gain[np.arange(60), np.arange(60)[::-1]] = 1
+    assert U._first_best(gain) == list(range(60))[::-1]
+
+
+def test_more_clusters_than_labels_lose_no_row(spark):
+    rows = [("p", i, i % 3, f"l{i % 2}") for i in range(9)]
+    got = U.named_clusters(spark.createDataFrame(rows, "problem string, index long, cluster int, label string")).collect()
+    assert sorted(r["index"] for r in got) == list(range(9))
+    assert len({r["cluster"] for r in got if r["y_pred"] is None}) == 1
+    assert {r["y_pred"] for r in got} == {"l0", "l1", None}
+
+
 def test_consensus_flags_impossible(spark):
     paths = spark.createDataFrame([("a", "0$0", 5), ("a", "1$0", 4), ("b", "0$1", 3), ("b", "1$0", 3)], "problem string, path string, n long")
     ks = spark.createDataFrame([("a", 2), ("b", 2)], "problem string, k int")
