@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.session import shared_folder
+from codestrata.session import own_folder
 
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +36,7 @@ class Tables:
 
     def scratch(self, name: str) -> str:
         """A fresh path in the shared folder for queries that exercise a writer and its reader."""
-        return f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}/{name}"
+        return f"{own_folder(self.spark)}/scratch-{uuid.uuid4().hex}/{name}"
 
 
 def query(name: str, sql: str | None = None):

@@ -259,10 +259,24 @@ known_paths AS (
   WHERE f.a % 5 <> 0 AND f.b % 5 <> 0)"""
 
 
-@query("match_tokens", f"WITH {PATH_TABLES} SELECT fold_id, train_id FROM known_tokens")
+def _token_id(kind: str) -> str:
+    return f"('0x' || substr(md5(concat('{kind}', token)), 1, 12))::bigint"
+
+
+DOCUMENT_TOKENS = "dt AS (SELECT DISTINCT lang = 'en' AS en, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS token FROM documents)"
+
+
+@query(
+    "match_tokens",
+    f"""WITH {DOCUMENT_TOKENS} SELECT {_token_id('fold')} AS fold_id, {_token_id('train')} AS train_id
+    FROM dt f JOIN dt t USING (token) WHERE f.en AND NOT t.en""",
+)
 def _(t: Tables) -> DataFrame:
-    v = fold_tables(t)
-    return R.match_by_text(v["fold_tokens"], v["train_tokens"], "token")
+    """The vocabulary of the English documents matched with that of all others."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0))
+    seen = t.documents.select((F.col("lang") == "en").alias("en"), F.explode(words).alias("token")).distinct()
+    number = lambda kind: F.conv(F.substring(F.md5(F.concat(F.lit(kind), "token")), 1, 12), 16, 10).cast("long").alias("id")
+    return R.match_by_text(seen.filter("en").select("token", number("fold")), seen.filter(~F.col("en")).select("token", number("train")), "token")
 
 
 @query("match_paths", f"WITH {PATH_TABLES} SELECT fold_id, train_id FROM known_paths")
@@ -387,12 +401,13 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "union_folds",
-    "SELECT doc_id AS index, 'train' AS fold, NULL AS y FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'unlabeled', n_chars FROM documents WHERE lang = 'es'",
+    "SELECT doc_id AS index, 'train' AS fold, NULL AS y FROM documents WHERE lang IN ('en', 'de') UNION ALL SELECT doc_id, 'unlabeled', n_chars FROM documents WHERE lang NOT IN ('en', 'de')",
 )
 def _(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "lang", "n_chars")
-    train = d.filter(F.col("lang") == "en").select(F.col("doc_id").alias("index"), F.lit("train").alias("fold"))
-    other = d.filter(F.col("lang") == "es").select(F.col("doc_id").alias("index"), F.lit("unlabeled").alias("fold"), F.col("n_chars").alias("y"))
+    known = F.col("lang").isin("en", "de")
+    train = d.filter(known).select(F.col("doc_id").alias("index"), F.lit("train").alias("fold"))
+    other = d.filter(~known).select(F.col("doc_id").alias("index"), F.lit("unlabeled").alias("fold"), F.col("n_chars").alias("y"))
     return train.unionByName(other, allowMissingColumns=True)
 
 

@@ -180,17 +180,25 @@ def _(t: Tables) -> DataFrame:
     return sources(t).select("index", F.array_join(X.tokenize_bleu(F.col("code")), " ").alias("tokens"))
 
 
+@query(
+    "scrub",
+    f"WITH {SOURCES} SELECT index, replace(replace(concat('#include<conio.h>', code, ' void main('), '#include<conio.h>', chr(10)), 'void main(', 'int main(') AS code FROM sources",
+)
+def _(t: Tables) -> DataFrame:
+    return sources(t).select("index", X.scrub(F.concat(F.lit("#include<conio.h>"), F.col("code"), F.lit(" void main("))).alias("code"))
+
+
 # ---- small scalars ------------------------------------------------------------------------------
 
 
 @query(
     "normalize_label",
-    """SELECT doc_id AS index, translate(lower(trim(concat('  ', CASE WHEN doc_id % 2 = 0 THEN 'ÎNTREGI' ELSE ' Grafţi ' END, substr(text, 1, 20), ' '))), 'ăţâîş', 'atais') AS label
+    """SELECT doc_id AS index, translate(lower(trim(concat('  ', CASE WHEN doc_id % 2 = 0 THEN 'ÎNTREGI' ELSE ' Grafţi ' END, text, ' '))), 'ăţâîş', 'atais') AS label
     FROM (SELECT doc_id, regexp_replace(text, '\\s', '_', 'g') AS text FROM documents)""",
 )
 def _(t: Tables) -> DataFrame:
     text = F.regexp_replace("text", r"\s", "_")
-    raw = F.concat(F.lit("  "), F.when(F.col("doc_id") % 2 == 0, "ÎNTREGI").otherwise(" Grafţi "), F.substring(text, 1, 20), F.lit(" "))
+    raw = F.concat(F.lit("  "), F.when(F.col("doc_id") % 2 == 0, "ÎNTREGI").otherwise(" Grafţi "), text, F.lit(" "))
     return t.documents.select(F.col("doc_id").alias("index"), X.normalize_label(raw).alias("label"))
 
 
@@ -268,23 +276,25 @@ def bodies(t: Tables) -> DataFrame:
 
 @query(
     "pad_post",
-    f"""WITH {fx.INSTRUCTIONS}, {BODY}, cutoff AS (SELECT id, instr[1:1 + id % 40] AS instr FROM body)
-    SELECT id, array_to_string(list_resize(instr[1:30], 30, 0), ',') AS ids, cast(least(len(instr), 30) AS int) AS len FROM cutoff""",
+    f"""WITH {fx.INSTRUCTIONS}, {BODY}
+    SELECT id, array_to_string(list_resize(instr[1:30], 30, 0), ',') AS cut, array_to_string(list_resize(instr[1:50], 50, 0), ',') AS padded, cast(least(len(instr), 50) AS int) AS len FROM body""",
 )
 def _(t: Tables) -> DataFrame:
-    short = bodies(t).withColumn("instr", F.slice("instr", F.lit(1), (F.col("id") % 40 + 1).cast("int")))
-    ids, length = A.pad_post(F.col("instr"), 30)
-    return short.select("id", F.array_join(ids.cast("array<string>"), ",").alias("ids"), length.alias("len"))
+    """Whole bodies, cut to 30 and padded to 50."""
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    cut, _ = A.pad_post(F.col("instr"), 30)
+    padded, length = A.pad_post(F.col("instr"), 50)
+    return bodies(t).select("id", joined(cut).alias("cut"), joined(padded).alias("padded"), length.alias("len"))
 
 
-@query(
-    "pad_pre",
-    f"""WITH {fx.INSTRUCTIONS}, {BODY}, cutoff AS (SELECT id, instr[1:1 + id % 40] AS instr FROM body)
-    SELECT id, array_to_string(list_concat(list_resize([]::bigint[], greatest(30 - len(instr), 0), -7), instr[greatest(len(instr) - 29, 1):]), ',') AS ids FROM cutoff""",
-)
+def _pad_pre_sql(n: int) -> str:
+    return f"array_to_string(list_concat(list_resize([]::bigint[], greatest({n} - len(instr), 0), -7), instr[greatest(len(instr) - {n - 1}, 1):]), ',')"
+
+
+@query("pad_pre", f"""WITH {fx.INSTRUCTIONS}, {BODY} SELECT id, {_pad_pre_sql(30)} AS cut, {_pad_pre_sql(50)} AS padded FROM body""")
 def _(t: Tables) -> DataFrame:
-    short = bodies(t).withColumn("instr", F.slice("instr", F.lit(1), (F.col("id") % 40 + 1).cast("int")))
-    return short.select("id", F.array_join(A.pad_pre(F.col("instr"), 30, -7).cast("array<string>"), ",").alias("ids"))
+    padded = lambda n: F.array_join(A.pad_pre(F.col("instr"), n, -7).cast("array<string>"), ",")
+    return bodies(t).select("id", padded(30).alias("cut"), padded(50).alias("padded"))
 
 
 @query(

@@ -9,7 +9,7 @@ from codestrata.functions.arrays import difficulty_class, is_labelled, multi_hot
 from codestrata.scale import hash_int, hash_rank, hash_running_sum, salted_join, stable_hash
 from codestrata.session import cut
 
-RARE = 7  # label sets with fewer rows are pooled under their rarest label
+RARE = 7  # the fewest rows of which each of the default shares gets one
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -24,8 +24,11 @@ def split_labelled(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.withColumn("Y", F.when(known, multi_hot(F.col("tags"), labels))).withColumn("fold", F.when(~known, "unlabeled"))
 
 
-def stratified_split(df: DataFrame, key: str, p: float = 0.15, seed: int = 42, y: str = "Y") -> DataFrame:
-    """Folds train/dev/test with every label set split alike (shares 1-2p / p / p)."""
+def stratified_split(df: DataFrame, key: str, p: float = 0.15, seed: int = 42, y: str = "Y", rare: int = RARE) -> DataFrame:
+    """Folds train/dev/test with every label set split alike (shares 1-2p / p / p).
+
+    Label sets of fewer than ``rare`` rows cannot be split by these shares and form one stratum per rarest label.
+    """
     counts = (
         df.select(F.posexplode(y).alias("pos", "v"))
         .groupBy("pos")
@@ -43,7 +46,7 @@ def stratified_split(df: DataFrame, key: str, p: float = 0.15, seed: int = 42, y
     )
     rarest = F.array_min(positives)["i"].cast("string")
     d = d.withColumn(
-        "__stratum", F.when(F.col("__n") < RARE, F.concat(F.lit("rare:"), F.coalesce(rarest, F.lit("none")))).otherwise(F.col("__set"))
+        "__stratum", F.when(F.col("__n") < rare, F.concat(F.lit("rare:"), F.coalesce(rarest, F.lit("none")))).otherwise(F.col("__set"))
     ).drop("__counts", "__n", "__set")
     d = hash_rank(d.withColumn("__h", stable_hash(seed, key)), ["__stratum"], "__h", [key], out="__rn", total="__size")
     n_test = F.floor(F.col("__size") * p + 0.5)

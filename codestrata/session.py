@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -67,6 +68,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_KEPT: set[str] = set()  # applications whose intermediate files go when the driver ends
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    own = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _KEPT:
+        _KEPT.add(own)
+        atexit.register(release, spark)
+    return own
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate files of this application; results that were not written elsewhere cannot be read any more.
+
+    Operators are lazy, so their files must last as long as the frames that read them: the driver's end calls this, and
+    a long session may call it between jobs.
+    """
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    target = sc._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later plans start from the files.
 
@@ -74,6 +100,6 @@ def cut(df: DataFrame) -> DataFrame:
     which would grow with every round of an iterative operator.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

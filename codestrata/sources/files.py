@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +64,13 @@ def read_keyed_lines(spark: SparkSession, path: str, sep: str = " ") -> DataFram
     return keyed_lines(spark.read.text(path), "value", sep)
 
 
+def _quoted(sep: str) -> str:
+    """The separator as a pattern that matches just itself."""
+    return "".join(rf"\Q{c}\E" if c != "\\" else r"\\" for c in sep)
+
+
 def keyed_lines(df: DataFrame, col: str, sep: str = " ") -> DataFrame:
-    cells = F.split(F.col(col), sep.replace("|", r"\|"))
+    cells = F.split(F.col(col), _quoted(sep))
     return df.select(F.get(cells, F.lit(0)).alias("key"), F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))).alias("values"))
 
 
@@ -86,15 +90,23 @@ def with_function_id(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored under a path of any file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_functions(df: DataFrame, path: str) -> None:
-    """Append functions to a table laid out by compiler and optimisation level, skipping ids already stored."""
+    """Append functions to a table laid out by compiler and optimisation level, skipping ids already stored and repeated ones."""
     spark = df.sparkSession
     new = with_function_id(df)
     cols = ["id", *[c for c in new.columns if c != "id"]]
-    try:
-        new = new.join(spark.read.parquet(path).select("id"), "id", "left_anti")
-    except AnalysisException:
-        pass  # first write
+    new = first_per_key(new, ["id"], ["compiler", "optimization"])
+    if _exists(spark, path):
+        places = ["compiler", "optimization"]
+        stored = spark.read.parquet(path).select("id", *places)
+        # the partition columns in the join let the scan skip the parts that the new rows do not touch
+        new = new.join(stored, ["id", *places], "left_anti")
     new.select(*cols).write.mode("append").partitionBy("compiler", "optimization").parquet(path)
 
 
@@ -109,6 +121,16 @@ def parse_provenance(df: DataFrame, path_col: str = "path") -> DataFrame:
     )
 
 
+def export_counts(df: DataFrame, hash_col: str) -> DataFrame:
+    """(total, kept): functions read and distinct ones exported."""
+    return df.agg(F.count(F.lit(1)).alias("total"), F.countDistinct(hash_col).alias("kept"))
+
+
+def write_corpus(lines: DataFrame, path: str, mode: str = "error") -> None:
+    """The lines of ``export_corpus`` as text files."""
+    lines.select("line").write.mode(mode).text(path)
+
+
 def export_corpus(df: DataFrame, hash_col: str, instr_col: str, order: list[str]) -> DataFrame:
     """First occurrence of every function hash as one line of instructions and five end markers."""
     kept = first_per_key(df.select(hash_col, *order, instr_col), [hash_col], order)

@@ -151,3 +151,42 @@ def test_auc_ignores_monotone_maps(spark):
     pos, neg = [r["score"] for r in rows if r["y"]], [r["score"] for r in rows if not r["y"]]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
     assert a == pytest.approx(want) and b == pytest.approx(want)
+
+
+def test_intermediate_files_go_with_the_application(spark):
+    import os
+
+    from codestrata.session import cut, own_folder, release
+
+    df = cut(spark.range(10))
+    folder = own_folder(spark).removeprefix("file:")
+    assert df.count() == 10 and any(n.startswith("cut-") for n in os.listdir(folder))
+    release(spark)
+    assert not os.path.exists(folder)
+
+
+def test_separators_are_literal(spark):
+    from codestrata.sources.files import keyed_lines
+
+    for sep in (".", "|", "\\", "||", "*", " "):
+        row = keyed_lines(spark.createDataFrame([(sep.join(["k", "1", "2"]),)], "value string"), "value", sep).first()
+        assert tuple(row) == ("k", ["1", "2"]), sep
+
+
+def test_export_counts_and_text(spark, tmp_path):
+    from codestrata.sources.files import export_corpus, export_counts, write_corpus
+
+    df = spark.createDataFrame([("h", 1, ["a"]), ("h", 2, ["b"]), ("g", 3, ["c"])], "h string, i int, ins array<string>")
+    assert tuple(export_counts(df, "h").first()) == (3, 2)
+    write_corpus(export_corpus(df, "h", "ins", ["i"]), str(tmp_path / "out"))
+    assert sorted(r[0].split()[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["a", "c"]
+
+
+def test_functions_are_stored_once(spark, tmp_path):
+    from codestrata.sources.files import write_functions
+
+    rows = [("p", "gcc", "O0", "f", "g"), ("p", "gcc", "O0", "f", "g"), ("p", "gcc", "O1", "f", "g")]
+    df = spark.createDataFrame(rows, "project string, compiler string, optimization string, file_name string, function_name string")
+    for _ in range(2):
+        write_functions(df, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
