@@ -173,10 +173,10 @@ def ir_curves(rels: DataFrame, totals: DataFrame, k: int = 199, exclude_self: bo
     )
 
 
-def pp_search(top: DataFrame, labels: DataFrame, query_id: int | None = None, k: int = 50) -> DataFrame:
-    """Result table (id, name, score) of one query, the first by default."""
-    first = top.agg(F.min("query_id")).scalar() if query_id is None else F.lit(query_id)
-    hits = top.filter((F.col("query_id") == first) & (F.col("rank") <= k))
+def pp_search(queries: DataFrame, cands: DataFrame, labels: DataFrame, query_id: int | None = None, k: int = 50) -> DataFrame:
+    """Result table (rank, id, name, score) of one query, the first by default; only that query is searched for."""
+    first = queries.agg(F.min("id")).scalar() if query_id is None else F.lit(query_id)
+    hits = nearest(queries.filter(F.col("id") == first), cands, k)
     return hits.join(labels.select(F.col("id").alias("cand_id"), F.col("label").alias("name")), "cand_id").select(
         "rank", F.col("cand_id").alias("id"), "name", "score"
     ).orderBy("rank")
