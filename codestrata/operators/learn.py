@@ -89,28 +89,37 @@ def boosted_trees(train: DataFrame, test: DataFrame, rounds: int = 20, seed: int
 
 
 def rbf_svm(train: DataFrame, test: DataFrame, features: int = 256, reg: float = 0.001, seed: int = 42) -> DataFrame:
-    """Linear SVM, one against the rest, on random Fourier features of the RBF kernel (gamma = 1 / (d var)).
+    """Linear SVM, one against the rest, on random Fourier features of the RBF kernel.
 
-    Every problem owns one block of a sparse feature vector, so the weights of the
-    problems do not interact and one fit per label position serves all problems. Rows
+    The kernel width is that of each problem alone (gamma = 1 / (d var) over its training vectors): rows are scaled by it
+    before one projection that all problems share. Every problem owns one block of a sparse feature vector, so the weights of
+    the problems do not interact and one fit per label position serves all problems. Rows
     weigh 1 / (rows of their problem), which gives every problem the same penalty.
     """
-    stats = train.select(F.size("x").alias("d"), F.explode(as_double(F.col("x"))).alias("v")).agg(F.max("d"), F.var_pop("v")).first()
     names = _label_lists(train)
-    if stats[0] is None:
+    widest = train.agg(F.max(F.size("x"))).first()[0]
+    if widest is None:
         return test.select("problem", "index", F.lit(None).cast("string").alias("pred"))
-    d, var, width = stats[0], stats[1] or 1.0, features + 1
+    width = features + 1
     if len(names) * width > MAX_WEIGHTS:
         raise ValueError("too many problems for one linear model; use nearest_centroid")
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2.0 / (d * var)), (d, features))
+    w = rng.normal(0.0, np.sqrt(2.0), (widest, features))
     b = rng.uniform(0.0, 2 * np.pi, features)
 
+    total = lambda f: F.sum(F.aggregate(as_double(F.col("x")), F.lit(0.0), lambda acc, v: acc + f(v)))
+    stats = train.groupBy("problem").agg(total(lambda v: v).alias("s"), total(lambda v: v * v).alias("ss"), F.sum(F.size("x")).alias("n"), F.max(F.size("x")).alias("d"))
+    var = F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)
+    scales = cut(stats.select("problem", F.when(var > 1e-12, 1.0 / F.sqrt(F.col("d") * var)).otherwise(1.0 / F.sqrt("d")).alias("scale")))
+
     @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
+    def project(x: pd.Series, scale: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
-        z = np.sqrt(2.0 / features) * np.cos(np.stack([np.asarray(v, dtype=np.float64) for v in x]) @ w + b)
+        rows = np.zeros((len(x), widest))
+        for at, v in enumerate(x):
+            rows[at, : len(v)] = v
+        z = np.sqrt(2.0 / features) * np.cos((rows * scale.to_numpy()[:, None]) @ w + b)
         return pd.Series(list(np.hstack([z, np.ones((len(z), 1))])))
 
     slots = {p: i for i, p in enumerate(names)}
@@ -123,10 +132,10 @@ def rbf_svm(train: DataFrame, test: DataFrame, features: int = 256, reg: float =
     blocks = Interaction(inputCols=["slot", "z"], outputCol="features")
 
     def prepared(df: DataFrame) -> DataFrame:
-        known = df.withColumn("slot", F.try_element_at(where, "problem")).filter(F.col("slot").isNotNull())
-        known = known.withColumn("names", F.element_at(lists, F.col("problem"))).withColumn("z", array_to_vector(project("x")))
+        known = salted_join(df, scales, ["problem"], spread=["index"]).withColumn("slot", F.try_element_at(where, "problem")).filter(F.col("slot").isNotNull())
+        known = known.withColumn("names", F.element_at(lists, F.col("problem"))).withColumn("z", array_to_vector(project("x", "scale")))
         known = known.withMetadata("slot", slot_meta).withMetadata("z", z_meta)
-        return blocks.transform(known).drop("slot", "z")
+        return blocks.transform(known).drop("slot", "z", "scale")
 
     sizes = train.groupBy("problem").agg((1.0 / F.count(F.lit(1))).alias("weight"))
     rows = cut(

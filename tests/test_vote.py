@@ -78,6 +78,17 @@ def test_classifiers(spark, name):
     assert np.mean([r["y_true"] == r["y_pred"] for r in got]) > 0.85
 
 
+def test_svm_of_a_problem_ignores_the_others(spark):
+    pts = blobs(spark, n=90, spread=0.9)
+    wide = pts.filter("problem = 'p1'").withColumn("problem", F.lit("other")).withColumn("x", F.transform("x", lambda v: v * 1000.0))
+    train, test = pts.filter("index % 3 > 0"), pts.filter("index % 3 = 0")
+    alone = L.rbf_svm(train, test).collect()
+    both = L.rbf_svm(train.unionByName(wide.filter("index % 3 > 0")), test.unionByName(wide.filter("index % 3 = 0"))).collect()
+    pred = {(r["problem"], r["index"]): r["pred"] for r in both}
+    assert np.mean([pred[r["problem"], r["index"]] == r["pred"] for r in alone]) > 0.9  # the solver stops near the optimum
+    assert np.mean([pred["other", r["index"]] == r["pred"] for r in alone if r["problem"] == "p1"]) > 0.9  # scale does not matter
+
+
 def test_voting_and_prediction(spark):
     pts = blobs(spark, n=90)
     views = {"functions": pts.filter("index != 4"), "w2v": pts.withColumn("x", F.slice("x", 1, 3))}
