@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from compare import compare
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"voting_report", "estimator_report_library"}  # minutes of library fits; run by tests/compare.py
+SLOW = {"voting_report_mixed"}  # the whole grid over all view sets takes minutes; run by tests/compare.py
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not there")
 
