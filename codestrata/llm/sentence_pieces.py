@@ -27,6 +27,7 @@ from codestrata.llm.byte_bpe import Remembered
 from codestrata.llm.common import unpacked, utf8, whole_row
 
 BLANK = "▁"  # stands for a space in pieces
+PAIRS = 1_000_000  # weights of piece pairs remembered per worker
 MERGES, NORMAL, UNUSED = "merges", "normal", "unused"
 
 
@@ -140,6 +141,8 @@ class Transducer:
         else:
             beside = self.model.pieces[left]
             found = self._merged(beside + own) == [beside, own]
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
         self.fits[left, right] = found
         return found
 
