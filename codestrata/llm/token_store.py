@@ -208,7 +208,8 @@ def write_tokens(docs: DataFrame, spec: str, path: str, id_col: str = "doc_id",
             yield closed()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows.orderBy("id", "text").mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    # the partitions go by id alone, so that the sample taken for their bounds holds no texts
+    rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(encode, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
