@@ -23,7 +23,7 @@ _PATTERN = regex.compile(WORD_PATTERN)
 #: Texts of these signs only are cut alike by every Unicode version in use: a bound below the first sign added lately.
 _SETTLED = re.compile("[^\x00-՗‐-‧‰-⁞₠-₿、-龥가-힣]")
 
-MEMORY = 300_000  # words remembered per worker in each of two generations
+MEMORY = 600_000  # words remembered per worker in each of two generations
 
 
 @functools.cache
