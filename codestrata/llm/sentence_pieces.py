@@ -27,6 +27,7 @@ from codestrata.llm.byte_bpe import Remembered
 from codestrata.llm.common import unpacked, utf8, whole_row
 
 BLANK = "▁"  # stands for a space in pieces
+PARTS = 400_000  # parts remembered per worker in each of two generations
 PAIRS = 1_000_000  # weights of piece pairs remembered per worker
 MERGES, NORMAL, UNUSED = "merges", "normal", "unused"
 
@@ -90,8 +91,8 @@ class Transducer:
         self.parts = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if blanks_lead else re.compile("(?s).+")
         self.lowest = min((s for s, t in zip(model.scores, model.types) if t == NORMAL), default=0.0)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.of_part = Remembered(lambda part: np.array(self.path(part), "<u4").tobytes())
-        self.of_word = Remembered(lambda word: np.array(self.path(BLANK + word), "<u4").tobytes())
+        self.of_part = Remembered(lambda part: np.array(self.path(part), "<u4").tobytes(), PARTS)
+        self.of_word = Remembered(lambda word: np.array(self.path(BLANK + word), "<u4").tobytes(), PARTS)
         self.written = [self._written(i) for i in range(len(model.pieces))]
 
     # the normaliser
