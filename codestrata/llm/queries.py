@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import embedding_dedup, language_id, line_dedup, mixing, pii, sentence_pieces, simhash_dedup, token_counts, token_store, topk_search
+from codestrata.llm import embedding_dedup, language_id, line_dedup, mixing, phrase_mining, pii, prefix_bpe, sentence_pieces, simhash_dedup, spelling_variants, token_counts, token_store, topk_search
 from codestrata.session import shared_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -223,6 +224,49 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), _hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+_OP11_SCORE = "(CAST(1000 AS HUGEINT) * a * n) // (CAST(l AS HUGEINT) * r)"
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+), lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+phrases AS (SELECT lang, w[i : i + k - 1] AS p FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, p, count(*) AS f FROM phrases GROUP BY lang, p HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, n
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : len(c.p)] JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT *, CAST({_OP11_SCORE} AS BIGINT) AS score, row_number() OVER (PARTITION BY lang, p ORDER BY {_OP11_SCORE}, k) AS turn FROM cuts),
+inner_parts AS (SELECT lang, p[i : i + k - 1] AS p, max(f) AS f FROM (SELECT *, unnest(range(1, len(p) - k + 2)) AS i FROM (SELECT *, unnest(range(2, len(p))) AS k FROM f WHERE len(p) > 2)) GROUP BY ALL),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN inner_parts s ON s.lang = l.lang AND s.p = l.p WHERE turn = 1 AND (s.f IS NULL OR 100 * s.f < 100 * a)),
+ranked AS (SELECT *, array_to_string(p, ' ') AS phrase FROM kept),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked)
+SELECT lang, rank, phrase, a, l, r, n, score FROM numbered WHERE rank <= 2000
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.word_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling_variants.variant_groups(words)
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = _vocabulary(WORD_BPE)
+    encoded = prefix_bpe.encode_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
+    decoded = prefix_bpe.decode_words(encoded, spec, out="decoded")
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
@@ -234,5 +278,8 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_phrases": op11_phrases,
+    "op12_spelling": op12_spelling,
+    "op13_word_bpe": op13_word_bpe,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op7_pii": OP7_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op7_pii": OP7_SQL, "op9_mixing": OP9_SQL, "op11_phrases": OP11_SQL}
