@@ -9,6 +9,7 @@ pattern, and only those with signs newer than this Python's Unicode tables its o
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import re
@@ -35,11 +36,15 @@ def byte_signs() -> list[str]:
     return [signs[b] for b in range(256)]
 
 
+@functools.cache
+def _all_signs() -> str:
+    return "".join(byte_signs())
+
+
 def in_signs(word: str) -> str:
     if word.isascii() and word.isprintable():
         return word.replace(" ", byte_signs()[32])
-    signs = byte_signs()
-    return "".join([signs[b] for b in word.encode()])
+    return codecs.charmap_decode(word.encode(), "strict", _all_signs())[0]
 
 
 class Remembered(dict):
@@ -59,6 +64,19 @@ class Remembered(dict):
         self[word] = value
         return value
 
+    def known(self, word) -> bool:
+        """Whether ``word`` is remembered; one of the older generation is taken over."""
+        if word in self.old:
+            self[word]
+        return word in self
+
+    def put(self, words, values) -> None:
+        """Remember what is known of ``words``; all of them stay at least until the next call, however many they are."""
+        if len(self) + len(words) > self.size:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(words, values))
+
 
 def specials(spec: str) -> list[str]:
     """Strings that the tokenizer takes out of a text before anything else."""

@@ -38,6 +38,10 @@ BITS_PER_PHRASE = 12
 SEGMENT = 1 << 20  # bits of a filter that one task sets
 BUCKETS = 64  # parts of a language that rank on their own first
 
+#: floor(1000 a n / (l r)): products of 38 digits at most; the score is at most 1000 n
+SCORE = """cast(1000 * cast(a as decimal(17,0)) * cast(n as decimal(17,0)) as decimal(38,0))
+  div cast(cast(l as decimal(17,0)) * cast(r as decimal(17,0)) as decimal(38,0))"""
+
 #: A-Z lowered, the signs between pieces turned into line feeds
 _TIDY = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n")
 _GAP = b"\xff"  # no UTF-8 text holds this byte: it stands between pieces
@@ -299,9 +303,7 @@ def collocations(
     lefts = counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
     rights = counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
     scored = cuts.join(lefts, ["lang", "left"]).join(rights, ["lang", "right"]).join(totals, "lang")
-    # 1000 a n has at most 38 digits; the score is at most 1000 n, a long
-    score = F.expr("cast(1000 * cast(a as decimal(17,0)) * cast(n as decimal(17,0)) as decimal(38,0)) div cast(cast(l as decimal(17,0)) * cast(r as decimal(17,0)) as decimal(38,0))")
-    lowest = scored.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("best"))
+    lowest = scored.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("best"))
     ready = lowest.select("lang", "phrase", "best.a", "best.l", "best.r", "best.n", "best.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     parted = ready.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)))

@@ -5,8 +5,9 @@ vocabulary reads the symbols once and names, for every prefix, the longest token
 shorter ones. Merging a prefix gives a unique last token, and a token t is that of a prefix exactly if it can stand
 behind the last token p of what is left when t is cut off. Whether p and t can stand side by side is told by their
 merge trees: only the pieces on the right rim of p and on the left rim of t ever touch, and a pair of them merges across the
-border if its rank comes before both pieces become part of something larger. The table of last tokens
-is followed back from the end of the word.
+border if its rank comes before both pieces become part of something larger. The table of last tokens is followed back from
+the end of the word. The table is worked out for many words at once (``lattice.py``): a pair that can stand weighs 0, another
+one is infinitely heavy, and of all ways to a prefix one is left.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import functools
 import json
 import re
 import unicodedata
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ from tokenizers import Tokenizer
 
 from codestrata.llm.byte_bpe import _SETTLED, Remembered, byte_signs, specials
 from codestrata.llm.common import unpacked, utf8, whole_row
+from codestrata.llm.lattice import NEVER, Lattice, as_bytes
 
 WORDS = 100_000  # words remembered per worker in each of two generations
-PAIRS = 200_000  # answers on pairs of tokens remembered per worker
-NEVER = 1 << 30  # the rank at which a whole token becomes part of another one
+ROWS = 512  # texts whose new words are read together
 
 #: The pattern by which this kind of tokenizer cuts normalised texts.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -38,47 +38,6 @@ _ASCII_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\r
 _WORDS = regex.compile(WORD_PATTERN.replace(r"\s", r"\p{White_Space}"))
 
 
-class Automaton:
-    """Which tokens end at the symbol read last: the longest, and from each token the next shorter one."""
-
-    def __init__(self, tokens: dict[str, int]):
-        self.next: list[dict[str, int]] = [{}]
-        at = {}
-        for token, i in tokens.items():
-            node = 0
-            for sign in token:
-                if sign not in self.next[node]:
-                    self.next[node][sign] = len(self.next)
-                    self.next.append({})
-                node = self.next[node][sign]
-            at[node] = i
-        self.back = [0] * len(self.next)  # the longest proper suffix that is a node
-        self.longest = [-1] * len(self.next)
-        self.shorter = {i: -1 for i in tokens.values()}
-        queue = deque([0])
-        while queue:
-            node = queue.popleft()
-            for sign, child in self.next[node].items():
-                if node:
-                    self.back[child] = self.step(self.back[node], sign)
-                below = self.longest[self.back[child]]
-                if child in at:
-                    self.shorter[at[child]] = below
-                    self.longest[child] = at[child]
-                else:
-                    self.longest[child] = below
-                queue.append(child)
-
-    def step(self, node: int, sign: str) -> int:
-        while True:
-            child = self.next[node].get(sign)
-            if child is not None:
-                return child
-            if not node:
-                return 0
-            node = self.back[node]
-
-
 class PrefixEncoder:
     """Token ids of texts by one tokenizer file (``tokenizers`` JSON of this kind); the library only prepares texts with rare signs."""
 
@@ -100,11 +59,9 @@ class PrefixEncoder:
             self.rank.setdefault(pair, rank)
             self.parts.setdefault(made, pair)
             tokens[symbols(a + b)] = made
-        self.length = {i: len(t) for t, i in tokens.items()}
-        self.automaton = Automaton(tokens)
-        self.of_pair: dict[int, bool] = {}
+        self.table = Lattice(tokens, self.weight)
         self.is_whole: dict[int, bool] = {}
-        self.of_word = Remembered(self._word, WORDS)
+        self.of_word = Remembered(lambda word: self.paths([self._symbols(word)])[0], WORDS)
         self.tokenizer = Tokenizer.from_str(spec)
         self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.marks = specials(spec)
@@ -112,7 +69,7 @@ class PrefixEncoder:
 
     # which tokens can stand side by side
 
-    def _rim(self, token: int, right: bool) -> list[tuple[int, int]]:
+    def _rim(self, token: int, right: bool) -> list[tuple[int, float]]:
         """The pieces at one rim of a token's merge tree with the rank at which each becomes part of the next larger one."""
         rim, until = [(token, NEVER)], NEVER
         while token in self.parts:
@@ -146,68 +103,59 @@ class PrefixEncoder:
             self.is_whole[token] = known
         return known
 
-    def beside(self, p: int, t: int) -> bool:
-        """Whether merging the symbols of both gives exactly p and t."""
-        key = p << 32 | t
-        known = self.of_pair.get(key)
-        if known is None:
-            if len(self.of_pair) >= PAIRS:
-                self.of_pair.clear()
-            known = self.of_pair[key] = self.whole(t) and (p, t) not in self.rank and not self._crossed(p, t)
-        return known
+    def weight(self, p: int, t: int) -> float:
+        """0 if merging the symbols of p and t gives exactly these two, else infinite; -1 for p is the start of a word."""
+        if not self.whole(t):
+            return NEVER
+        return 0.0 if p < 0 or (p, t) not in self.rank and not self._crossed(p, t) else NEVER
 
     # encoding
 
-    def last_tokens(self, symbols: str) -> list[int]:
-        """The unique last token of every prefix, by its number of symbols."""
-        last = [-1]
-        step, longest, shorter, length = self.automaton.step, self.automaton.longest, self.automaton.shorter, self.length
-        known = self.of_pair.get
-        node = 0
-        for j, sign in enumerate(symbols, 1):
-            node = step(node, sign)
-            t = longest[node]
-            while True:
-                i = j - length[t]
-                if i:
-                    p = last[i]
-                    fits = known(p << 32 | t)
-                    if fits or fits is None and self.beside(p, t):
-                        break
-                elif self.whole(t):
-                    break
-                t = shorter[t]
-            last.append(t)
-        return last
-
-    def _word(self, word: str) -> bytes:
+    def _symbols(self, word: str) -> str:
+        """The signs of a word's bytes, the last one marked."""
         signs = word if word.isascii() and word.isprintable() else "".join([byte_signs()[b] for b in word.encode()])
-        return self._signs(signs)
+        return signs[:-1] + self.final[signs[-1]]
 
-    def _signs(self, signs: str) -> bytes:
-        last = self.last_tokens(signs[:-1] + self.final[signs[-1]])
-        out, j = [], len(signs)
-        while j:
-            out.append(last[j])
-            j -= self.length[last[j]]
-        return np.array(out[::-1], "<u4").tobytes()
+    def paths(self, symbols: list[str]) -> list[bytes]:
+        """Ids of words given by their symbols; a word of unmarked signs is a prefix."""
+        return as_bytes(*self.table.paths(symbols))
 
-    def _part(self, text: str) -> bytes:
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a text, None if the library has to prepare it."""
         if text.isascii():
-            return b"".join(map(self.of_word.__getitem__, _ASCII_WORDS.findall(text.lower())))
+            return _ASCII_WORDS.findall(text.lower())
         if _SETTLED.search(text) or "Σ" in text:  # signs on which Unicode versions differ, or whose small form hangs on their place
+            return None
+        return _WORDS.findall(unicodedata.normalize("NFC", text).lower())
+
+    def _part(self, text: str, words: list[str] | None) -> bytes:
+        if words is None:
             tidy = self.tokenizer.normalizer.normalize_str(text)
-            return b"".join([self._signs(signs) for signs, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(tidy)])
-        return b"".join(map(self.of_word.__getitem__, _WORDS.findall(unicodedata.normalize("NFC", text).lower())))
+            return b"".join(self.paths([signs[:-1] + self.final[signs[-1]] for signs, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(tidy)]))
+        self._remember(words)
+        return b"".join(map(self.of_word.__getitem__, words))
+
+    def _remember(self, words) -> None:
+        new = [w for w in set(words).difference(self.of_word) if not self.of_word.known(w)]
+        self.of_word.put(new, self.paths(list(map(self._symbols, new))))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of every text; words not met before go through the table together."""
+        cut = [self._words(t) if self._plain(t) else None for t in texts]
+        self._remember(set().union(*[w for w in cut if w is not None]))
+        return [b"".join(map(self.of_word.__getitem__, w)) if w is not None else self.encode(t) for t, w in zip(texts, cut)]
+
+    def _plain(self, text: str) -> bool:
+        return self.special is None or not any(m in text for m in self.marks)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
         if not text:
             return b""
-        if self.special is None or not any(m in text for m in self.marks):
-            return self._part(text)
+        if self._plain(text):
+            return self._part(text, self._words(text))
         mark = lambda p: np.array([self.tokenizer.token_to_id(p)], "<u4").tobytes()
-        return b"".join(mark(p) if i % 2 else self._part(p) for i, p in enumerate(self.special.split(text)) if p)
+        return b"".join(mark(p) if i % 2 else self._part(p, self._words(p)) for i, p in enumerate(self.special.split(text)) if p)
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings with one space between them; ids outside the vocabulary are passed over, as the library does."""
@@ -236,7 +184,8 @@ def encode_words(docs: DataFrame, spec: str, text_col: str = "text", out: str =
 
     def encode(texts: pa.Array) -> pa.Array:
         of = prefix_encoder(shared.value)
-        return pa.array([of.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        parts = (texts.slice(at, ROWS).to_pylist() for at in range(0, len(texts), ROWS))
+        return pa.array([ids for part in parts for ids in of.encode_all([t or "" for t in part])], pa.binary())
 
     # kept apart from what reads the ids, which would else work them out again
     made = F.arrow_udf(encode, "binary").asNondeterministic()

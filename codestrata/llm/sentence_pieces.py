@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from the model file: a normaliser (dummy prefix, blanks), the pieces as a trie whose paths
-read a piece's signs and write its id, and an arc per unknown sign that writes the ids of its bytes.
-Composing it with an input gives a lattice of positions; the ids are those on its shortest path
-in the tropical semiring. In unigram models an arc weighs its negated score. In merge models the states also know
-the last piece, and an arc from piece a to piece b weighs 0 if merging the text of both gives exactly
-these two, else infinity: a merge across the border would happen for the pair just as in the whole text,
-so the one path of finite weight is what the merges yield. These weights are worked out on first use.
-
-Signs that no piece holds, and blanks if no piece has one behind another sign, part the lattice; the parts are remembered.
+The transducer is compiled from the model file into tables of arcs. Its normaliser is composed into it:
+a blank and the sign that stands for it read the same arcs, and the dummy prefix is an arc before the first sign that reads nothing.
+The paths of the pieces leave the start and end in states that write their ids; failure arcs lead from a state to the longest other one that
+the signs read last can also be in, so that one pass over an input finds all pieces that end at each position; a sign without a
+piece has an arc that writes the ids of its bytes. Composing the transducer with an input gives a lattice over the positions of the
+input, and the ids are those on the lattice's shortest path in the tropical semiring (weights are added along a path, the least path counts).
+
+In unigram models an arc weighs its negated score. In merge models the states after a piece also know it, and the arc from piece a
+to piece b weighs 0 if merging the signs of both gives exactly these two, else infinity: a merge across the border would
+happen for the pair just as in the whole text, so the one path of finite weight is what the merges yield. The weight of
+a pair comes from the merge trees of the two pieces: only the pieces at the rims that touch can merge across the border.
+
+Signs that no piece holds, and blanks if no piece has one behind another sign, part the lattice; few of the parts are remembered.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.byte_bpe import Remembered
 from codestrata.llm.common import unpacked, utf8, whole_row
+from codestrata.llm.lattice import NEVER, UNKNOWN, Lattice, as_bytes
 
 BLANK = "▁"  # stands for a space in pieces
-PARTS = 400_000  # parts remembered per worker in each of two generations
-PAIRS = 1_000_000  # weights of piece pairs remembered per worker
+PARTS = 100_000  # parts remembered per worker in each of two generations
+ROWS = 512  # texts whose new words go through their lattices together
 MERGES, NORMAL, UNUSED = "merges", "normal", "unused"
 
 
@@ -73,160 +78,165 @@ def load_model(path: str) -> Model:
 
 
 class Transducer:
+    """A model as arcs; composes them with texts."""
+
     def __init__(self, model: Model):
         self.model = model
-        self.ids = {p: i for i, p in enumerate(model.pieces) if model.types[i] in (NORMAL, UNUSED)}
+        self.merges = model.kind == MERGES
+        usable = (NORMAL, UNUSED) if self.merges else (NORMAL,)
+        pieces = {p: i for i, p in enumerate(model.pieces) if model.types[i] in usable}
+        # merges start from signs that are pieces; others never merge
+        self.ids = {p: i for p, i in pieces.items() if not self.merges or all(s in pieces for s in p)}
         self.bytes = {p: i for i, p in enumerate(model.pieces) if model.types[i] == "byte"}
         self.byte_id = [self.bytes.get(f"<0x{b:02X}>", model.unknown) for b in range(256)]
-        self.trie: dict = {}
-        for piece, i in self.ids.items():
-            node = self.trie
-            for sign in piece:
-                node = node.setdefault(sign, {})
-            node[""] = i
-        self.signs = {s for p in self.ids for s in p}
+        signs = {s for p in self.ids for s in p}
         blanks_lead = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        self.by_blank = blanks_lead
-        self.by_line = "\n" not in self.signs
-        self.parts = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if blanks_lead else re.compile("(?s).+")
-        self.lowest = min((s for s, t in zip(model.scores, model.types) if t == NORMAL), default=0.0)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.of_part = Remembered(lambda part: np.array(self.path(part), "<u4").tobytes(), PARTS)
-        self.of_word = Remembered(lambda word: np.array(self.path(BLANK + word), "<u4").tobytes(), PARTS)
+        self.by_word = blanks_lead and "\n" not in signs and model.dummy_prefix and not model.one_blank
+        blanks = f"[{BLANK} ]"
+        self.parts = re.compile(f"{blanks}*[^{BLANK} ]+|{blanks}+") if blanks_lead else re.compile("(?s).+")
+        lowest = min((s for s, t in zip(model.scores, model.types) if t == NORMAL), default=0.0)
+        self.rims: dict[int, tuple | None] = {}
+        self.lattice = Lattice(
+            self.ids,
+            self.weight if self.merges else None,
+            alone=np.array([-score for score in model.scores]),
+            unknown=0.0 if self.merges else 10 - lowest,
+            least=0.0 if self.merges else -NEVER,
+            alike={BLANK: " "},
+        )
+        self.packed = [i.to_bytes(4, "little") for i in range(len(model.pieces))]
+        self.of_part = Remembered(lambda part: self.paths([part])[0], PARTS // 4)
+        self.of_word = Remembered(lambda word: self.paths([" " + word])[0], PARTS)
         self.written = [self._written(i) for i in range(len(model.pieces))]
 
-    # the normaliser
+    # weights
 
-    def normal(self, text: str) -> str:
-        if self.model.one_blank:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (BLANK if self.model.dummy_prefix else "") + text.replace(" ", BLANK)
-
-    # encoding
-
-    def _merged(self, text: str) -> list[str]:
-        """Pieces by merging, best score first and leftmost among equals."""
-        parts: list[str | None] = list(text)
-        n = len(parts)
+    def merge_steps(self, text: str) -> list[tuple[float, int, int, int]]:
+        """(rank, left, middle, right) of the merges of a text in their order, as positions of signs: best score first, leftmost among equals."""
+        n = len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, str]] = []
+        ends = list(range(1, n + 1))  # 0 where a sign has become part of the piece before it
+        heap: list[tuple[float, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            whole = parts[i] + parts[j]
-            if whole in self.ids:
-                heapq.heappush(heap, (-self.model.scores[self.ids[whole]], i, whole))
+            whole = self.ids.get(text[i : ends[j]])
+            if whole is not None:
+                heapq.heappush(heap, (-self.model.scores[whole], i, ends[j]))
 
         for i in range(n - 1):
             offer(i, i + 1)
+        steps = []
         while heap:
-            _, i, whole = heapq.heappop(heap)
+            rank, i, end = heapq.heappop(heap)
             j = after[i]
-            if parts[i] is None or j >= n or parts[i] + parts[j] != whole:
+            if not ends[i] or j >= n or ends[j] != end:
                 continue
-            parts[i], parts[j] = whole, None
+            steps.append((rank, i, j, end))
+            ends[i], ends[j] = end, 0
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
                 offer(i, after[i])
             if before[i] >= 0:
                 offer(before[i], i)
-        return [p for p in parts if p is not None]
-
-    def _fit(self, left: int, right: int) -> bool:
-        """Whether two pieces can stand side by side; ``left`` -1 is the start of a part."""
-        own = self.model.pieces[right]
+        return steps
+
+    def _rims(self, piece: int) -> tuple[list, list] | None:
+        """Pieces at the right and the left rim of a piece's merge tree as (text, made, gone); None if its signs do not merge to it.
+
+        Times are ranks, a merge that waited for a later one taking that one's. What is made last is never gone.
+        """
+        if piece not in self.rims:
+            text = self.model.pieces[piece]
+            n = len(text)
+            right, left = [[text[-1:], -NEVER, NEVER]], [[text[:1], -NEVER, NEVER]]
+            now, made = -NEVER, n == 1
+            for rank, i, _, end in self.merge_steps(text):
+                now = max(now, rank)
+                made = i == 0 and end == n
+                if end == n:
+                    right[-1][2] = now
+                    right.append([text[i:], now, NEVER])
+                if i == 0:
+                    left[-1][2] = now
+                    left.append([text[:end], now, NEVER])
+            self.rims[piece] = (right, left) if made else None
+        return self.rims[piece]
+
+    def weight(self, left: int, right: int) -> float:
+        """The weight of the arc to piece ``right`` after piece ``left`` in a merge model; -1 is the start of a part."""
+        own = self._rims(right)
+        if own is None:
+            return NEVER
         if left < 0:
-            found = self._merged(own) == [own]
-        else:
-            beside = self.model.pieces[left]
-            found = self._merged(beside + own) == [beside, own]
-        if len(self.fits) >= PAIRS:
-            self.fits.clear()
-        self.fits[left, right] = found
-        return found
-
-    def _unknown(self, sign: str) -> list[int]:
-        return [self.byte_id[b] for b in sign.encode()] if self.model.byte_fallback else [self.model.unknown]
-
-    def path(self, part: str) -> list[int]:
-        """Ids on the shortest path through the lattice of one part."""
-        return self._merge_path(part) if self.model.kind == MERGES else self._best_path(part)
-
-    def _merge_path(self, part: str) -> list[int]:
-        n = len(part)
-        last: list[int | None] = [None] * (n + 1)  # the piece by which the one finite path arrives
-        came = [0] * (n + 1)
-        last[0] = -1
-        fits, trie = self.fits, self.trie
-        for i in range(n):
-            left = last[i]
-            if left is None:
-                continue
-            if part[i] not in trie or "" not in trie[part[i]]:  # an unknown sign never merges: what follows starts anew
-                last[i + 1], came[i + 1] = -1, i
-                continue
-            node, j = trie, i
-            while j < n and (node := node.get(part[j])) is not None:
-                j += 1
-                right = node.get("")
-                if right is not None and last[j] is None:
-                    fit = fits.get((left, right))
-                    if fit is None:
-                        fit = self._fit(left, right) if left >= 0 or self._fit(-1, right) else False
-                    if fit:
-                        last[j], came[j] = right, i
-        out: list[list[int]] = []
-        j = n
-        while j:
-            i = came[j]
-            out.append([last[j]] if last[j] >= 0 else self._unknown(part[i]))
-            j = i
-        return [i for ids in reversed(out) for i in ids]
-
-    def _best_path(self, part: str) -> list[int]:
-        n = len(part)
-        cost = [0.0] + [float("inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        for i in range(n):
-            node, j, single = self.trie, i, False
-            while j < n and (node := node.get(part[j])) is not None:
-                j += 1
-                right = node.get("")
-                if right is not None and self.model.types[right] == NORMAL:
-                    single |= j == i + 1
-                    if (c := cost[i] - self.model.scores[right]) < cost[j]:
-                        cost[j], back[j] = c, (i, right)
-            if not single and (c := cost[i] - (self.lowest - 10)) < cost[i + 1]:
-                cost[i + 1], back[i + 1] = c, (i, -1)
-        out: list[list[int]] = []
-        j = n
-        while j:
-            i, piece = back[j]
-            out.append([piece] if piece >= 0 else self._unknown(part[i]))
-            j = i
-        return [i for ids in reversed(out) for i in ids]
+            return 0.0
+        find, scores = self.ids.get, self.model.scores
+        for x, made_x, gone_x in self._rims(left)[0]:
+            for y, made_y, gone_y in own[1]:
+                whole = find(x + y)
+                if whole is not None:
+                    at = max(-scores[whole], made_x, made_y)
+                    # at equal times the leftmost is first: a merge inside ``left``, then the border's, then one inside ``right``
+                    if at < gone_x and at <= gone_y:
+                        return NEVER
+        return 0.0
+
+    # encoding
+
+    def paths(self, parts: list[str]) -> list[bytes]:
+        """Ids on the shortest path of every part's lattice, as little-endian 32-bit numbers."""
+        ids, ends = self.lattice.paths(parts)
+        out = as_bytes(ids, ends)
+        if (ids == UNKNOWN).any():
+            at = 0
+            for i, end in enumerate(ends.tolist()):
+                if (ids[at:end] == UNKNOWN).any():
+                    out[i] = self._with_unknown(parts[i], ids[at:end].tolist())
+                at = end
+        return out
+
+    def _with_unknown(self, part: str, ids: list[int]) -> bytes:
+        """A path with signs that have no piece, by their bytes."""
+        out, at = [], 0
+        for i in ids:
+            out.append(self.packed[i] if i >= 0 else self._unknown(part[at]))
+            at += len(self.model.pieces[i]) if i >= 0 else 1
+        return b"".join(out)
+
+    def _unknown(self, sign: str) -> bytes:
+        return b"".join([self.packed[self.byte_id[b]] for b in sign.encode()]) if self.model.byte_fallback else self.packed[self.model.unknown]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit numbers; parts not met before go through their lattices together."""
+        cut = [self._cut(t) for t in texts]
+        for memory in (self.of_word, self.of_part):
+            parts = set().union(*[keys for runs in cut for m, keys in runs if m is memory])
+            new = [p for p in parts.difference(memory) if not memory.known(p)]
+            memory.put(new, self.paths([" " + w for w in new] if memory is self.of_word else new))
+        return [b"".join([ids for memory, keys in runs for ids in map(memory.__getitem__, keys)]) for runs in cut]
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit numbers."""
+        return self.encode_all([text])[0]
+
+    def _cut(self, text: str) -> list[tuple[Remembered, list[str]]]:
+        """A text as runs of parts; ``of_word`` has parts that start with one blank, without it."""
+        if self.model.one_blank:  # arcs of the normaliser that read a blank and write nothing
+            text = re.sub(" +", " ", text).strip(" ")
         if not text:
-            return b""
-        if self.by_blank and self.by_line and self.model.dummy_prefix and not self.model.one_blank and BLANK not in text:
-            end = self.of_part["\n"]
-            lines = []
-            for no, line in enumerate(text.split("\n")):
-                lines.append(self._line(line, not no))
-            return end.join(lines)
-        return b"".join(map(self.of_part.__getitem__, self.parts.findall(self.normal(text))))
-
-    def _line(self, line: str, first: bool) -> bytes:
-        """Ids of a line; the first of a text has the dummy prefix."""
-        words = line.split(" ")
-        if "" in words:
-            return b"".join(map(self.of_part.__getitem__, self.parts.findall((BLANK if first else "") + line.replace(" ", BLANK))))
-        head = self.of_word[words[0]] if first else self.of_part[words[0]]
-        return head + b"".join(map(self.of_word.__getitem__, words[1:]))
+            return []
+        if not self.by_word or BLANK in text:
+            return [(self.of_part, self.parts.findall((" " if self.model.dummy_prefix else "") + text))]
+        runs: list[tuple[Remembered, list[str]]] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if "" in words:
+                runs.append((self.of_part, self.parts.findall(line if runs else " " + line)))
+            elif runs:
+                runs += [(self.of_part, words[:1]), (self.of_word, words[1:])]
+            else:
+                runs.append((self.of_word, words))
+            runs.append((self.of_part, ["\n"]))
+        return runs[:-1]
 
     # decoding
 
@@ -240,14 +250,15 @@ class Transducer:
 
     def decode(self, ids: bytes) -> str:
         """The text that ids stand for: the arcs read backwards. Bytes that are no UTF-8 become U+FFFD."""
-        numbers = np.frombuffer(ids, "<u4").tolist()
+        numbers = np.frombuffer(ids, "<u4")
+        numbers = numbers[numbers < len(self.written)].tolist()
         text = b"".join(map(self.written.__getitem__, numbers)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def transducer(model: Model) -> Transducer:
-    """One per worker, so that parts stay remembered from task to task."""
+    """One per worker, so that the arcs are compiled once. What it remembers is bounded: some 60 MB in all."""
     return Transducer(model)
 
 
@@ -259,17 +270,22 @@ def encode_pieces(docs: DataFrame, model: Model, text_col: str = "text", out: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one vocabulary, of fixed size
 
-    @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         of = transducer(shared.value)
-        return pa.array([of.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        parts = (texts.slice(at, ROWS).to_pylist() for at in range(0, len(texts), ROWS))
+        return pa.array([ids for part in parts for ids in of.encode_all([t or "" for t in part])], pa.binary())
 
-    d = docs.select(whole_row(docs), encode(F.col(f"`{text_col}`")).alias("made"))
+    # kept apart from what reads the ids, which would else work them out again
+    made = F.arrow_udf(encode, "binary").asNondeterministic()
+    d = docs.select(whole_row(docs), made(F.col(f"`{text_col}`")).alias("made"))
     return unpacked(d, "row", docs.columns, {out: F.col("made")})
 
 
 def decode_pieces(docs: DataFrame, model: Model, ids_col: str = "ids", out: str = "text") -> DataFrame:
-    """``docs`` plus ``out``: the text that the ids stand for; null has the empty text."""
+    """``docs`` plus ``out``: the text that the ids stand for; null has the empty text, ids outside the model stand for nothing.
+
+    Row by row, so repeated rows and an empty table make no difference; an input column named ``out`` is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")

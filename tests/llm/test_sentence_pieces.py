@@ -1,6 +1,7 @@
 """Encoding and decoding against the sentencepiece library, and shortest paths against all paths."""
 
 import functools
+import random
 
 import numpy as np
 import public_tokenizers
@@ -25,15 +26,35 @@ def compiled():
 def test_by_library(texts):
     t = compiled()
     for _ in range(2):
-        for text in texts:
+        for text, got in zip(texts, t.encode_all([x or "" for x in texts])):
             ids = LIBRARY.encode(text or "")
-            got = t.encode(text or "")
             assert np.frombuffer(got, "<u4").tolist() == ids, repr(text)
             assert t.decode(got) == LIBRARY.decode(ids)
             if "▁" not in (text or ""):
                 assert t.decode(got) == (text or "")
 
 
+def test_pair_weights_are_what_merging_says():
+    """The weight from the rims of two merge trees against merging the signs of both."""
+    t = compiled()
+    rng = random.Random(7)
+    whole = sorted(t.ids.values())
+    for _ in range(4000):
+        left, right = rng.choice(whole), rng.choice(whole)
+        piece = MODEL.pieces[rng.choice(whole)]
+        k = rng.randrange(len(piece))
+        left, right = t.ids.get(piece[:k], left), t.ids.get(piece[k:], right)
+        text = MODEL.pieces[left] + MODEL.pieces[right]
+        ends = set(range(1, len(text) + 1)) - {middle for _, _, middle, _ in t.merge_steps(text)}
+        assert (t.weight(left, right) == 0) == (ends == {len(MODEL.pieces[left]), len(text)})
+
+
+def test_unknown_signs_and_ids():
+    t = compiled()
+    assert t.decode(t.encode("a\U000e0001b")) == "a\U000e0001b"
+    assert t.decode(np.array([300, 10**6], "<u4").tobytes()) == t.decode(np.array([300], "<u4").tobytes())
+
+
 def test_every_piece_alone():
     t = compiled()
     for i in range(300, 32_000, 37):
