@@ -1,10 +1,10 @@
 """Spelling variants: words one edit apart by a frontier that descends a relational trie, and the groups that they form.
 
 The trie is a table: a node is the prefix that leads to it, and holds for every next letter how many words lie below,
-how many letters they still have, and a hash of what is left if it is just one word. A state (word, position, node, edits) says
+how many letters they still have and with which they go on (as bits), and a hash of what is left if it is just one word. A state (word, position, node, edits) says
 that the word's first letters lead to the node with none or one edit. Level by level the states of one depth are
 joined with the nodes of that depth; an edge that reads the word's next letter keeps the edits, other edges and left-out letters
-use the one edit. A state ends when one word is left below its edge, or none of a fitting length.
+use the one edit. A state ends when one word is left below its edge, or none of a fitting length and letters.
 
 An edit falls into the first half of a word or into the rest. So the trie is kept twice, for the words and for the words
 read backwards, and a word starts in each at the node of the half that is then taken to be free of edits: near the root,
@@ -80,6 +80,10 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # the trie
 
+#: One of 64 bits for the (at most) three letters from a place of s on, and one for these, the last three letters and the number of letters left.
+_BIT = "cast(xxhash64(substring(s, {}, 3)) & 63 AS int)"
+_BOTH_BIT = "cast(xxhash64(substring(s, {}, 3), substring(s, -3, 3), {}) & 63 AS int)"
+
 
 def _both_ways(words: DataFrame) -> DataFrame:
     """(s, m): words behind ``>`` and words read backwards behind ``<``, so that both tries fit one table."""
@@ -101,22 +105,30 @@ def _nodes(ways: DataFrame) -> DataFrame:
             F.col("d").alias("depth"),
             F.expr("substring(s, d + 2, 1)").alias("c"),
             F.expr("shiftleft(1L, greatest(m - d - 1, 0))").alias("left"),
+            F.expr(f"shiftleft(1L, {_BIT.format('d + 3')})").alias("next"),
+            # with fewer than three letters left the last three are not all ahead, and this bit says nothing
+            F.expr(f"CASE WHEN m - d - 1 < 3 THEN -1L ELSE shiftleft(1L, {_BOTH_BIT.format('d + 3', 'm - d - 1')}) END").alias("both"),
             F.expr("xxhash64(substring(s, d + 3, m))").alias("rest"),
         )
         .groupBy("node", "depth", "c")
-        .agg(F.count("*").alias("below"), F.bit_or("left").alias("lengths"), F.max("rest").alias("rest"))
+        .agg(F.count("*").alias("below"), F.bit_or("left").alias("lengths"), F.bit_or("next").alias("nexts"), F.bit_or("both").alias("boths"), F.max("rest").alias("rest"))
     )
-    nodes = edges.groupBy("node", "depth").agg(F.collect_list(F.struct("c", "below", "lengths", "rest")).alias("kids"), F.sum("below").alias("words"))
+    nodes = edges.groupBy("node", "depth").agg(F.collect_list(F.struct("c", "below", "lengths", "nexts", "boths", "rest")).alias("kids"), F.sum("below").alias("words"))
     return nodes.where("words > 1").drop("words")
 
 
+def _ahead(skip: int) -> str:
+    """Whether words below the edge have as many letters left as the state ``skip`` letters on, and any goes on with its next three."""
+    return f"shiftright(lengths, m - i - {skip}) & shiftright(nexts, bit{skip}) & shiftright(boths, both{skip}) & 1 = 1"
+
+
 #: What an edge to the letter c makes of a state: the new position and edits, and null where there is none. Position -1 is a near word that ends here.
-_MOVES = """array_compact(array(
+_MOVES = f"""array_compact(array(
   CASE WHEN c <> '' AND c = at AND edits = 0 AND below > 1 THEN struct(i + 1 AS i, 0 AS edits) END,
-  CASE WHEN c <> '' AND c = at AND edits = 1 AND shiftright(lengths, m - i - 1) & 1 = 1 THEN struct(i + 1 AS i, 1 AS edits) END,
-  CASE WHEN c <> '' AND c <> at AND edits = 0 AND i < m AND shiftright(lengths, m - i - 1) & 1 = 1 THEN struct(i + 1 AS i, 1 AS edits) END,
-  CASE WHEN c <> '' AND edits = 0 AND shiftright(lengths, m - i) & 1 = 1 THEN struct(i AS i, 1 AS edits) END,
-  CASE WHEN c <> '' AND c = after AND edits = 0 AND shiftright(lengths, m - i - 2) & 1 = 1 THEN struct(i + 2 AS i, 1 AS edits) END,
+  CASE WHEN c <> '' AND c = at AND edits = 1 AND {_ahead(1)} THEN struct(i + 1 AS i, 1 AS edits) END,
+  CASE WHEN c <> '' AND c <> at AND edits = 0 AND i < m AND {_ahead(1)} THEN struct(i + 1 AS i, 1 AS edits) END,
+  CASE WHEN c <> '' AND edits = 0 AND {_ahead(0)} THEN struct(i AS i, 1 AS edits) END,
+  CASE WHEN c <> '' AND c = after AND edits = 0 AND {_ahead(2)} THEN struct(i + 2 AS i, 1 AS edits) END,
   CASE WHEN c = '' AND i + 1 - edits = m THEN struct(-1 AS i, 1 AS edits) END
 ))"""
 
@@ -125,8 +137,13 @@ def _descended(states: DataFrame, nodes: DataFrame) -> DataFrame:
     """(s, i, edits, node, near) one level down; ``near`` is the near word where the search has ended, else null."""
     m = F.char_length("s") - 1
     met = states.join(nodes.drop("depth"), "node").withColumn("m", m)
-    met = met.withColumns({"at": F.expr("substring(s, i + 2, 1)"), "after": F.expr("substring(s, i + 3, 1)")})
-    moved = met.select("s", "i", "edits", "node", "m", "at", "after", F.inline("kids")).select("s", "node", "c", "below", "rest", F.explode(F.expr(_MOVES)).alias("to"))
+    # what hangs on the state alone is worked out before the edges fan out
+    met = met.withColumns({"at": F.expr("substring(s, i + 2, 1)"), "after": F.expr("substring(s, i + 3, 1)")} | {f"bit{k}": F.expr(_BIT.format(f"i + {k} + 2")) for k in range(3)})
+    met = met.withColumns({f"both{k}": F.expr(_BOTH_BIT.format(f"i + {k} + 2", f"m - i - {k}")) for k in range(3)})
+    edges = met.select("s", "i", "edits", "node", "m", "at", "after", *[f"{b}{k}" for b in ("bit", "both") for k in range(3)], F.inline("kids"))
+    # a state without edits goes everywhere, one with its edit only along the letter that it reads
+    edges = edges.where(f"c = at OR c = '' OR edits = 0 AND (c = after AND {_ahead(2)} OR {_ahead(1)} OR {_ahead(0)})")
+    moved = edges.select("s", "node", "c", "below", "rest", F.explode(F.expr(_MOVES)).alias("to"))
     left = F.expr("substring(s, to.i + 2)")
     ended = (F.col("to.i") >= 0) & (F.col("below") == 1)
     fits = ~ended | (F.xxhash64(left) == F.col("rest"))
@@ -140,7 +157,7 @@ def _trie_neighbours(words: DataFrame) -> DataFrame:
     ways = _both_ways(words.where(F.char_length("word") <= DEEPEST))
     path = f"{own_folder(spark)}/trie-{uuid.uuid4().hex}"
     _nodes(ways).write.partitionBy("depth").parquet(path)
-    nodes = spark.read.schema("node string, kids array<struct<c string, below long, lengths long, rest long>>, depth int").parquet(path)
+    nodes = spark.read.schema("node string, kids array<struct<c string, below long, lengths long, nexts long, boths long, rest long>>, depth int").parquet(path)
     half = F.when(F.col("s").startswith("<"), F.ceil(F.col("m") / 2)).otherwise(F.floor(F.col("m") / 2)).cast("int")
     starts = cut(ways.select("s", half.alias("i")))
     deepest = nodes.agg(F.max("depth")).first()[0]
