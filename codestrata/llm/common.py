@@ -42,3 +42,10 @@ def batches_of(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
     for batch in it:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def slices_of(it: Iterator[pa.Array], rows: int) -> Iterator[pa.Array]:
+    """The same values in slices of at most ``rows``, so that few of them are Python objects at a time."""
+    for column in it:
+        for at in range(0, len(column), rows):
+            yield column.slice(at, rows)

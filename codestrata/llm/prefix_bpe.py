@@ -16,6 +16,7 @@ import functools
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from codestrata.llm.byte_bpe import _SETTLED, Remembered, byte_signs, specials
-from codestrata.llm.common import unpacked, utf8, whole_row
+from codestrata.llm.common import slices_of, unpacked, utf8, whole_row
 from codestrata.llm.lattice import NEVER, Lattice, as_bytes
 
 WORDS = 100_000  # words remembered per worker in each of two generations
-ROWS = 512  # texts whose new words are read together
+ROWS = 256  # texts whose new words are read together
 
 #: The pattern by which this kind of tokenizer cuts normalised texts.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -63,7 +64,6 @@ class PrefixEncoder:
         self.is_whole: dict[int, bool] = {}
         self.of_word = Remembered(lambda word: self.paths([self._symbols(word)])[0], WORDS)
         self.tokenizer = Tokenizer.from_str(spec)
-        self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.marks = specials(spec)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
 
@@ -157,15 +157,6 @@ class PrefixEncoder:
         mark = lambda p: np.array([self.tokenizer.token_to_id(p)], "<u4").tobytes()
         return b"".join(mark(p) if i % 2 else self._part(p, self._words(p)) for i, p in enumerate(self.special.split(text)) if p)
 
-    def decode(self, ids: bytes) -> str:
-        """The tokens' strings with one space between them; ids outside the vocabulary are passed over, as the library does."""
-        names = self.names
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        try:
-            return " ".join([names[i] for i in numbers])
-        except KeyError:
-            return " ".join([names[i] for i in numbers if i in names])
-
 
 @functools.lru_cache(1)
 def prefix_encoder(spec: str) -> PrefixEncoder:
@@ -173,6 +164,20 @@ def prefix_encoder(spec: str) -> PrefixEncoder:
     return PrefixEncoder(spec)
 
 
+@functools.lru_cache(1)
+def token_names(spec: str) -> dict[int, str]:
+    return {i: t for t, i in Tokenizer.from_str(spec).get_vocab(with_added_tokens=True).items()}
+
+
+def decoded(ids: bytes, names: dict[int, str]) -> str:
+    """The tokens' strings with one space between them; ids outside the vocabulary are passed over, as the library does."""
+    numbers = np.frombuffer(ids, "<u4").tolist()
+    try:
+        return " ".join([names[i] for i in numbers])
+    except KeyError:
+        return " ".join([names[i] for i in numbers if i in names])
+
+
 def encode_words(docs: DataFrame, spec: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` plus ``out``: the ids of every whole text as binary, four bytes each, lowest first.
 
@@ -182,10 +187,10 @@ def encode_words(docs: DataFrame, spec: str, text_col: str = "text", out: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file, of fixed size
 
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = prefix_encoder(shared.value)
-        parts = (texts.slice(at, ROWS).to_pylist() for at in range(0, len(texts), ROWS))
-        return pa.array([ids for part in parts for ids in of.encode_all([t or "" for t in part])], pa.binary())
+        for texts in slices_of(it, ROWS):
+            yield pa.array(of.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     # kept apart from what reads the ids, which would else work them out again
     made = F.arrow_udf(encode, "binary").asNondeterministic()
@@ -202,9 +207,10 @@ def decode_words(docs: DataFrame, spec: str, ids_col: str = "ids", out: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     @F.arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
-        of = prefix_encoder(shared.value)
-        return pa.array([of.decode(i) for i in utf8(ids)], pa.string())
+    def decode(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = token_names(shared.value)
+        for ids in slices_of(it, ROWS):
+            yield pa.array([decoded(i, names) for i in utf8(ids)], pa.string())
 
     d = docs.select(whole_row(docs), decode(F.col(f"`{ids_col}`")).alias("made"))
     return unpacked(d, "row", docs.columns, {out: F.col("made")})

@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.byte_bpe import Remembered
-from codestrata.llm.common import unpacked, utf8, whole_row
+from codestrata.llm.common import slices_of, unpacked, utf8, whole_row
 from codestrata.llm.lattice import NEVER, UNKNOWN, Lattice, as_bytes
 
 BLANK = "▁"  # stands for a space in pieces
 PARTS = 100_000  # parts remembered per worker in each of two generations
-ROWS = 512  # texts whose new words go through their lattices together
+ROWS = 256  # texts whose new words go through their lattices together
 MERGES, NORMAL, UNUSED = "merges", "normal", "unused"
 
 
@@ -107,7 +108,6 @@ class Transducer:
         self.packed = [i.to_bytes(4, "little") for i in range(len(model.pieces))]
         self.of_part = Remembered(lambda part: self.paths([part])[0], PARTS // 4)
         self.of_word = Remembered(lambda word: self.paths([" " + word])[0], PARTS)
-        self.written = [self._written(i) for i in range(len(model.pieces))]
 
     # weights
 
@@ -238,7 +238,13 @@ class Transducer:
             runs.append((self.of_part, ["\n"]))
         return runs[:-1]
 
-    # decoding
+
+class Written:
+    """The arcs read backwards: from ids to signs."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.written = [self._written(i) for i in range(len(model.pieces))]
 
     def _written(self, i: int) -> bytes:
         kind, piece = self.model.types[i], self.model.pieces[i]
@@ -270,10 +276,10 @@ def encode_pieces(docs: DataFrame, model: Model, text_col: str = "text", out: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one vocabulary, of fixed size
 
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = transducer(shared.value)
-        parts = (texts.slice(at, ROWS).to_pylist() for at in range(0, len(texts), ROWS))
-        return pa.array([ids for part in parts for ids in of.encode_all([t or "" for t in part])], pa.binary())
+        for texts in slices_of(it, ROWS):
+            yield pa.array(of.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     # kept apart from what reads the ids, which would else work them out again
     made = F.arrow_udf(encode, "binary").asNondeterministic()
@@ -289,9 +295,10 @@ def decode_pieces(docs: DataFrame, model: Model, ids_col: str = "ids", out: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
-        of = transducer(shared.value)
-        return pa.array([of.decode(i) for i in utf8(ids)], pa.string())
+    def decode(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = Written(shared.value)
+        for ids in slices_of(it, ROWS):
+            yield pa.array([of.decode(i) for i in utf8(ids)], pa.string())
 
     d = docs.select(whole_row(docs), decode(F.col(f"`{ids_col}`")).alias("made"))
     return unpacked(d, "row", docs.columns, {out: F.col("made")})
