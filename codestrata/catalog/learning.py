@@ -329,6 +329,23 @@ def _(t: Tables) -> DataFrame:
     return rounded(P.multiview_report(fx.separable_views(t)), "f1_micro", "f1_macro", "f1_weighted")
 
 
+# the same reports over the vectors as they are, in views that disagree: no SQL, held against brute force on small data in the tests
+@query("kcluster_report_views")
+def _(t: Tables) -> DataFrame:
+    return rounded(P.kcluster_report(fx.half_views(t)), "f1_micro", "f1_macro", "f1_weighted")
+
+
+@query("multiview_report_views")
+def _(t: Tables) -> DataFrame:
+    return rounded(P.multiview_report(fx.half_views(t)), "f1_micro", "f1_macro", "f1_weighted")
+
+
+@query("estimator_report_views")
+def _(t: Tables) -> DataFrame:
+    """The library classifiers on views in which the classes overlap."""
+    return rounded(P.estimator_report(fx.half_views(t)), "f1_micro", "f1_macro", "f1_weighted")
+
+
 VOTING = ["functions", "w2v"]
 
 

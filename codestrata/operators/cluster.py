@@ -1,8 +1,9 @@
 """Clustering of every problem at once: k-means, spectral (one or several views), agglomerative.
 
-There is one way for problems of every size: rounds of Spark jobs over all problems that pass
-centres, landmarks or cluster sums to the rows. Blocks ``(problem, block)`` only place the rows;
-their size changes no result. No task ever holds a whole large problem and no pair table is written.
+Problems of more than ``BLOCK`` rows go through rounds of Spark jobs over all of them, which pass
+centres, vectors or cluster sums to the rows. Blocks ``(problem, block)`` only place the rows;
+their size changes no result. A problem that fits one block is solved in one task by the same rule. No task ever holds a whole
+large problem and no pair table is written.
 
 All clusterings take ``points(problem, index, x)`` and ``ks(problem, k)`` and give
 ``(problem, index, cluster)`` with clusters numbered from 0 by their smallest index.
@@ -24,7 +25,6 @@ from codestrata.scale import hash_int, salted_join, stable_hash
 from codestrata.session import cut
 
 BLOCK = 2048  # rows of one problem that meet in one task
-LANDMARKS = 512  # expected landmark rows of a problem in the spectral clusterings
 DIGITS = 9  # distances are compared after rounding
 
 
@@ -97,12 +97,6 @@ def _meet(pts: DataFrame, other: DataFrame, fn: Callable, schema: str) -> DataFr
     return pts.groupBy("problem", "__block").cogroup(there.groupBy("__p", "__b")).applyInPandas(fn, schema)
 
 
-def _sample(sized: DataFrame, m: int) -> DataFrame:
-    """About ``m`` rows per problem by hash, at least four per group asked for; all rows where there are no more."""
-    draw = hash_int(stable_hash("landmark", "problem", "index")) / float(2**32)
-    return sized.filter(draw < F.greatest(F.lit(m), F.col("k") * 4) / F.col("__n"))
-
-
 def _renumber(assign: DataFrame) -> DataFrame:
     """Clusters numbered by their smallest index; works on one row per cluster."""
     firsts = assign.groupBy("problem", "cluster").agg(F.min("index").alias("first"))
@@ -157,10 +151,51 @@ def assign_to_centers(points: DataFrame, centers: DataFrame) -> DataFrame:
     return met.withColumn("cluster", F.col("__near.c")).withColumn("distance", F.greatest(distance, F.lit(0.0))).drop("__cs", "__near")
 
 
-def kmeans(points: DataFrame, ks: DataFrame) -> DataFrame:
-    """Lloyd's k-means for every problem, until no centre moves or the summed squared distance falls no further."""
-    pts = cut(points.select("problem", "index", as_double(F.col("x")).alias("x")).join(ks, "problem", "left_semi"))
-    centers = seed_centers(pts, ks)
+def _local_kmeans(x: np.ndarray, k: int) -> np.ndarray:
+    """The same starts, rounds and roundings for the rows of one problem, in the order of their indices."""
+    square = (x * x).sum(1)
+
+    def near(centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.round((centers * centers).sum(1)[None, :] - 2.0 * (x @ centers.T), DIGITS)
+        at = d.argmin(1)
+        return at, np.maximum(np.round(d[np.arange(len(x)), at] + square, DIGITS), 0.0)
+
+    centers = x[:1]
+    while len(centers) < k:
+        centers = np.vstack([centers, x[near(centers)[1].argmax()]])
+    last = None
+    while True:
+        at, distance = near(centers)
+        new = np.vstack([np.round(x[at == c].mean(0), 12) if (at == c).any() else centers[c] for c in range(len(centers))])
+        far, cost = np.abs(new - centers).max(), distance.sum()
+        centers = new
+        if far <= 1e-9 or (last is not None and cost >= last):
+            return near(centers)[0]
+        last = cost
+
+
+def kmeans(points: DataFrame, ks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Lloyd's k-means for every problem, until no centre moves or the summed squared distance falls no further.
+
+    A problem of at most ``block`` rows is solved in one task; larger ones go through the rounds of joins and aggregates. Both follow
+    the same rule.
+    """
+    sized = cut(_sized(points.select("problem", "index", as_double(F.col("x")).alias("x")), ks))
+    t = dict(sized.dtypes)
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("index")
+        return pd.DataFrame({"problem": pdf["problem"], "index": pdf["index"], "cluster": _local_kmeans(_matrix(pdf["x"]), int(pdf["k"].iloc[0]))})
+
+    small = sized.filter(F.col("__n") <= block).groupBy("problem").applyInPandas(local, f"problem {t['problem']}, index {t['index']}, cluster int")
+    large = sized.filter(F.col("__n") > block).select("problem", "index", "x")
+    if large.isEmpty():
+        return _renumber(cut(small))
+    return _renumber(cut(small.unionByName(_large_kmeans(large, ks))))
+
+
+def _large_kmeans(pts: DataFrame, ks: DataFrame) -> DataFrame:
+    centers = seed_centers(pts, ks.join(pts.select("problem").distinct(), "problem", "left_semi"))
     last = None
     while True:
         step = lloyd_step(pts, centers).select("problem", "c", F.col("center").alias("new"), "cost")
@@ -171,82 +206,160 @@ def kmeans(points: DataFrame, ks: DataFrame) -> DataFrame:
         if far is None or far <= 1e-9 or (last is not None and cost >= last):
             break
         last = cost
-    return _renumber(cut(assign_to_centers(pts, centers).select("problem", "index", "cluster")))
+    return assign_to_centers(pts, centers).select("problem", "index", "cluster")
 
 
 # ---- spectral -----------------------------------------------------------------------------------
 
+EXTRA = 6  # vectors iterated beyond the k that are asked for
+POWERS = 4  # products with the affinity between two projections
+RESIDUAL = 1e-7  # of a wanted eigenvector, relative to its length; a product with the affinity no longer turns it
+MAX_PROJECTIONS = 60  # beyond it the space is as good as its eigenvalues can be told apart
+
 
 def spectral(points: DataFrame, ks: DataFrame, gamma: float = 1.0, block: int = BLOCK) -> DataFrame:
     """Spectral clustering with an RBF affinity."""
     return multiview_spectral(points.select("problem", "index", F.col("x").alias("x0")), ks, gamma, block)
 
 
-def multiview_spectral(
-    points: DataFrame, ks: DataFrame, gamma: float = 1.0, block: int = BLOCK, landmarks: int = LANDMARKS
-) -> DataFrame:
+def _affinity(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    return np.exp(-gamma * _sq_dist(a, b))
+
+
+def multiview_spectral(points: DataFrame, ks: DataFrame, gamma: float = 1.0, block: int = BLOCK) -> DataFrame:
     """Spectral clustering of aligned views ``x0, x1, ...``: the normalised affinities are averaged.
 
-    The affinity exp(-gamma d^2), a row with itself included, is used in its low-rank form through landmark rows
-    chosen by hash: linear in the rows, exact where a problem has no more rows than ``landmarks``. Landmarks are a
-    bounded sample by which the space is spanned; every row is embedded and grouped.
+    The affinity exp(-gamma d^2) of all rows of a problem counts, a row with itself included. Rows are embedded by the k leading eigenvectors of
+    the averaged affinity, divided by the roots of their degrees (averaged over the views), and grouped by k-means. A problem of at most ``block``
+    rows is embedded in one task; for larger ones block products of the affinity are summed until the eigenvectors stand.
     """
     cols = [c for c in points.columns if c.startswith("x") and c[1:].isdigit()]
     sized = cut(_sized(points.select("problem", "index", *cols), ks))
-    m = landmarks
-    pts = _blocks(sized, block)
     t = dict(sized.dtypes)
-    marks = cut(_sample(sized, m).select("problem", F.col("index").alias("mark"), *cols))
 
-    def kernel(p: pd.DataFrame, lm: pd.DataFrame) -> list[np.ndarray]:
-        """Per view: rows of K(x, landmarks) times K(landmarks, landmarks)^-1/2."""
-        lm, out = lm.sort_values("mark"), []
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("index")
+        total, roots = 0.0, []
         for c in cols:
-            z = _matrix(lm[c])
-            val, vec = np.linalg.eigh(np.exp(-gamma * _sq_dist(z, z)))
-            root = vec @ np.diag(np.where(val > 1e-8, 1 / np.sqrt(np.maximum(val, 1e-8)), 0.0)) @ vec.T
-            out.append(np.exp(-gamma * _sq_dist(_matrix(p[c]), z)) @ root)
-        return out
-
-    def column_sums(p: pd.DataFrame, lm: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"problem": [p["problem"].iloc[0]], "s": [np.concatenate([f.sum(0) for f in kernel(p, lm)])]})
-
-    total = _meet(pts, marks, column_sums, f"problem {t['problem']}, s array<double>").groupBy("problem").agg(_vector_sum("s").alias("s"))
-    with_sums = cut(marks.join(total, "problem"))
-
-    def features(p: pd.DataFrame, lm: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        s, at, parts, degrees = np.asarray(lm["s"].iloc[0]), 0, [], []
-        for f in kernel(p, lm):
-            d = np.sqrt(np.maximum(f @ s[at : at + f.shape[1]], 1e-12))
-            parts, degrees, at = [*parts, f / d[:, None]], [*degrees, d], at + f.shape[1]
-        return np.hstack(parts) / np.sqrt(len(cols)), np.mean(degrees, axis=0)
-
-    def gram(p: pd.DataFrame, lm: pd.DataFrame) -> pd.DataFrame:
-        z, _ = features(p, lm)
-        return pd.DataFrame({"problem": p["problem"].iloc[0], "r": range(z.shape[1]), "g": list(z.T @ z)})
-
-    g = _meet(pts, with_sums, gram, f"problem {t['problem']}, r int, g array<double>").groupBy("problem", "r").agg(_vector_sum("g").alias("g"))
-
-    def basis(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
-        val, vec = np.linalg.eigh(_matrix(pdf["g"]))
-        k = int(pdf["k"].iloc[0])
-        top = vec[:, ::-1][:, :k] / np.sqrt(np.maximum(val[::-1][:k], 1e-12))
-        return pd.DataFrame({"problem": pdf["problem"], "r": pdf["r"], "b": list(top)})
-
-    ks = sized.select("problem", "k").distinct()
-    base = g.join(ks, "problem").groupBy("problem").applyInPandas(basis, f"problem {t['problem']}, r int, b array<double>")
-    packed = base.groupBy("problem").agg(F.sort_array(F.collect_list(F.struct("r", "b"))).alias("basis"))
-    ready = cut(with_sums.join(packed, "problem"))
-
-    def embed(p: pd.DataFrame, lm: pd.DataFrame) -> pd.DataFrame:
-        z, d = features(p, lm)
-        b = _matrix([row["b"] for row in lm["basis"].iloc[0]])
-        return pd.DataFrame({"problem": p["problem"], "index": p["index"], "x": list((z @ b) / d[:, None] * np.sqrt(p["__n"].iloc[0]))})
-
-    rows = cut(_meet(pts, ready, embed, f"problem {t['problem']}, index {t['index']}, x array<double>"))
-    pts.unpersist()
-    return kmeans(rows, ks)
+            x = _matrix(pdf[c])
+            a = _affinity(x, x, gamma)
+            root = np.sqrt(a.sum(1))
+            total, roots = total + a / root[:, None] / root[None, :], [*roots, root]
+        vec = np.linalg.eigh(total / len(cols))[1][:, ::-1][:, : int(pdf["k"].iloc[0])]
+        out = vec / np.mean(roots, axis=0)[:, None] * np.sqrt(len(pdf))
+        return pd.DataFrame({"problem": pdf["problem"], "index": pdf["index"], "x": list(out)})
+
+    schema = f"problem {t['problem']}, index {t['index']}, x array<double>"
+    rows = sized.filter(F.col("__n") <= block).groupBy("problem").applyInPandas(local, schema)
+    large = sized.filter(F.col("__n") > block)
+    if not large.isEmpty():
+        rows = rows.unionByName(_embedded(large, cols, gamma, block))
+    return kmeans(cut(rows), ks, block)
+
+
+def _embedded(sized: DataFrame, cols: list[str], gamma: float, block: int) -> DataFrame:
+    """The embedding of problems of any size: block Krylov iteration over a grid of blocks.
+
+    A cell of the grid holds two blocks of rows of one problem, so it is bounded, and every product with the affinity passes only vectors
+    of a few numbers per row to the cells and sums what they give. After some products the rows are projected on the best vectors of the space
+    that these span (a small eigenvalue problem per problem), until the wanted ones no longer turn.
+    """
+    spark = sized.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = dict(sized.dtypes)
+    blocks = F.ceil(F.col("__n") / block).cast("int")
+    rows = cut(sized.withColumn("b", F.pmod(F.xxhash64("index"), blocks).cast("int")).withColumn("bs", blocks))
+    other = F.explode(F.sequence(F.lit(0), F.col("bs") - 1))
+    left = rows.select("problem", F.col("b").alias("r"), other.alias("c"), F.lit(0).alias("side"), "index", *cols)
+    right = rows.select("problem", other.alias("r"), F.col("b").alias("c"), F.lit(1).alias("side"), "index", *cols)
+    grid = cut(left.unionByName(right)).repartition(n, "problem", "r", "c").persist()
+    grid.count()
+    views = len(cols)
+
+    def product(vectors: DataFrame) -> DataFrame:
+        """(problem, index, y): per view the sum over all rows of affinity times the row's numbers in ``v`` (one stretch per view)."""
+        there = vectors.join(rows.select("problem", "index", "b", "bs"), ["problem", "index"])
+        there = there.select(F.col("problem").alias("p"), other.alias("r"), F.col("b").alias("c"), F.col("index").alias("i"), "v")
+
+        def cell(own: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+            a, b = (own[own["side"] == side].sort_values("index") for side in (0, 1))
+            if a.empty or b.empty:
+                return pd.DataFrame({"problem": [], "index": [], "y": []})
+            v = _matrix(vs.sort_values("i")["v"])
+            parts = np.split(v, views, axis=1)
+            y = np.hstack([_affinity(_matrix(a[c]), _matrix(b[c]), gamma) @ part for c, part in zip(cols, parts)])
+            return pd.DataFrame({"problem": a["problem"], "index": a["index"], "y": list(y)})
+
+        made = grid.groupBy("problem", "r", "c").cogroup(there.groupBy("p", "r", "c")).applyInPandas(cell, f"problem {t['problem']}, index {t['index']}, y array<double>")
+        return made.groupBy("problem", "index").agg(_vector_sum("y").alias("y"))
+
+    start = rows.select("problem", "index", F.array(*[F.lit(1.0)] * views).alias("v"))
+    roots = cut(product(start).select("problem", "index", F.transform("y", lambda d: F.sqrt(d)).alias("d")))
+
+    def times(vectors: DataFrame) -> DataFrame:
+        """(problem, index, v, w) with w = averaged normalised affinity times v; ``vectors`` has d and v."""
+        scaled = vectors.select("problem", "index", F.flatten(F.transform("d", lambda d: F.transform("v", lambda v: v / d))).alias("v"))
+        met = vectors.join(product(scaled), ["problem", "index"])
+        width = F.size("v")
+        mean = F.transform(
+            F.sequence(F.lit(0), width - 1),
+            lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(views - 1)), F.lit(0.0), lambda s, i: s + F.get(F.col("y"), i * width + j) / F.get(F.col("d"), i)) / views,
+        )
+        return met.select("problem", "index", "d", "v", mean.alias("w"))
+
+    wide = F.col("k") + EXTRA
+    seed = F.transform(F.sequence(F.lit(1), wide), lambda j: hash_int(F.md5(F.concat_ws(":", j.cast("string"), F.col("index").cast("string")))) / float(2**31) - 1.0)
+    now = roots.join(rows.select("problem", "index", seed.alias("v")), ["problem", "index"])
+    sizes = rows.select("problem", "k").distinct()
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, q = _matrix(pdf["s"]), _matrix(pdf["q"])
+        return pd.DataFrame({"problem": [pdf["problem"].iloc[0]], "g": [np.concatenate([(s.T @ s).ravel(), (s.T @ q).ravel(), (q.T @ q).ravel()])]})
+
+    def projected(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Coefficients of the best vectors in the space of the columns of s, and how far the wanted ones are from standing."""
+        flat, k = np.asarray(pdf["g"].iloc[0]), int(pdf["k"].iloc[0])
+        m = int(np.sqrt(len(flat) // 3))
+        ss, sq, qq = flat.reshape(3, m, m)
+        scale = 1 / np.sqrt(np.maximum(np.diag(ss), 1e-300))
+        ss, sq, qq = (a * scale[:, None] * scale[None, :] for a in (ss, sq, qq))
+        val, vec = np.linalg.eigh((ss + ss.T) / 2)
+        use = val > val[-1] * 1e-11
+        basis = vec[:, use] / np.sqrt(val[use])
+        ritz, turn = np.linalg.eigh(basis.T @ ((sq + sq.T) / 2) @ basis)
+        keep = min(k + EXTRA, len(ritz))
+        ritz, coef = ritz[::-1][:keep], (basis @ turn)[:, ::-1][:, :keep]
+        first = coef[:, :k]
+        # |Av - lv|^2 of unit vectors v
+        off = np.diag(first.T @ qq @ first) - 2 * ritz[:k] * np.diag(first.T @ sq @ first) + ritz[:k] ** 2
+        return pd.DataFrame({"problem": [pdf["problem"].iloc[0]], "coef": [(coef * scale[:, None]).T.ravel().tolist()], "m": [m], "off": [float(np.sqrt(max(off.max(), 0.0)))]})
+
+    for _ in range(MAX_PROJECTIONS):
+        steps = []
+        for _ in range(POWERS):
+            made = cut(times(now))
+            steps.append(made)
+            now = made.select("problem", "index", "d", F.col("w").alias("v"))
+        every = steps[0].select("problem", "index", "d", F.col("v").alias("s"), F.col("w").alias("q"))
+        for more in steps[1:]:
+            every = every.join(more.select("problem", "index", F.col("v").alias("sv"), F.col("w").alias("qv")), ["problem", "index"]).select(
+                "problem", "index", "d", F.concat("s", "sv").alias("s"), F.concat("q", "qv").alias("q")
+            )
+        every = cut(every)
+        placed = every.join(rows.select("problem", "index", "b"), ["problem", "index"])
+        grams = placed.groupBy("problem", "b").applyInPandas(sums, f"problem {t['problem']}, g array<double>").groupBy("problem").agg(_vector_sum("g").alias("g"))
+        best = cut(grams.join(sizes, "problem").groupBy("problem").applyInPandas(projected, f"problem {t['problem']}, coef array<double>, m int, off double"))
+        turned = F.transform(
+            F.sequence(F.lit(0), (F.size("coef") / F.col("m")).cast("int") - 1),
+            lambda j: F.aggregate(F.zip_with(F.slice("coef", j * F.col("m") + 1, F.col("m")), "s", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y),
+        )
+        now = cut(salted_join(every, best, ["problem"], spread=["index"]).select("problem", "index", "d", turned.alias("v")))
+        if best.agg(F.max("off")).first()[0] <= RESIDUAL:
+            break
+    grid.unpersist()
+    met = salted_join(now, sized.select("problem", "k", "__n").distinct(), ["problem"], spread=["index"])
+    degree = F.aggregate("d", F.lit(0.0), lambda s, d: s + d) / views
+    return met.select("problem", "index", F.transform(F.slice("v", F.lit(1), F.col("k")), lambda v: v / degree * F.sqrt("__n")).alias("x"))
 
 
 # ---- agglomerative ------------------------------------------------------------------------------

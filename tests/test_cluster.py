@@ -69,12 +69,43 @@ def test_large_problem_in_any_partitions(spark):
     first = {}
     assert got == [(i, first.setdefault(int(c), len(first))) for i, c in enumerate(near)]
     assert rows(C.kmeans(pts.repartition(7, "index"), ks)) == got
-    spectral = rows(C.spectral(pts, ks))
-    assert rows(C.spectral(pts.repartition(5), ks, block=700)) == spectral
-    assert len({c for _, c in spectral}) == 4
     assert rows(C.agglomerative(pts, ks, block=1500)) == rows(C.agglomerative(pts, ks, block=4000))
 
 
+def dense_embedding_groups(x, k, gamma=1.0):
+    """The groups by definition: eigenvectors of the whole matrix, then k-means."""
+    d = np.round(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0), 9)
+    a = np.exp(-gamma * d)
+    root = np.sqrt(a.sum(1))
+    vec = np.linalg.eigh(a / root[:, None] / root[None])[1][:, ::-1][:, :k]
+    near = slow_kmeans(vec / root[:, None] * np.sqrt(len(x)), k)
+    first = {}
+    return [first.setdefault(int(c), len(first)) for c in near]
+
+
+def test_spectral_sees_a_tiny_far_group(spark):
+    """3,000 rows in two problems, each with 5 rows far from the others: no row may be left out of the affinity."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for p in range(2):
+        x = np.vstack([rng.normal(0, 0.3, (1495, 3)), rng.normal(0, 0.1, (5, 3)) + [6.0, 0, 0]])
+        rows += [(f"p{p}", i, [float(v) for v in r]) for i, r in enumerate(x[rng.permutation(1500)])]
+    pts = spark.createDataFrame(rows, "problem string, index long, x array<double>")
+    ks = pts.select("problem").distinct().withColumn("k", F.lit(2))
+    want = {p: dense_embedding_groups(np.array([r[2] for r in rows if r[0] == p]), 2) for p in ("p0", "p1")}
+    assert all(sorted((w.count(0), w.count(1))) == [5, 1495] for w in want.values())
+    for block in (2048, 700):
+        got = C.spectral(pts, ks, block=block).collect()
+        assert {p: [r["cluster"] for r in sorted(got, key=lambda r: r["index"]) if r["problem"] == p] for p in want} == want, block
+
+
+def test_kmeans_in_one_task_and_by_joins(spark):
+    pts = noise(spark, 300, seed=11)
+    ks = pts.select("problem").distinct().withColumn("k", F.lit(5))
+    rows = lambda df: sorted((r["index"], r["cluster"]) for r in df.collect())
+    assert rows(C.kmeans(pts, ks, block=100)) == rows(C.kmeans(pts, ks))
+
+
 def noise(spark, n=70, seed=5):
     rng = np.random.default_rng(seed)
     rows = [("p", i, [float(v) for v in rng.normal(0, 1, 4)]) for i in range(n)]
