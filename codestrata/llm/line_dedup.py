@@ -156,7 +156,7 @@ def _lost(keyed: DataFrame, shards: DataFrame, n_shards: int, copies: int, min_c
     def probes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, 512):
             at, cell, packed = [], [], []
-            marks = b.column(1).to_numpy(zero_copy_only=False)
+            copy = b.column(3).to_numpy(zero_copy_only=False)
             for i, text in enumerate(utf8(b.column(2))):
                 if not (found := _distinct(text, min_chars)):
                     continue
@@ -164,7 +164,7 @@ def _lost(keyed: DataFrame, shards: DataFrame, n_shards: int, copies: int, min_c
                 shard = own[:, 0] % n_shards
                 for s in np.unique(shard):
                     at.append(i)
-                    cell.append(int(s) * copies + int(marks[i]) % copies)
+                    cell.append(int(s) * copies + int(copy[i]))
                     packed.append(own[shard == s].tobytes())
             ids = b.column(0).take(pa.array(at, pa.int64()))
             yield pa.record_batch(
@@ -200,7 +200,9 @@ def _lost(keyed: DataFrame, shards: DataFrame, n_shards: int, copies: int, min_c
         F.lit(None).cast("long").alias("mark"),
         F.col("arrays").alias("data"),
     )
-    cells = held.unionByName(keyed.select("id", "mark", "text").mapInArrow(probes, schema))
+    # copies of one text go to different cells too
+    copy = F.pmod(F.xxhash64("id", "text"), F.lit(copies)).alias("copy")
+    cells = held.unionByName(keyed.select("id", "mark", "text", copy).mapInArrow(probes, schema))
     met = cells.repartitionById(n_shards * copies, "cell").sortWithinPartitions("cell", "kind")
     found = met.mapInArrow(probe, "id long, mark long, lost binary")
     return found.groupBy("id", "mark").agg(F.collect_list("lost").alias("lost"))

@@ -90,7 +90,8 @@ def mix(
     text_col: str = "text",
 ) -> DataFrame:
     """What each document gives to the mix: ``id``, ``mark`` (a hash of the text), ``tokens``, ``epochs`` (how often
-    it is taken whole) and ``prefix`` (tokens taken from its start in the last, partial epoch).
+    it is taken whole) and ``prefix`` (tokens taken from its start in the last, partial epoch); ``leaf`` and ``turn`` name its leaf and place the
+    document in the leaf's seeded order.
 
     ``levels`` names the levels of the tree from the top with their columns; ``weights`` has whole weights of nodes
     by level and name, 1 where not named; ``share`` is the budget as a fraction of all tokens. The sum of
@@ -100,7 +101,7 @@ def mix(
     themselves. No rows give no rows.
     """
     names = list(levels)
-    if {"root", "id", "mark", "tokens", "available", "quota"} & set(names):
+    if {"root", "id", "mark", "tokens", "available", "quota", "turn"} & set(names):
         raise ValueError("a level needs another name")
     text = F.col(f"`{text_col}`")
     # the written table is narrow: no text takes part in what follows
@@ -122,16 +123,40 @@ def mix(
     d = hash_running_sum(rows.join(quotas, path).withColumn("turn", turn), path, "turn", ["id", "mark"], "tokens", "before")
     prefix = F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("rest") - F.col("before"))).cast("long")
     epochs = F.when(F.col("tokens") > 0, F.col("whole")).otherwise(F.lit(0)).cast("long")
-    return d.select("id", "mark", "tokens", epochs.alias("epochs"), prefix.alias("prefix"))
+    leaf = F.to_json(F.struct(*path[1:])).alias("leaf")
+    return d.select("id", "mark", "tokens", epochs.alias("epochs"), prefix.alias("prefix"), leaf, "turn")
 
 
 def taken(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that ``mix`` takes whole at least once, each as often as it is in ``docs``.
-
-    A document of which only a prefix was taken is left out, so texts stay whole.
+    """The documents that fill what ``mix`` takes, whole texts only, each at most as often as it is in ``docs``.
+
+    Documents that the mix takes whole at least once stay. Where a leaf's prefix ends inside a document, that document does not fit; what
+    the leaf is then short of goes to its later documents in the seeded order, to each that fits into what is left. This repeats until no document
+    of the leaf fits, so a very long text never uses up the quota of those behind it, and a leaf ends short by less than its
+    shortest document that was left out. Nothing is taken beyond a quota. Ties of order go by id and hash of the text; repeated rows share a place
+    in the order and are taken together or not; a null id is an id of its own; documents without tokens are never taken; no rows give no rows.
+    ``mixed`` is what ``mix`` returns.
     """
-    whole = mixed.where((F.col("epochs") > 0) | ((F.col("prefix") == F.col("tokens")) & (F.col("tokens") > 0)))
-    stay = whole.select(F.col("id").alias("stay_id"), F.col("mark").alias("stay_mark")).distinct()
+    rows = mixed.select("leaf", "id", "mark", "turn", "tokens", "epochs", "prefix").where("tokens > 0")
+    whole = (F.col("epochs") > 0) | (F.col("prefix") == F.col("tokens"))
+    # repeated rows as one, with the tokens of all
+    rows = rows.groupBy("leaf", "id", "mark", "turn").agg(F.sum("tokens").alias("tokens"), F.min(whole.cast("int")).alias("whole"), F.sum(F.when(F.col("epochs") > 0, 0).otherwise(F.col("prefix"))).alias("prefix"))
+    rows = cut(rows)
+    short = rows.groupBy("leaf").agg(F.sum(F.when(F.col("whole") == 0, F.col("prefix")).otherwise(0)).alias("short"))
+    stay = rows.where("whole = 1").select("id", "mark")
+    rest = rows.where("whole = 0").select("leaf", "id", "mark", "turn", "tokens")
+    while True:
+        # documents longer than what is left can never fit; of the others the run that fits from the first on is taken
+        rest = rest.join(short.where("short > 0"), "leaf").where("tokens <= short")
+        rest = hash_running_sum(rest, ["leaf"], "turn", ["id", "mark"], "tokens", "before")
+        rest = cut(rest.withColumn("fits", F.col("before") + F.col("tokens") <= F.col("short")))
+        if rest.isEmpty():
+            break
+        used = rest.where("fits").groupBy("leaf").agg(F.sum("tokens").alias("used"))
+        short = cut(short.join(used, "leaf").select("leaf", (F.col("short") - F.col("used")).alias("short")))
+        stay = stay.unionByName(rest.where("fits").select("id", "mark"))
+        rest = rest.where("not fits").select("leaf", "id", "mark", "turn", "tokens")
+    stay = stay.select(F.col("id").alias("stay_id"), F.col("mark").alias("stay_mark")).distinct()
     keyed = docs.select(whole_row(docs), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"))
     met = keyed.join(stay, keyed["id"].eqNullSafe(stay["stay_id"]) & (keyed["mark"] == stay["stay_mark"]), "left_semi")
     return unpacked(met, "row", docs.columns, {})

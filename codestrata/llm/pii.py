@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.llm.common import unpacked, whole_row
+
 NEAR = 48  # code points before and after a span whose words count
 CHUNK = 64
 THRESHOLD = 0.5  # an added span is reported from this score on; spans of the base kinds always are
@@ -111,16 +113,16 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "span
     points (and not beyond the next match of that kind). Base kinds are kept at any score, added kinds from ``threshold``
     on. Null and empty texts have no spans; an input column named ``out`` is replaced.
     """
-    work = "__pii"
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    work = "found"
+    rows = docs.select(whole_row(docs), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    text = F.col("text")
     none = F.array().cast("array<string>")
 
     def matches(kind: Kind) -> Column:
         found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
         return F.when(F.contains(text, F.lit(kind.hint)), found).otherwise(none) if kind.hint else found
 
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != out]
-    held = docs.select(*columns, F.struct(*[matches(k).alias(k.name) for k in KINDS]).alias(work))
+    held = rows.select("row", "text", F.struct(*[matches(k).alias(k.name) for k in KINDS]).alias(work))
     # the text is cut at the matches only where there are some
     gap = lambda k: F.when(F.size(F.col(work)[k.name]) > 0, F.split(text, k.pattern, -1)).otherwise(none)
     held = held.withColumn(f"{work}_gaps", F.struct(*[gap(k).alias(k.name) for k in KINDS]))
@@ -153,7 +155,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "span
         return F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind_no", "end", "kind", "score")])).cast(SPAN)
 
     every = F.array_sort(F.concat(*[spans(no, k) for no, k in enumerate(KINDS)]))
-    return held.select(*columns, every.alias(out))
+    return unpacked(held.withColumn("every", every), "row", docs.columns, {out: F.col("every")})
 
 
 def digest(spans: Column, base_only: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import embedding_dedup, language_id, line_dedup, mixing, phrase_mining, pii, prefix_bpe, sentence_pieces, simhash_dedup, spelling_variants, token_counts, token_store, topk_search
-from codestrata.session import shared_folder
+from codestrata.session import own_folder
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -165,7 +165,7 @@ FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
 """
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary(BYTE_BPE), path)
     return token_store.read_documents(spark, path).withColumnRenamed("id", "doc_id")
 

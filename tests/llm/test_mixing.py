@@ -110,3 +110,22 @@ def test_no_python_in_the_plan(spark):
     _, out = mixed(spark, CASES["nulls"], (1, 2), 1)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_documents_fill_the_quota_beside_very_long_ones(spark):
+    """A long document early in the order must not cost its leaf the rest of the quota."""
+    rows = [(i, "w " * (1000 if i % 20 == 3 else 1 + i % 7), f"s{i % 2}") for i in range(80)] + [(None, "x y", "s0"), (5, None, "s1"), (6, "same", "s1"), (6, "same", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, leaf string")
+    size = lambda t: len((t or "").split())
+    for share in ((1, 20), (1, 2), (9, 10)):
+        found = mix(docs, {"source": F.col("leaf")}, {}, share)
+        kept = taken(docs, found)
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        quota = {r["leaf"]: r["q"] for r in found.groupBy("leaf").agg(F.sum(F.col("tokens") * F.col("epochs") + F.col("prefix")).alias("q")).collect()}
+        for leaf in ("s0", "s1"):
+            used = sum(size(r["text"]) for r in got if r["leaf"] == leaf)
+            (want,) = (q for name, q in quota.items() if leaf in name)
+            left = [t for k, t, s in rows if s == leaf and size(t) and (k, t) not in {(r["doc_id"], r["text"]) for r in got}]
+            assert used <= want and all(size(t) * sum(x == t for x in left) > want - used or size(t) > want - used for t in left), (share, leaf, used, want)
+    assert taken(docs.limit(0), mix(docs.limit(0), {"source": F.col("leaf")}, {})).collect() == []

@@ -110,3 +110,11 @@ def test_no_python_in_the_plan(spark):
     df = find_personal_data(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_named_like_working_columns(spark):
+    names = ["text", "found", "found_gaps", "found_steps", "found_before", "row", "every", "__pii", "__pii_gaps"]
+    docs = spark.createDataFrame([("mail a@b.com", *range(8))], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    (got,) = find_personal_data(docs).collect()
+    assert list(got.asDict()) == [*names, "spans"] and list(got)[:9] == ["mail a@b.com", *range(8)]
+    assert [(s["kind"], s["start"], s["end"]) for s in got["spans"]] == [("email", 5, 12)]

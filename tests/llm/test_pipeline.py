@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from test_line_dedup import plain as plain_lines
-from test_simhash_dedup import plain_components
+from test_near_copies import plain_components
 
 import corpus_pipeline
 from codestrata.llm import language_id
@@ -29,11 +29,11 @@ def test_stages_by_definition(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in lines.collect())
 
     single = spark.createDataFrame(stages["simhash_dedup"](spark, lines, FOLDER).collect(), SCHEMA)
-    assert {r["doc_id"] for r in single.collect()} == {c for _, _, c in plain_components(list(kept.items()))}
+    assert {r["doc_id"] for r in single.collect()} == set(plain_components(list(kept.items())).values())
 
     chosen = spark.createDataFrame(stages["mixing"](spark, single, FOLDER).collect(), SCHEMA)
     words = lambda df: sum(len((r["text"] or "").split()) for r in df.collect())
-    assert 0.5 * words(single) < words(chosen) <= 0.9 * words(single)
+    assert 0.85 * words(single) < words(chosen) <= 0.9 * words(single)
     assert {tuple(r) for r in chosen.collect()} <= {tuple(r) for r in single.collect()}
 
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
