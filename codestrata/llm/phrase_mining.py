@@ -5,7 +5,8 @@
    proposed phrases and their negative border, and all single words. All counts are exact.
 3. A border phrase that turns out frequent is a failure: longer phrases around it were not counted. A further pass
    takes all phrases known to be frequent for proposed and counts what no pass has counted yet, until no
-   failure is left. Any frequent phrase has frequent parts, so then none is missing.
+   failure is left. Any frequent phrase has frequent parts, so then none is missing. What is still to be counted has a
+   failure of the pass before in it, so a further pass looks at the neighbourhood of these only.
 
 Passes know the proposed phrases by a Bloom filter of bounded size. Its false positives make a pass count more
 phrases than it must, and change no result: nothing is taken for frequent before it has been counted.
@@ -31,8 +32,8 @@ UNKNOWN = "und"  # stands for a null language
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
-SAMPLE_OF = 8  # one in so many documents proposes phrases
-CHUNK = 1 << 21  # words counted at once in a task
+SAMPLE_OF = 16  # one in so many documents proposes phrases
+CHUNK = 1 << 19  # words counted at once in a task
 FILTER_BITS = 1 << 27  # 16 MB, the bound of a filter
 BITS_PER_PHRASE = 12
 SEGMENT = 1 << 20  # bits of a filter that one task sets
@@ -151,7 +152,7 @@ def _counted(lang: bytes, names: list[bytes], ids: np.ndarray, passes: list[Know
     within = [k.has(words) for k in passes]  # which phrases of the present length each filter holds
     for w in within:
         w[0] = False
-    if len(passes) == 1:
+    if len(passes) == 1:  # later passes have all words behind them
         yield names[1:], np.bincount(ids, minlength=len(names))[1:], within[0][1:], 1
     texts, hashes, phrase = names, words, ids  # of the present length; ``phrase`` numbers the one that starts at each place
     here = np.flatnonzero(ids)
@@ -175,6 +176,24 @@ def _counted(lang: bytes, names: list[bytes], ids: np.ndarray, passes: list[Know
         phrase[here] = back
 
 
+def _near(ids: np.ndarray, words: np.ndarray, failed: Known, max_words: int) -> np.ndarray:
+    """The run cut down to where phrases of at most ``max_words`` words around a failure can lie, with gaps between."""
+    near = np.zeros(len(ids) + 1, np.int32)
+    here, hashes = np.flatnonzero(ids), words[ids[ids > 0]]
+    for k in range(1, max_words):
+        hit = here[failed.has(hashes)]
+        np.add.at(near, np.maximum(hit - (max_words - k), 0), 1)
+        np.add.at(near, np.minimum(hit + max_words, len(ids)), -1)
+        inside = here + k < len(ids)
+        here, hashes = here[inside], hashes[inside]
+        behind = ids[here + k]
+        here, hashes = here[behind > 0], _longer(hashes[behind > 0], words[behind[behind > 0]])
+    kept = np.cumsum(near[:-1]) > 0
+    first = kept & np.concatenate(([True], ~kept[:-1]))
+    # a gap before every stretch
+    return np.insert(ids[kept], np.flatnonzero(first[kept]), 0)
+
+
 class _Numbers(dict):
     """Numbers of words in the order in which they come; 0 is the gap."""
 
@@ -191,9 +210,12 @@ class _Numbers(dict):
 COUNTS = "lang string, phrase string, words int, proposed boolean, n long"
 
 
-def _pass(docs: DataFrame, passes: list[Known], max_words: int) -> DataFrame:
-    """(lang, phrase, words, proposed, n): exact counts of what this pass counts; ``words`` 0 is the number of all words of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast(passes)  # filters of bounded size, one per pass
+def _pass(docs: DataFrame, passes: list[Known], failed: Known | None, max_words: int) -> DataFrame:
+    """(lang, phrase, words, proposed, n): exact counts of what this pass counts; ``words`` 0 is the number of all words of a language.
+
+    ``failed`` are the failures of the pass before, None in the first pass, which counts all words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((passes, failed))  # filters of bounded size, one per pass and one more
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[_Numbers, list[np.ndarray]]] = {}
@@ -203,8 +225,11 @@ def _pass(docs: DataFrame, passes: list[Known], max_words: int) -> DataFrame:
             for lang, (numbers, runs) in held.items():
                 ids = np.concatenate(runs)
                 shown = lang.decode()
-                found = _counted(lang, numbers.names, ids, shared.value, max_words)
-                if len(shared.value) == 1:
+                passes, failed = shared.value
+                if failed is not None:
+                    ids = _near(ids, np.concatenate((np.zeros(1, np.uint64), _word_hashes(lang, numbers.names[1:]))), failed, max_words)
+                found = _counted(lang, numbers.names, ids, passes, max_words)
+                if failed is None:
                     yield _rows(shown, [None], np.array([np.count_nonzero(ids)]), np.array([True]), 0)
                 for phrases, n, proposed, k in found:
                     yield _rows(shown, phrases, n, proposed, k)
@@ -237,15 +262,17 @@ def _closed(docs: DataFrame, start: Known, min_count: int, max_words: int) -> Da
 
     After pass i no phrase of i words is missing, so there are at most ``max_words`` passes.
     """
-    passes, found = [start], None
+    passes, found, failures = [start], None, None
     while True:
-        counted = cut(_pass(docs, passes, max_words).where((F.col("n") >= min_count) | (F.col("words") == 0)))
+        counted = cut(_pass(docs, passes, failures, max_words).where((F.col("n") >= min_count) | (F.col("words") == 0)))
         found = counted if found is None else found.unionByName(counted)
         failed = counted.where(~F.col("proposed") & F.col("words").between(1, max_words - 1))
-        if failed.isEmpty():
+        missed = failed.count()
+        if not missed:
             return found
         frequent = found.where("words > 0")
         passes.append(known_phrases(frequent, frequent.count()))
+        failures = known_phrases(failed, missed)
 
 
 def frequent_phrases(docs: DataFrame, id_col: str, lang_col: str, text_col: str, min_count: int, max_words: int, sample_of: int) -> DataFrame:
@@ -255,7 +282,7 @@ def frequent_phrases(docs: DataFrame, id_col: str, lang_col: str, text_col: str,
         F.col(f"`{text_col}`").alias("text"),
         (F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(sample_of)) == 0).alias("sampled"),
     )
-    lowered = max(2, min_count // (4 * sample_of))
+    lowered = max(2, min_count // (2 * sample_of))  # half of what is expected at the support itself
     proposed = _closed(rows.where("sampled").select("lang", "text"), NOTHING, lowered, max_words).where("words > 0")
     start = known_phrases(proposed, proposed.count())
     return _closed(rows.select("lang", "text"), start, min_count, max_words).select("lang", "phrase", "words", "n")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from codestrata.llm import phrase_mining
@@ -70,7 +71,7 @@ def test_a_sample_that_proposes_nothing_loses_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(rows, SCHEMA)
     passes = []
     run = phrase_mining._pass
-    monkeypatch.setattr(phrase_mining, "_pass", lambda d, filters, most: passes.append(len(filters)) or run(d, filters, most))
+    monkeypatch.setattr(phrase_mining, "_pass", lambda d, filters, *more: passes.append(len(filters)) or run(d, filters, *more))
     found = frequent_phrases(docs, "doc_id", "lang", "text", 30, 5, 10**9)
     assert {(r["phrase"], r["n"]) for r in found.where("words > 0").collect()} == {(" ".join(p), f) for (_, p), f in plain_counts(rows)[0].items()}
     assert passes == [1, 1, 2, 3, 4, 5]  # the sample, then one pass per length
@@ -79,15 +80,22 @@ def test_a_sample_that_proposes_nothing_loses_nothing(spark, monkeypatch):
 def test_a_filter_that_lets_everything_through_changes_nothing(spark, monkeypatch):
     rows = made(5, 200)
     docs = spark.createDataFrame(rows, SCHEMA)
-    monkeypatch.setattr(phrase_mining.Known, "has", lambda self, hashes: __import__("numpy").ones(len(hashes), bool))
+    monkeypatch.setattr(phrase_mining.Known, "has", lambda self, hashes: np.ones(len(hashes), bool))
     assert got(collocations(docs, min_count=5, top=50)) == plain(rows, 5, 50)
 
 
-def test_small_chunks_and_a_small_filter(spark, monkeypatch):
-    rows = made(6, 200)
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    want = plain(rows, 5, 50)
-    assert got(collocations(docs, min_count=5, top=50, sample_of=2)) == want
+def test_neighbourhoods_of_failures():
+    """Only places from which a phrase of four words reaches a failure stay, with gaps between the stretches."""
+    names = [b"\xff", *(f"w{i}".encode() for i in range(1, 40))]
+    words = np.concatenate((np.zeros(1, np.uint64), phrase_mining._word_hashes(b"en", names[1:])))
+    ids = np.array([0, *range(1, 30), 0, 7, 8, 0])
+    wanted = phrase_mining._longer(words[[7]], words[[8]])
+
+    class Failed:
+        def has(self, hashes):
+            return np.isin(hashes, wanted)
+
+    assert phrase_mining._near(ids, words, Failed(), 4).tolist() == [0, 5, 6, 7, 8, 9, 10, 0, 29, 0, 7, 8, 0]
 
 
 def test_odd_rows(spark):
