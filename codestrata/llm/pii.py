@@ -155,7 +155,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "span
         return F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind_no", "end", "kind", "score")])).cast(SPAN)
 
     every = F.array_sort(F.concat(*[spans(no, k) for no, k in enumerate(KINDS)]))
-    return unpacked(held.withColumn("every", every), "row", docs.columns, {out: F.col("every")})
+    return unpacked(held.withColumn("every", every), "row", [c for c in docs.columns if c != out], {out: F.col("every")})
 
 
 def digest(spans: Column, base_only: bool = False) -> Column:

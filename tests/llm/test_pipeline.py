@@ -33,7 +33,7 @@ def test_stages_by_definition(spark):
 
     chosen = spark.createDataFrame(stages["mixing"](spark, single, FOLDER).collect(), SCHEMA)
     words = lambda df: sum(len((r["text"] or "").split()) for r in df.collect())
-    assert 0.85 * words(single) < words(chosen) <= 0.9 * words(single)
+    assert 0.8 * words(single) < words(chosen) <= 0.9 * words(single)
     assert {tuple(r) for r in chosen.collect()} <= {tuple(r) for r in single.collect()}
 
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
