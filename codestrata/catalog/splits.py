@@ -36,6 +36,27 @@ def _(t: Tables) -> DataFrame:
     return P.stratified_split(rows, "index").select("index", "fold")
 
 
+@query(
+    "stratified_pairs_split",
+    f"""WITH {fx.LABEL_ROWS}, spots AS (SELECT unnest([1,2,3,4,5]) AS i), shares AS (SELECT unnest(['test', 'dev', 'train']) AS fold, unnest([0.15::double, 0.15::double, 0.7::double]) AS share),
+    pairs AS (SELECT concat(a.i, ':', b.i) AS pair, count(*) AS n FROM label_rows, spots a, spots b WHERE a.i <= b.i AND Y[a.i] = 1 AND Y[b.i] = 1 GROUP BY ALL
+      UNION ALL SELECT 'none', count(*) FROM label_rows WHERE list_sum(Y) = 0 HAVING count(*) > 0)
+    SELECT pair, fold, n, round(n * share, 2) AS wanted, true AS close FROM pairs, shares""",
+)
+def _(t: Tables) -> DataFrame:
+    """How many rows of every label and label pair each fold should hold, and whether it does to within one row."""
+    got = P.stratified_pairs_split(fx.label_rows(t), "index")
+    at = lambda i: F.get("Y", F.lit(i - 1)) == 1
+    held = [F.when(at(a) & at(b), f"{a}:{b}") for a in range(1, 6) for b in range(a, 6)]
+    pairs = F.array_compact(F.array(*held, F.when(~F.array_contains("Y", 1), "none")))
+    per = got.select(F.explode(pairs).alias("pair"), "fold").groupBy("pair").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("fold") == f).alias(f) for f in ("test", "dev", "train")]
+    )
+    rows = per.select("pair", "n", F.inline(F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(s).alias("share"), F.col(f).alias("got")) for f, s in (("test", 0.15), ("dev", 0.15), ("train", 0.7))])))
+    wanted = F.col("n") * F.col("share")
+    return rows.select("pair", "fold", "n", F.round(wanted, 2).alias("wanted"), (F.abs(F.col("got") - wanted) <= 1).alias("close"))
+
+
 @query(
     "stratified_by_difficulty",
     f"""WITH {fx.LABEL_ROWS}, d AS (SELECT *, CASE WHEN index % 10 = 0 THEN NULL ELSE n_chars END AS difficulty FROM label_rows WHERE list_sum(Y) > 0),

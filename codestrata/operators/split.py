@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import chain
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.arrays import difficulty_class, is_labelled, multi_hot
@@ -55,6 +57,100 @@ def stratified_split(df: DataFrame, key: str, p: float = 0.15, seed: int = 42, y
     return d.withColumn("fold", fold).drop("__h", "__rn", "__size", "__stratum")
 
 
+def _label_pairs(labels: str) -> Column:
+    """Every label (``1:1``) and every pair of labels (``1:3``) of a set written as ``1010``; ``none`` for a set without labels."""
+    at = f"filter(sequence(1, greatest(length({labels}), 1)), i -> substring({labels}, i, 1) = '1')"
+    pairs = F.expr(f"flatten(transform({at}, a -> transform(filter({at}, b -> b >= a), b -> concat(a, ':', b))))")
+    return F.when(F.size(pairs) > 0, pairs).otherwise(F.array(F.lit("none")))
+
+
+def _dealt(before: Column, n: Column, held_out: float, test_of_it: float) -> tuple[Column, Column]:
+    """(test, dev) rows of a label set that follows ``before`` rows of its round: both shares are rounded along the round, never per set."""
+    held = lambda c: F.floor(F.round(c * held_out, 9) + 0.5)
+    test = lambda c: F.floor(F.round(held(c) * test_of_it, 9) + 0.5)
+    in_test = test(before + n) - test(before)
+    return in_test, held(before + n) - held(before) - in_test
+
+
+def stratified_pairs_split(df: DataFrame, key: str, p: float = 0.15, seed: int = 42, y: str = "Y") -> DataFrame:
+    """Folds train/dev/test (shares 1-2p / p / p) with every label and every pair of labels split alike.
+
+    Rows of one label set can stand for each other, so the rounds work on the table of label sets and their counts. Label pairs (a label
+    alone is a pair with itself) have a round each, the rarest first. A round deals the sets that hold its pair and no rarer one, by what the pair
+    still wants in each fold. As a set is in one round only, all sets holding a pair are dealt when its round ends. At last
+    single rows change folds as long as that lowers the squared distance of all pairs from their shares and one is off by more than a row.
+    Rows then take their folds by md5 rank in their set, in one shuffle. Pairs off by more than a row may stay where no single change helps.
+
+    The driver holds what each pair wants, labels x labels numbers; label sets and rows stay distributed. Null targets count as no label,
+    repeated rows are rows of their own, and an empty table gives an empty one.
+    """
+    folds, share = ("test", "dev", "train"), (p, p, 1 - 2 * p)
+    d = df.withColumn("__set", F.coalesce(F.array_join(F.transform(y, lambda v: F.when(v == 1, "1").otherwise("0")), ""), F.lit("")))
+    sets = cut(d.groupBy("__set").agg(F.count(F.lit(1)).alias("n")).withColumn("pairs", _label_pairs("__set")))
+    total = {r["pair"]: r["n"] for r in sets.select(F.explode("pairs").alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    rounds = sorted(total, key=lambda q: (total[q], q))
+    if not rounds:
+        return d.drop("__set").withColumn("fold", F.lit(None).cast("string"))
+    number = F.create_map(*chain.from_iterable((F.lit(q), F.lit(i)) for i, q in enumerate(rounds)))
+    w = Window.partitionBy("round").orderBy("__set").rowsBetween(Window.unboundedPreceding, -1)
+    sets = sets.withColumn("round", F.array_min(F.transform("pairs", lambda q: number[q])))
+    sets = cut(sets.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))))
+    dealt_in = {r["round"] for r in sets.select("round").distinct().collect()}
+
+    have = {q: [0, 0, 0] for q in rounds}
+    shares = {}
+    for i in sorted(dealt_in):
+        want = [max(0.0, s * total[rounds[i]] - h) for s, h in zip(share, have[rounds[i]])]
+        held = want[0] + want[1]
+        shares[i] = (held / (sum(want) or 1.0), want[0] / (held or 1.0))
+        test, dev = _dealt(F.col("before"), F.col("n"), *shares[i])
+        given = sets.filter(F.col("round") == i).select(F.explode("pairs").alias("pair"), "n", test.alias("test"), dev.alias("dev"))
+        for r in given.groupBy("pair").agg(F.sum("test").alias("test"), F.sum("dev").alias("dev"), F.sum("n").alias("n")).collect():
+            have[r["pair"]] = [a + b for a, b in zip(have[r["pair"]], (r["test"], r["dev"], r["n"] - r["test"] - r["dev"]))]
+
+    of_round = F.create_map(*chain.from_iterable((F.lit(i), F.array(*map(F.lit, s))) for i, s in shares.items()))
+    sets = sets.withColumn("__shares", of_round[F.col("round")])
+    test, dev = _dealt(F.col("before"), F.col("n"), F.col("__shares")[0], F.col("__shares")[1])
+    sets = cut(sets.select("__set", "n", "pairs", test.alias("test"), dev.alias("dev")).withColumn("train", F.col("n") - F.col("test") - F.col("dev")))
+    sets = _exchanged(sets, have, total, folds, share)
+    d = hash_rank(d.withColumn("__h", stable_hash(seed, key)), ["__set"], "__h", [key], out="__rn", per_key=sets.select("__set", "test", "dev"))
+    fold = F.when(F.col("__rn") <= F.col("test"), "test").when(F.col("__rn") <= F.col("test") + F.col("dev"), "dev").otherwise("train")
+    return d.select(*df.columns, fold.alias("fold"))
+
+
+def _exchanged(sets: DataFrame, have: dict, total: dict, folds: tuple, share: tuple) -> DataFrame:
+    """Label sets with their rows per fold after the exchanges; a change takes one row of a set from a fold to another."""
+    moves: dict[str, list[int]] = {}
+    now = sets
+    off = lambda q: [h - s * total[q] for h, s in zip(have[q], share)]
+    while any(abs(x) > 1 for q in have for x in off(q)):
+        far = F.create_map(*chain.from_iterable((F.lit(q), F.array(*map(F.lit, off(q)))) for q in have))
+        gain = lambda f, g: F.aggregate("pairs", F.lit(0.0), lambda a, q: a + far[q][f] - far[q][g] - 1)
+        options = [
+            F.struct(
+                gain(f, g).alias("gain"),
+                F.lit(f).alias("f"),
+                F.lit(g).alias("g"),
+                F.col(folds[f]).alias("rows"),
+            )
+            for f in range(3)
+            for g in range(3)
+            if f != g
+        ]
+        best = now.select("__set", "pairs", F.inline(F.array(*options))).filter((F.col("rows") > 0) & (F.col("gain") > 1e-6))
+        found = best.agg(F.max(F.struct(F.round("gain", 6).alias("gain"), "__set", "f", "g", "pairs")).alias("b")).first()["b"]
+        if found is None:
+            break
+        change = moves.setdefault(found["__set"], [0, 0, 0])
+        for counts in (change, *(have[q] for q in found["pairs"])):
+            counts[found["f"]] -= 1
+            counts[found["g"]] += 1
+        changes = sets.sparkSession.createDataFrame([(s, *c) for s, c in moves.items()], "__set string, c0 long, c1 long, c2 long")
+        now = sets.join(changes, "__set", "left")
+        now = now.select("__set", "n", "pairs", *[(F.col(f) + F.coalesce(f"c{i}", F.lit(0))).alias(f) for i, f in enumerate(folds)])
+    return now
+
+
 def stratified_by_difficulty(df: DataFrame, key: str, p: float = 0.15, seed: int = 42) -> DataFrame:
     """Only Easy, Medium and Hard rows are split; every ``Various`` row trains."""
     d = df.withColumn("difficulty_class", difficulty_class(F.col("difficulty")))
