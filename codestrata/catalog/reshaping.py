@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.catalog import fixtures as fx
@@ -279,10 +279,35 @@ def _(t: Tables) -> DataFrame:
     return R.match_by_text(seen.filter("en").select("token", number("fold")), seen.filter(~F.col("en")).select("token", number("train")), "token")
 
 
-@query("match_paths", f"WITH {PATH_TABLES} SELECT fold_id, train_id FROM known_paths")
+def _pair_id(kind: str) -> str:
+    return f"('0x' || substr(md5(concat('{kind}', a, ' ', b)), 1, 12))::bigint"
+
+
+@query(
+    "match_paths",
+    f"""WITH dw AS (SELECT l.doc_id IS NOT NULL AS fold, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS w FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+    dp AS (SELECT DISTINCT fold, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM dw WHERE len(w) > 1)
+    SELECT {_pair_id('fold')} AS fold_id, {_pair_id('train')} AS train_id FROM dp f JOIN dp t USING (a, b) WHERE f.fold AND NOT t.fold""",
+)
 def _(t: Tables) -> DataFrame:
-    v = fold_tables(t)
-    return R.match_vocab(v["fold_types"], v["train_types"], v["fold_paths"], v["train_paths"])
+    """Neighbouring words as paths and words as node types: the labelled documents are matched with all others."""
+    labelled = t.labels.select("doc_id", F.lit(True).alias("labelled")).distinct()
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0)).alias("w")
+    seen = t.documents.join(labelled, "doc_id", "left").select(F.coalesce("labelled", F.lit(False)).alias("fold"), words)
+    number = lambda kind, *c: F.conv(F.substring(F.md5(F.concat(F.lit(kind), *c)), 1, 12), 16, 10).cast("long")
+    types = seen.select("fold", F.explode("w").alias("node_type")).distinct()
+    pairs = seen.filter(F.size("w") > 1).select("fold", F.explode(F.expr("arrays_zip(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1))")).alias("p"))
+    pairs = pairs.select("fold", F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b")).distinct()
+
+    def side(kind: str, own: Column) -> tuple[DataFrame, DataFrame]:
+        path = F.concat_ws(" ", number(kind, "a").cast("string"), number(kind, "b").cast("string"))
+        return (
+            types.filter(own).select("node_type", number(kind, "node_type").alias("id")),
+            pairs.filter(own).select(path.alias("path"), number(kind, "a", F.lit(" "), "b").alias("id")),
+        )
+
+    (fold_types, fold_paths), (train_types, train_paths) = side("fold", F.col("fold")), side("train", ~F.col("fold"))
+    return R.match_vocab(fold_types, train_types, fold_paths, train_paths)
 
 
 TRANSLATED = f"""{CONTEXTS}, {PATH_TABLES},

@@ -5,7 +5,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations, product
 
@@ -23,10 +24,19 @@ REPORTED_CLUSTERERS = ["kmeans", "spectral", "agglomerative"]
 REPORTED_CLASSIFIERS = ["random_forest", "rbf_svm", "boosted_trees"]
 
 
+AT_ONCE = 4  # independent cells of a report whose jobs Spark gets at the same time; each is a chain of small jobs
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _each(cell: Callable[..., DataFrame], over: Iterable) -> list[DataFrame]:
+    """``cell`` of every element, in order; cells do not read each other, so that one's small jobs fill the gaps of another's."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(cell, over))
+
+
 def estimator_report(views: dict[str, DataFrame], classifiers: list[str] = REPORTED_CLASSIFIERS, share: float = 0.2) -> DataFrame:
     """Hold-out F1 per problem, view and classifier, scored in one aggregation."""
     parts = [
@@ -41,35 +51,33 @@ def estimator_report(views: dict[str, DataFrame], classifiers: list[str] = REPOR
 
 def kcluster_report(views: dict[str, DataFrame], clusterers: list[str] = REPORTED_CLUSTERERS) -> DataFrame:
     """F1 of every clustering with known k after the best renaming of clusters to labels."""
-    parts = []
-    for name, view in views.items():
-        view = cut(view.select("problem", "index", "label", "x"))
-        for c in clusterers:
-            got = CLUSTERERS[c](view, known_k(view))
-            parts.append(
-                got.join(view.select("problem", "index", "label"), ["problem", "index"]).select(
-                    "problem", F.lit(name).alias("embedding"), F.lit(c).alias("clustering"), "index", "cluster", "label"
-                )
-            )
+    kept = {name: cut(view.select("problem", "index", "label", "x")) for name, view in views.items()}
+
+    def clustered(cell: tuple[str, str]) -> DataFrame:
+        name, c = cell
+        got = CLUSTERERS[c](kept[name], known_k(kept[name]))
+        return got.join(kept[name].select("problem", "index", "label"), ["problem", "index"]).select(
+            "problem", F.lit(name).alias("embedding"), F.lit(c).alias("clustering"), "index", "cluster", "label"
+        )
+
     keys = ["problem", "embedding", "clustering"]
-    return f1_report(named_clusters(_union(parts), keys), keys)
+    return f1_report(named_clusters(_union(_each(clustered, product(kept, clusterers))), keys), keys)
 
 
 def multiview_report(views: dict[str, DataFrame]) -> DataFrame:
     """F1 of multi-view spectral clustering over every pair of views and over all of them."""
     names = list(views)
     sets = [list(c) for c in combinations(names, 2)] + ([names] if len(names) > 2 else [])
-    parts = []
-    for s in sets:
+
+    def clustered(s: list[str]) -> DataFrame:
         rows = cut(align_views({n: views[n] for n in s}))
         got = multiview_spectral(rows.drop("label"), known_k(rows))
-        parts.append(
-            got.join(rows.select("problem", "index", "label"), ["problem", "index"]).select(
-                "problem", F.lit("/".join(s)).alias("embeddings"), "index", "cluster", "label"
-            )
+        return got.join(rows.select("problem", "index", "label"), ["problem", "index"]).select(
+            "problem", F.lit("/".join(s)).alias("embeddings"), "index", "cluster", "label"
         )
+
     keys = ["problem", "embeddings"]
-    return f1_report(named_clusters(_union(parts), keys), keys)
+    return f1_report(named_clusters(_union(_each(clustered, sets)), keys), keys)
 
 
 def _view_sets(names: list[str]) -> list[list[str]]:
@@ -78,12 +86,13 @@ def _view_sets(names: list[str]) -> list[list[str]]:
 
 def _clusterings(rows: DataFrame, size: int, clusterers: list[str], ks: DataFrame) -> DataFrame:
     """Every clusterer on every view of an aligned set, once: columns ``c_<view>_<clusterer>``."""
-    out = rows.select("problem", "index", "label")
-    for i in range(size):
-        for c in clusterers:
-            got = CLUSTERERS[c](rows.select("problem", "index", F.col(f"x{i}").alias("x")), ks)
-            out = out.join(got.withColumnRenamed("cluster", f"c_{i}_{c}"), ["problem", "index"])
-    return cut(out)
+
+    def clustered(cell: tuple[int, str]) -> DataFrame:
+        i, c = cell
+        return CLUSTERERS[c](rows.select("problem", "index", F.col(f"x{i}").alias("x")), ks).withColumnRenamed("cluster", f"c_{i}_{c}")
+
+    found = _each(clustered, product(range(size), clusterers))
+    return cut(reduce(lambda out, got: out.join(got, ["problem", "index"]), found, rows.select("problem", "index", "label")))
 
 
 def voting_report(
@@ -98,8 +107,8 @@ def voting_report(
     cluster columns exploded into one long table, so consensus, alignment and scoring of
     all cells are single jobs. Cells without k compatible paths give an ``error`` row.
     """
-    parts = []
-    for s in _view_sets(list(views)):
+
+    def of_set(s: list[str]) -> DataFrame:
         rows = cut(align_views({n: views[n] for n in s}))
         anchored = sorted(s, key=lambda n: 0)
         for i, n in enumerate(anchored):
@@ -130,7 +139,8 @@ def voting_report(
         # agreed rows of a cluster without a label have to find one like the rest
         unnamed = named.filter(F.col("y_pred").isNull()).select(cell, "problem", "index")
         rest = ok.filter(~F.col("agreed")).select(cell, "problem", "index").unionByName(unnamed).join(data, ["problem", "index"]).drop("problem")
-        for t in product(classifiers, repeat=len(s)):
+
+        def trained(t: tuple[str, ...]) -> DataFrame:
             grown = self_train(
                 agreed.withColumnRenamed("cell", "problem"), rest.withColumnRenamed("cell", "problem"), [CLASSIFIERS[c] for c in t]
             )
@@ -146,11 +156,12 @@ def voting_report(
                 scored.select(*keys, *[F.col(c).alias(f"{c}_after") for c in names]), keys
             )
             error = failed.select(*keys, *[F.lit(None).cast("bigint" if c == "samples" else "double").alias(f"{c}_{w}") for w in ("before", "after") for c in names])
-            parts.append(
-                both.withColumn("error", F.lit(False)).unionByName(error.withColumn("error", F.lit(True)))
-                .select("problem", embeddings, "clusterings", F.lit("/".join(t)).alias("estimators"), *both.columns[2:], "error")
-            )
-    return _union(parts)
+            every = both.withColumn("error", F.lit(False)).unionByName(error.withColumn("error", F.lit(True)))
+            return every.select("problem", embeddings, "clusterings", F.lit("/".join(t)).alias("estimators"), *both.columns[2:], "error")
+
+        return _union(_each(trained, product(classifiers, repeat=len(s))))
+
+    return _union(_each(of_set, _view_sets(list(views))))
 
 
 def predict(

@@ -8,12 +8,11 @@ import __spark_entry__ as entry
 from compare import compare
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"voting_report_mixed"}  # the whole grid over all view sets takes minutes; run by tests/compare.py
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not there")
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, name):
     assert compare(spark, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name)) == ""
 
