@@ -46,8 +46,13 @@ def tfidf_vectors(weights: DataFrame, key: str) -> DataFrame:
     )
 
 
-def word2vec(df: DataFrame, tokens: str = "tokens", size: int = 128, window: int = 5, min_count: int = 3, seed: int = 42, partitions: int = 1, iterations: int = 1) -> DataFrame:
-    """Token vectors ``(token, id, vec)`` with ids by falling count."""
+def word2vec(df: DataFrame, tokens: str = "tokens", size: int = 128, window: int = 5, min_count: int = 3, seed: int = 42, partitions: int | None = None, iterations: int = 1) -> DataFrame:
+    """Token vectors ``(token, id, vec)`` with ids by falling count.
+
+    The texts are dealt to ``partitions`` tasks (as many as a shuffle has, unless given), which train at the same time; their vectors are averaged after
+    each of ``iterations``. No task reads the whole corpus; the matrix, vocabulary x size, is on the driver and its vocabulary is checked.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
     if counts.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
         raise ValueError("vocabulary too large for the trainer; raise min_count")
