@@ -113,8 +113,8 @@ def stratified_pairs_split(df: DataFrame, key: str, p: float = 0.15, seed: int =
     test, dev = _dealt(F.col("before"), F.col("n"), F.col("__shares")[0], F.col("__shares")[1])
     sets = cut(sets.select("__set", "n", "pairs", test.alias("test"), dev.alias("dev")).withColumn("train", F.col("n") - F.col("test") - F.col("dev")))
     sets = _exchanged(sets, have, total, folds, share)
-    d = hash_rank(d.withColumn("__h", stable_hash(seed, key)), ["__set"], "__h", [key], out="__rn", per_key=sets.select("__set", "test", "dev"))
-    fold = F.when(F.col("__rn") <= F.col("test"), "test").when(F.col("__rn") <= F.col("test") + F.col("dev"), "dev").otherwise("train")
+    d = hash_rank(d.withColumn("__h", stable_hash(seed, key)), ["__set"], "__h", [key], out="__rn", per_key=sets.select("__set", F.col("test").alias("__test"), F.col("dev").alias("__dev")))
+    fold = F.when(F.col("__rn") <= F.col("__test"), "test").when(F.col("__rn") <= F.col("__test") + F.col("__dev"), "dev").otherwise("train")
     return d.select(*df.columns, fold.alias("fold"))
 
 

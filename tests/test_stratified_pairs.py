@@ -69,6 +69,8 @@ def test_hot_set_and_odd_rows(spark):
     assert Counter(folds[i] for i in range(500)) == {"test": 75, "dev": 75, "train": 350}
     assert max(distances(rows, folds).values()) <= 1
     same = spark.createDataFrame([(1, [1, 0])] * 100, "index long, Y array<int>")
+    clashing = same.selectExpr("*", "7 AS test", "8 AS dev", "9 AS n", "1 AS pairs", "2 AS round")
+    assert {tuple(r)[2:] for r in stratified_pairs_split(clashing, "index").drop("fold").collect()} == {(7, 8, 9, 1, 2)}
     assert Counter(r["fold"] for r in stratified_pairs_split(same, "index").collect()) == {"test": 15, "dev": 15, "train": 70}
     assert stratified_pairs_split(same.limit(0), "index").columns == ["index", "Y", "fold"]
     assert stratified_pairs_split(same.limit(0), "index").collect() == []
