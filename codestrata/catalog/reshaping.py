@@ -390,6 +390,27 @@ def _(t: Tables) -> DataFrame:
     return got.select("function_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "token")
 
 
+# function 7 is called by every function, itself included; the other callees are user ids, of which some are no function
+BODY_CALLS = "calls AS (SELECT event_id // 40 AS function_id, event_id % 40 AS pos, CASE WHEN event_id % 40 = 3 THEN 7 ELSE user_id END AS callee FROM events WHERE event_id % 40 IN (3, 17, 29))"
+
+
+@query(
+    "inlined_bodies",
+    f"""WITH RECURSIVE {fx.INSTRUCTION_TOKENS}, {BODY_CALLS},
+    l AS (SELECT function_id AS root, function_id, pos, token, [pos] AS path FROM itokens
+      UNION ALL
+      SELECT l.root, i.function_id, i.pos, i.token, list_append(l.path, i.pos) FROM l
+      JOIN calls c ON l.function_id = c.function_id AND l.pos = c.pos JOIN itokens i ON i.function_id = c.callee WHERE len(l.path) <= 3)
+    SELECT root AS function_id, count(*) AS n_tokens, string_agg(token, ' ' ORDER BY path) AS body FROM l GROUP BY root""",
+)
+def _(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    callee = F.when(e % 40 == 3, 7).otherwise(F.col("user_id"))
+    calls = t.events.filter((e % 40).isin(3, 17, 29)).select(F.floor(e / 40).alias("function_id"), (e % 40).alias("pos"), callee.alias("callee"))
+    got = R.inlined_bodies(fx.instruction_tokens(t), calls, 3)
+    return got.select("function_id", F.size("body").cast("long").alias("n_tokens"), F.array_join("body", " ").alias("body"))
+
+
 @query(
     "linearize_blocks",
     """WITH b AS (SELECT event_id // 25 AS id, (event_id * 13) % 25 AS addr, event_type AS asm, user_id AS u FROM events)

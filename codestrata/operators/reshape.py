@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as X
 from codestrata.functions.arrays import pad_post, pad_pre
-from codestrata.scale import first_per_key, range_running, salted_join
+from codestrata.scale import first_per_key, meet_spread, range_running, salted_join, spread_heavy
+from codestrata.session import cut
 
 # ---- predicates over rows -----------------------------------------------------------------------
 
@@ -275,6 +276,43 @@ def inline_calls(instr: DataFrame, calls: DataFrame, depth: int = 0) -> DataFram
     return out.select(F.col("root").alias("function_id"), "path", "token")
 
 
+def inlined_bodies(instr: DataFrame, calls: DataFrame, depth: int = 1, max_length: int | None = None, per_task: int = 100_000) -> DataFrame:
+    """(function_id, body): token lists of all functions with the bodies of callees spliced in, ``depth`` levels deep.
+
+    ``instr(function_id, pos, token)``, ``calls(function_id, pos, callee)``. The body of depth d of a function is its tokens in
+    order of ``pos``, each followed by the bodies of depth d - 1 of its callees; every body of a depth is built once, however
+    many functions call it, and recursion ends with the depth. Bodies grow with what they call: ``max_length`` keeps the
+    first tokens of every body, which are also the first of the whole one, so that no list of any level is longer.
+
+    Null functions have no body; null tokens stay; a null position sorts first and calls nothing. Several callees of one
+    position follow each other in order of their ids, a repeated call is spliced once more, and tokens of one position
+    are sorted. Calls without an instruction at their position, and callees without a body, add nothing. A callee that
+    more than ``per_task`` sites call is met in as many tasks as that takes.
+    """
+    at = F.col("pos").cast("long").alias("pos")
+    rows = instr.where("function_id IS NOT NULL").select("function_id", at, F.lit(0).alias("kind"), F.array("token").alias("piece"))
+    known = rows.select("function_id", "pos").distinct()
+    sites = cut(calls.select("function_id", at, "callee").join(known, ["function_id", "pos"], "left_semi"))
+    sites, heavy = spread_heavy(sites, ["callee"], ["function_id", "pos"], per_task)
+    sites = cut(sites)
+
+    def joined(pieces: DataFrame) -> DataFrame:
+        parts = F.sort_array(F.collect_list(F.struct("pos", "kind", "callee", "piece")))
+        body = F.flatten(F.transform(parts, lambda p: p["piece"]))
+        return pieces.groupBy("function_id").agg((body if max_length is None else F.slice(body, 1, max_length)).alias("body"))
+
+    rows = rows.withColumn("callee", F.lit(None).cast(sites.schema["callee"].dataType))
+    bodies = plain = cut(joined(rows))
+    callers = sites.select("function_id").distinct()
+    unchanged = plain.join(callers, "function_id", "left_anti")
+    open_rows = cut(rows.join(callers, "function_id", "left_semi"))
+    for _ in range(depth):
+        met = meet_spread(sites, heavy, bodies.select(F.col("function_id").alias("callee"), F.col("body").alias("piece")), ["callee"])
+        pieces = open_rows.unionByName(met.select("function_id", "pos", F.lit(1).alias("kind"), "callee", "piece"))
+        bodies = cut(joined(pieces).unionByName(unchanged))
+    return bodies
+
+
 def linearize(blocks: DataFrame, features: DataFrame) -> DataFrame:
     """Blocks ``(id, addr, asm)`` and features ``(id, addr, features)`` to one body per function in address order."""
     both = blocks.join(features, ["id", "addr"])
@@ -287,9 +325,13 @@ def linearize(blocks: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def materialize_pairs(pairs: DataFrame, instr: DataFrame, n: int = 150) -> DataFrame:
-    """Padded instruction lists of both sides of a pair; padded before the join so every row has a fixed size."""
+    """Padded instruction lists of both sides of a pair; padded before the join so every row has a fixed size.
+
+    A function in very many pairs meets them in as many tasks as its counted pairs need. Pairs with a null or unknown id drop out.
+    """
     ids, length = pad_post(F.col("instr"), n)
     padded = instr.select("id", ids.alias("f"), length.alias("len"))
     a = padded.select(F.col("id").alias("id_a"), F.col("f").alias("f_a"), F.col("len").alias("len_a"))
     b = padded.select(F.col("id").alias("id_b"), F.col("f").alias("f_b"), F.col("len").alias("len_b"))
-    return pairs.join(a, "id_a").join(b, "id_b")
+    with_a = meet_spread(*spread_heavy(pairs, ["id_a"], ["id_b"]), a, ["id_a"])
+    return meet_spread(*spread_heavy(with_a, ["id_b"], ["id_a"]), b, ["id_b"]).select("id_a", "id_b", *[c for c in pairs.columns if c not in ("id_a", "id_b")], "f_a", "len_a", "f_b", "len_b")

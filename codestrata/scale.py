@@ -114,6 +114,26 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+def spread_heavy(big: DataFrame, on: Sequence[str], spread: Sequence[str], per_task: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """``big`` with a sub-key ``__salt``, and (on, __copies) of the keys that hold more than ``per_task`` of its rows.
+
+    Sub-keys come from counted rows, so a key has as many as it needs and most have one. There are at most
+    rows / ``per_task`` keys in the second table. Rows with a null in ``on`` are left out; they join with nothing.
+    """
+    there = big.where(" AND ".join(f"`{c}` IS NOT NULL" for c in on))
+    heavy = cut(there.groupBy(*on).agg(F.ceil(F.count("*") / per_task).cast("int").alias("__copies")).where("__copies > 1"))
+    copies = F.coalesce("__copies", F.lit(1))
+    salted = there.join(heavy, list(on), "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), copies).cast("int"))
+    return salted.drop("__copies"), heavy
+
+
+def meet_spread(salted: DataFrame, heavy: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner equi-join of both results of ``spread_heavy`` with ``small``, whose rows are repeated once per sub-key of their key."""
+    copies = F.coalesce("__copies", F.lit(1))
+    right = small.join(heavy, list(on), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    return salted.join(right, [*on, "__salt"]).drop("__salt")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of every key; a map-side combined ``min``, so copies never meet in one task."""
     rest = [c for c in df.columns if c not in keys and c not in order]

@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import reshape as R
 from codestrata.operators.vectorize import attention_pool
+from codestrata.scale import meet_spread, spread_heavy
 from codestrata.sources import files as S
 from codestrata.sources import schemas
 from codestrata.sources.views import pooled, register_view, views
@@ -84,6 +86,61 @@ def test_inline_calls_reads_in_order(spark):
     assert body(2) == "a0 a1 b0 c0 c1 c2 b1 b2 a2"
 
 
+def _spliced(instr, calls, f, depth):
+    """The definition, as a recursion."""
+    out = []
+    for _, pos, token in sorted((r for r in instr if r[0] == f), key=lambda r: (r[1], r[2])):
+        out.append(token)
+        for callee in sorted(c for g, p, c in calls if (g, p) == (f, pos) and c is not None) if depth else ():
+            out += _spliced(instr, calls, callee, depth - 1)
+    return out
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_inlined_bodies_follow_the_recursion(spark, depth):
+    """A callee that all call, a cycle, two callees at one position, a repeated call, a callee and a position that do not exist."""
+    instr = [(f"f{f}", p, f"f{f}.{p}") for f in range(9) for p in range(4)]
+    calls = [(f"f{f}", 1, "f0") for f in range(9)] + [("f1", 3, "f2"), ("f2", 0, "f1"), ("f3", 2, "f4"), ("f3", 2, "f1"), ("f4", 0, "f5"), ("f4", 0, "f5")]
+    calls += [("f5", 2, "none"), ("f6", 99, "f1"), ("f7", 2, None), (None, 1, "f1"), ("f8", None, "f1")]
+    body_of = {f"f{f}": _spliced(instr, calls, f"f{f}", depth) for f in range(9)}
+    rows = spark.createDataFrame(instr + [(None, 0, "lost")], "function_id string, pos int, token string").withColumn("callee", F.lit("other"))
+    sites = spark.createDataFrame(calls, "function_id string, pos int, callee string").withColumn("token", F.lit(0))
+    for per_task in (100_000, 2):
+        got = R.inlined_bodies(rows, sites, depth, per_task=per_task)
+        assert {r["function_id"]: r["body"] for r in got.collect()} == body_of
+    cut_off = R.inlined_bodies(rows, sites, depth, max_length=6)
+    assert {r["function_id"]: r["body"] for r in cut_off.collect()} == {f: b[:6] for f, b in body_of.items()}
+    assert R.inlined_bodies(rows.limit(0), sites, depth).collect() == []
+    plain = {f: _spliced(instr, [], f, 0) for f in body_of}
+    assert {r["function_id"]: r["body"] for r in R.inlined_bodies(rows, sites.limit(0), depth).collect()} == plain
+
+
+def test_inlined_bodies_keep_null_tokens_and_positions(spark):
+    rows = spark.createDataFrame([("a", None, "x"), ("a", 0, None), ("a", 1, "y"), ("b", 0, "z")], "function_id string, pos int, token string")
+    sites = spark.createDataFrame([("a", 0, "b"), ("a", None, "b")], "function_id string, pos int, callee string")
+    got = {r["function_id"]: r["body"] for r in R.inlined_bodies(rows, sites, 2).collect()}
+    assert got == {"a": ["x", None, "z", "y"], "b": ["z"]}
+
+
+def test_pairs_of_a_function_in_most_of_them(spark):
+    instr = spark.createDataFrame([(i, list(range(1, i + 2))) for i in range(5)], "id int, instr array<int>")
+    pairs = spark.createDataFrame([(i % 5, 0, i) for i in range(40)] + [(None, 1, 41), (2, 77, 42)], "id_a int, id_b int, pair int")
+    got = R.materialize_pairs(pairs, instr, 4)
+    assert got.columns == ["id_a", "id_b", "pair", "f_a", "len_a", "f_b", "len_b"]
+    assert sorted((r["pair"], r["f_a"], r["f_b"]) for r in got.collect()) == [
+        (i, ([*range(1, i % 5 + 2)] + [0] * 4)[:4], [1, 0, 0, 0]) for i in range(40)
+    ]
+
+
+def test_heavy_keys_meet_in_as_many_parts_as_they_need(spark):
+    big = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 50), (None, 51), ("alone", 52)], "k string, v int")
+    small = spark.createDataFrame([("hot", "h"), ("cold", "c"), (None, "n"), ("unused", "u")], "k string, w string")
+    salted, heavy = spread_heavy(big, ["k"], ["v"], 10)
+    assert [tuple(r) for r in heavy.collect()] == [("hot", 5)]
+    assert salted.where("k = 'hot'").select("__salt").distinct().count() > 1
+    assert sorted(map(tuple, meet_spread(salted, heavy, small, ["k"]).collect())) == [("cold", 50, "c")] + [("hot", i, "h") for i in range(50)]
+
+
 def test_views_and_pooling(spark):
     rows = spark.createDataFrame([("1", "p$a", [[1.0, 2.0], [3.0, 4.0]]), ("2", "p$b", [])], schemas.EMBEDDING_ROW)
     register_view("v", lambda s: rows)
