@@ -13,9 +13,10 @@ from itertools import combinations, product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.operators.aggregate import f1_report, path_counts
+from codestrata.functions.arrays import binarize
+from codestrata.operators.aggregate import classification_report, f1_report, hamming_loss, path_counts, roc_auc
 from codestrata.operators.cluster import CLUSTERERS, known_k, multiview_spectral
-from codestrata.operators.learn import CLASSIFIERS, holdout_predictions
+from codestrata.operators.learn import CLASSIFIERS, holdout_predictions, multilabel_fit_predict
 from codestrata.operators.reshape import align_views
 from codestrata.operators.vote import consensus, named_clusters, seed_sets, self_train
 from codestrata.session import cut
@@ -202,3 +203,28 @@ def predict(
     agreed = seeds.filter("agreed").withColumn("label", F.col("cluster").cast("string"))
     grown = self_train(agreed, seeds.filter(~F.col("agreed")), learners, final=True)
     return grown.select("problem", "index", F.col("label").cast("int").alias("group")).unionByName(unresolved)
+
+
+# ---- many labels --------------------------------------------------------------------------------
+
+
+def multilabel_evaluation(scored: DataFrame, labels: list[str], threshold: float = 0.4, y: str = "Y", scores: str = "scores") -> DataFrame:
+    """(label, metric, value): the whole evaluation of predicted scores in one table.
+
+    ``precision``, ``recall``, ``f1`` and ``support`` per label and of the four averages, ``auc`` per label and as ``macro avg``, and ``hamming_loss``
+    of ``all``. A score of ``threshold`` or more predicts its label. The AUC of a label with one class only is null and stays out of
+    the mean; rows without target or scores are left out, and a table without rows has no labels.
+    """
+    rows = cut(scored.where(F.col(y).isNotNull() & F.col(scores).isNotNull()).select(F.col(y).alias("y"), F.col(scores).alias("s"), binarize(F.col(scores), threshold).alias("p")))
+    report = classification_report(rows, labels).select("label", *[F.col(c).cast("double").alias(c) for c in ("precision", "recall", "f1", "support")])
+    out = report.unpivot(["label"], ["precision", "recall", "f1", "support"], "metric", "value")
+    names = F.array(*[F.lit(x) for x in labels])
+    auc = cut(roc_auc(rows.select(F.inline(F.arrays_zip(names.alias("label"), F.col("y"), F.col("s").alias("score")))).where("label IS NOT NULL AND y IS NOT NULL")))
+    mean = auc.agg(F.avg("auc").alias("value")).select(F.lit("macro avg").alias("label"), F.lit("auc").alias("metric"), "value")
+    out = out.unionByName(auc.select("label", F.lit("auc").alias("metric"), F.col("auc").alias("value"))).unionByName(mean)
+    return out.unionByName(hamming_loss(rows).select(F.lit("all").alias("label"), F.lit("hamming_loss").alias("metric"), F.col("hamming_loss").alias("value")))
+
+
+def multilabel_report(train: DataFrame, test: DataFrame, views: list[str], labels: list[str], threshold: float = 0.4) -> DataFrame:
+    """Fit on ``train``, score ``test``, and evaluate: see ``multilabel_fit_predict`` and ``multilabel_evaluation``."""
+    return multilabel_evaluation(multilabel_fit_predict(train, test, views, labels, threshold), labels, threshold)
