@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.catalog import fixtures as fx
-from codestrata.catalog.metrics import f1_sql, rounded
+from codestrata.catalog.metrics import REPORT, f1_sql, rounded
 from codestrata.catalog.registry import Tables, query, quoted
 from codestrata.catalog.texts import ASCII
 from codestrata.functions import text as X
@@ -302,21 +302,11 @@ def _(t: Tables) -> DataFrame:
     return got.select("index", F.array_join(F.col("p").cast("array<string>"), "").alias("p"))
 
 
-PRF = "coalesce({tp} / nullif({p}, 0), 0) AS precision, coalesce({tp} / nullif({s}, 0), 0) AS recall, coalesce(2.0 * {tp} / nullif({p} + {s}, 0), 0) AS f1"
-
-
 @query(
     "multilabel_evaluation",
     f"""WITH {fx.SCORED_ROWS},
-    per AS (SELECT label, sum(y * p) AS tp, sum(p) AS pr, sum(y) AS su FROM cells GROUP BY label),
-    rep AS (SELECT label, {PRF.format(tp='tp', p='pr', s='su')}, su AS support FROM per),
-    one AS (SELECT index, sum(y * p) AS tp, sum(p) AS pr, sum(y) AS su FROM cells GROUP BY index),
-    ind AS (SELECT {PRF.format(tp='tp', p='pr', s='su')}, su AS support FROM one),
-    wide AS (SELECT label, precision::double AS precision, recall::double AS recall, f1::double AS f1, support::double AS support FROM (SELECT * FROM rep
-      UNION ALL SELECT 'micro avg', {PRF.format(tp='sum(tp)', p='sum(pr)', s='sum(su)')}, sum(su) FROM per
-      UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM rep
-      UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM rep
-      UNION ALL SELECT 'samples avg', avg(precision), avg(recall), avg(f1), sum(support) FROM ind)),
+    {REPORT},
+    wide AS (SELECT label, precision::double AS precision, recall::double AS recall, f1::double AS f1, support::double AS support FROM a),
     ranks AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY score) + (count(*) OVER (PARTITION BY label, score) - 1) / 2.0 AS r FROM cells),
     auc AS (SELECT label, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auc FROM ranks GROUP BY label),
     long AS (SELECT label, metric, value FROM (UNPIVOT wide ON precision, recall, f1, support INTO NAME metric VALUE value)

@@ -134,10 +134,8 @@ def _(t: Tables) -> DataFrame:
 _PRF = "coalesce({tp} / nullif({p}, 0), 0) AS precision, coalesce({tp} / nullif({s}, 0), 0) AS recall, coalesce(2.0 * {tp} / nullif({p} + {s}, 0), 0) AS f1"
 
 
-@query(
-    "classification_report",
-    f"""WITH {fx.SCORED_ROWS},
-    per AS (SELECT label, sum(y * p) AS tp, sum(p) AS pr, sum(y) AS su FROM cells GROUP BY label),
+# from ``cells`` (index, label, y, p) to ``a``, the rows of the report
+REPORT = f"""per AS (SELECT label, sum(y * p) AS tp, sum(p) AS pr, sum(y) AS su FROM cells GROUP BY label),
     rep AS (SELECT label, {_PRF.format(tp='tp', p='pr', s='su')}, su AS support FROM per),
     one AS (SELECT index, sum(y * p) AS tp, sum(p) AS pr, sum(y) AS su FROM cells GROUP BY index),
     ind AS (SELECT {_PRF.format(tp='tp', p='pr', s='su')}, su AS support FROM one),
@@ -145,7 +143,13 @@ _PRF = "coalesce({tp} / nullif({p}, 0), 0) AS precision, coalesce({tp} / nullif(
       UNION ALL SELECT 'micro avg', {_PRF.format(tp='sum(tp)', p='sum(pr)', s='sum(su)')}, sum(su) FROM per
       UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM rep
       UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM rep
-      UNION ALL SELECT 'samples avg', avg(precision), avg(recall), avg(f1), sum(support) FROM ind)
+      UNION ALL SELECT 'samples avg', avg(precision), avg(recall), avg(f1), sum(support) FROM ind)"""
+
+
+@query(
+    "classification_report",
+    f"""WITH {fx.SCORED_ROWS},
+    {REPORT}
     SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, cast(support AS bigint) AS support FROM a""",
 )
 def _(t: Tables) -> DataFrame:

@@ -235,7 +235,7 @@ def translate_contexts(contexts: DataFrame, tokens: DataFrame, paths: DataFrame,
 
 def attach_contexts(samples: DataFrame, contexts: DataFrame, path_col: str = "path") -> DataFrame:
     """Samples joined with the contexts of the file that carries their index as base name; empty ones drop out."""
-    stem = F.regexp_replace(F.element_at(F.split(F.col(path_col), r"[/\\]"), -1), r".{4}$", "")
+    stem = F.regexp_replace(F.element_at(F.split(F.col(path_col), r"[/\\]"), -1), r"\.[^.]*$", "")
     ctx = contexts.withColumn("index", stem).filter(F.size("contexts") > 0).drop(path_col)
     return samples.join(ctx, "index")
 

@@ -37,12 +37,13 @@ def top_k(sim: DataFrame, k: int | None) -> DataFrame:
     return ranked.filter(F.col("rank") <= k) if k else ranked
 
 
-def similarity(queries: DataFrame, cands: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Dot product of a bounded query set with every candidate."""
+def similarity(queries: DataFrame, cands: DataFrame, max_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
+    """Dot product of every query with every candidate: a row for each, so meant for few queries; ``nearest`` keeps the best.
+
+    Query sets of a checked size travel to the candidates, larger ones meet them in a grid of bounded blocks; the rows are the same.
+    """
     small = _small_queries(queries, max_bytes)
-    if small is None:
-        raise ValueError("the query set is too large for a full score table; use nearest(k=...)")
-    return _scan(small, cands, None)
+    return _scan(small, cands, None) if small is not None else _grid(queries, cands, None, block)
 
 
 def nearest(queries: DataFrame, cands: DataFrame, k: int, max_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
@@ -98,7 +99,7 @@ def _scan(small, cands: DataFrame, k: int | None) -> DataFrame:
     return cands.select(F.col("id").cast("long").alias("id"), "x").mapInPandas(run, _TOP)
 
 
-def _grid(queries: DataFrame, cands: DataFrame, k: int, block: int) -> DataFrame:
+def _grid(queries: DataFrame, cands: DataFrame, k: int | None, block: int) -> DataFrame:
     n_q = max(1, -(-queries.count() // block))
     n_c = max(1, -(-cands.count() // block))
 

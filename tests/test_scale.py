@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import split as P
 from codestrata.operators.aggregate import f1_report, group_solutions, roc_auc
-from codestrata.operators.search import nearest
+from codestrata.operators.search import nearest, similarity
 from codestrata.scale import first_per_key, hash_rank, hash_running_sum, range_running, salted_join, stable_hash
 
 
@@ -133,6 +133,10 @@ def test_nearest_ways_agree(spark):
     a = sorted(map(tuple, nearest(pts, pts, 5).collect()))
     b = sorted(map(tuple, nearest(pts, pts, 5, max_bytes=0, block=70).collect()))
     assert a == b and len(a) == 1500
+    some = pts.where("id % 10 = 0")
+    c = sorted(map(tuple, similarity(some, pts).collect()))
+    d = sorted(map(tuple, similarity(some, pts, max_bytes=0, block=70).collect()))
+    assert c == d and len(c) == 30 * 300
 
 
 def test_f1_micro_is_accuracy(spark):
