@@ -7,9 +7,12 @@
    takes all phrases known to be frequent for proposed and counts what no pass has counted yet, until no
    failure is left. Any frequent phrase has frequent parts, so then none is missing. What is still to be counted has a
    failure of the pass before in it, so a further pass looks at the neighbourhood of these only.
+4. Failures with few occurrences need one further pass instead of one per length: it takes all that no pass has counted
+   for proposed too, so it counts every phrase around them that is not known to hold an infrequent one.
 
 Passes know the proposed phrases by a Bloom filter of bounded size. Its false positives make a pass count more
-phrases than it must, and change no result: nothing is taken for frequent before it has been counted.
+phrases than it must, and change no result: nothing is taken for frequent before it has been counted, and a phrase
+counts as proposed only if its parts do, so one that a pass could not reach is not taken for counted later.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ CHUNK = 1 << 19  # words counted at once in a task
 FILTER_BITS = 1 << 27  # 16 MB, the bound of a filter
 BITS_PER_PHRASE = 12
 SEGMENT = 1 << 20  # bits of a filter that one task sets
+FEW = 8  # failures at no more than one in so many words are settled by one last pass
 BUCKETS = 64  # parts of a language that rank on their own first
 
 #: floor(1000 a n / (l r)): products of 38 digits at most; the score is at most 1000 n
@@ -139,17 +143,18 @@ def known_phrases(frequent: DataFrame, count: int) -> Known:
     bits = np.zeros(size // 8, np.uint8)
     for row in filled.collect():  # at most the bound of a filter in all
         start = row["segment"] * (SEGMENT // 8)
-        bits[start : start + SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
+        bits[start : start + SEGMENT // 8] |= np.frombuffer(row["bits"], np.uint8)
     return Known(size, bits)
 
 
-def _counted(lang: bytes, names: list[bytes], ids: np.ndarray, passes: list[Known], max_words: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, int]]:
+def _counted(lang: bytes, names: list[bytes], ids: np.ndarray, passes: list[Known], max_words: int, last: bool = False) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, int]]:
     """(phrases, counts, proposed, words) of what this pass counts in a run of word numbers; number 0 is the gap.
 
     ``passes`` are the filters so far, the last one that of this pass. A phrase that an earlier pass has counted is left out.
+    In a ``last`` pass what no pass has counted is proposed too.
     """
     words = np.concatenate((np.zeros(1, np.uint64), _word_hashes(lang, names[1:])))
-    within = [k.has(words) for k in passes]  # which phrases of the present length each filter holds
+    within = [k.has(words) for k in passes]  # which phrases of the present length each filter holds, their parts with them
     for w in within:
         w[0] = False
     if len(passes) == 1:  # later passes have all words behind them
@@ -164,13 +169,14 @@ def _counted(lang: bytes, names: list[bytes], ids: np.ndarray, passes: list[Know
             return
         behind = ids[here + k - 1]
         code, first, back, counts = np.unique(phrase[here] * np.int64(len(names)) + behind, return_index=True, return_inverse=True, return_counts=True)
-        starts, ends, last = phrase[here[first]], phrase[here[first] + 1], behind[first]
-        new = np.ones(len(code), bool)
-        for w in within[:-1]:
-            new &= ~(w[starts] & w[ends])
-        texts = [texts[a] + b" " + names[b] for a, b in zip(starts.tolist(), last.tolist())]
-        hashes = _longer(hashes[starts], words[last])
-        within = [f.has(hashes) for f in passes]
+        starts, ends, final = phrase[here[first]], phrase[here[first] + 1], behind[first]
+        reached = [w[starts] & w[ends] for w in within]  # by each pass: these it has counted
+        new = ~np.any(reached[:-1], axis=0) if len(passes) > 1 else np.ones(len(code), bool)
+        texts = [texts[a] + b" " + names[b] for a, b in zip(starts.tolist(), final.tolist())]
+        hashes = _longer(hashes[starts], words[final])
+        within = [f.has(hashes) & r for f, r in zip(passes, reached)]
+        if last:
+            within[-1] |= new
         yield list(compress(texts, new.tolist())), counts[new], within[-1][new], k
         phrase = np.zeros(len(ids) + 1, np.int64)
         phrase[here] = back
@@ -210,10 +216,10 @@ class _Numbers(dict):
 COUNTS = "lang string, phrase string, words int, proposed boolean, n long"
 
 
-def _pass(docs: DataFrame, passes: list[Known], failed: Known | None, max_words: int) -> DataFrame:
+def _pass(docs: DataFrame, passes: list[Known], failed: Known | None, max_words: int, last: bool = False) -> DataFrame:
     """(lang, phrase, words, proposed, n): exact counts of what this pass counts; ``words`` 0 is the number of all words of a language.
 
-    ``failed`` are the failures of the pass before, None in the first pass, which counts all words.
+    ``failed`` are the failures of the pass before, None in the first pass, which counts all words. A ``last`` pass leaves no failures.
     """
     shared = docs.sparkSession.sparkContext.broadcast((passes, failed))  # filters of bounded size, one per pass and one more
 
@@ -228,7 +234,7 @@ def _pass(docs: DataFrame, passes: list[Known], failed: Known | None, max_words:
                 passes, failed = shared.value
                 if failed is not None:
                     ids = _near(ids, np.concatenate((np.zeros(1, np.uint64), _word_hashes(lang, numbers.names[1:]))), failed, max_words)
-                found = _counted(lang, numbers.names, ids, passes, max_words)
+                found = _counted(lang, numbers.names, ids, passes, max_words, last)
                 if failed is None:
                     yield _rows(shown, [None], np.array([np.count_nonzero(ids)]), np.array([True]), 0)
                 for phrases, n, proposed, k in found:
@@ -260,19 +266,23 @@ def _rows(lang: str, phrases: list, n: np.ndarray, proposed: np.ndarray, k: int)
 def _closed(docs: DataFrame, start: Known, min_count: int, max_words: int) -> DataFrame:
     """Frequent phrases and the word numbers (``words`` 0), by passes until no border phrase fails.
 
-    After pass i no phrase of i words is missing, so there are at most ``max_words`` passes.
+    After pass i no phrase of i words is missing, so there are at most ``max_words`` passes. Failures at few places have one pass
+    more: a place lies in 14 phrases of 2 to 5 words, so this pass counts less than the first one.
     """
-    passes, found, failures = [start], None, None
+    counted = cut(_pass(docs, [start], None, max_words).where((F.col("n") >= min_count) | (F.col("words") == 0)))
+    passes, found, last = [start], counted, False
+    total = counted.where("words = 0").agg(F.sum("n")).first()[0] or 0
     while True:
-        counted = cut(_pass(docs, passes, failures, max_words).where((F.col("n") >= min_count) | (F.col("words") == 0)))
-        found = counted if found is None else found.unionByName(counted)
         failed = counted.where(~F.col("proposed") & F.col("words").between(1, max_words - 1))
-        missed = failed.count()
-        if not missed:
+        missed, places = failed.agg(F.count("*"), F.sum("n")).first()
+        if last or not missed:
             return found
+        last = places * FEW <= total
         frequent = found.where("words > 0")
         passes.append(known_phrases(frequent, frequent.count()))
         failures = known_phrases(failed, missed)
+        counted = cut(_pass(docs, passes, failures, max_words, *([last] if last else [])).where(F.col("n") >= min_count))
+        found = found.unionByName(counted)
 
 
 def frequent_phrases(docs: DataFrame, id_col: str, lang_col: str, text_col: str, min_count: int, max_words: int, sample_of: int) -> DataFrame:

@@ -111,3 +111,28 @@ def test_scores_beyond_64_bits(spark):
     a, n, l, r = 10**12 + 7, 10**13 + 9, 10**12 + 11, 10**12 + 13
     df = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long")
     assert df.selectExpr(f"{phrase_mining.SCORE} AS score").first()[0] == 1000 * a * n // (l * r)
+
+
+def test_a_false_positive_of_an_early_filter_loses_nothing(spark):
+    """A filter that holds a phrase by chance but not its first part: that pass never reaches what is longer, a later one must."""
+    rows = [(i, "en", "a b c d") for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("lang", "text")
+    proposed = ["b", "c", "d", "b c", "c d", "b c d", "a b c"]
+    start = phrase_mining.known_phrases(spark.createDataFrame([("en", p) for p in proposed], "lang string, phrase string"), len(proposed))
+    found = phrase_mining._closed(docs, start, 30, 5).where("words > 0")
+    assert got(found.select("phrase", "n")) == sorted((" ".join(p), f) for (_, p), f in plain_counts(rows)[0].items())
+
+
+def test_few_failures_take_one_pass(spark, monkeypatch):
+    """Phrases that the sample has not proposed, at few places: one further pass finds those of all lengths."""
+    rng = random.Random(4)
+    rows = [(i, "en", " ".join(rng.choices("abcdefghij", k=40))) for i in range(200)] + [(1000 + i, "en", "v w x y z") for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("lang", "text")
+    frequent = sorted((" ".join(p), f) for (_, p), f in plain_counts(rows)[0].items() if f >= 12)
+    proposed = [p for p, _ in frequent if not set(p) & set("vwxyz")]
+    start = phrase_mining.known_phrases(spark.createDataFrame([("en", p) for p in proposed], "lang string, phrase string"), len(proposed))
+    passes = []
+    run = phrase_mining._pass
+    monkeypatch.setattr(phrase_mining, "_pass", lambda d, filters, *more: passes.append(len(filters)) or run(d, filters, *more))
+    assert got(phrase_mining._closed(docs, start, 12, 5).where("words > 0").select("phrase", "n")) == frequent
+    assert passes == [1, 2]
