@@ -149,3 +149,24 @@ def test_every_row_once_and_k_groups(spark):
         got = fn(pts, ks).collect()
         assert sorted(r["index"] for r in got) == list(range(70))
         assert {r["cluster"] for r in got} == set(range(6))
+
+
+def test_grid_cells_work_for_both_sides(spark, monkeypatch):
+    """Many stripes and tiles: rows go to as many cells as there are stripes, and every pair of rows meets once."""
+    rng = np.random.default_rng(3)
+    a, b, v, w = rng.normal(size=(70, 5)), rng.normal(size=(45, 5)), rng.normal(size=(45, 3)), rng.normal(size=(70, 3))
+    monkeypatch.setattr(C, "TILE", 16)
+    out, back = C._affinity_times(a, b, 0.5, v, w)
+    full = C._affinity(a, b, 0.5)
+    assert np.allclose(out, full @ v, atol=1e-8) and np.allclose(back, full.T @ w, atol=1e-8)
+    a[50] = a[3]  # a tie goes to the first
+    ids, top = C._most_similar(a, a, True)[0]
+    dots = np.round(a @ a.T, C.DIGITS)
+    np.fill_diagonal(dots, -np.inf)
+    assert ids.tolist() == dots.argmax(1).tolist() and top.tolist() == dots.max(1).tolist()
+    (ids, _), (back, _) = C._most_similar(a, b, False)
+    assert ids.tolist() == np.round(a @ b.T, C.DIGITS).argmax(1).tolist() and back.tolist() == np.round(b @ a.T, C.DIGITS).argmax(1).tolist()
+    rows = spark.range(60).selectExpr("'p' AS problem", "id AS index", "cast(id % 5 AS int) AS b", "5 AS bs")
+    cells = C._grid(rows, "index").collect()
+    assert len(cells) == 60 * 5 and len({(r["r"], r["c"]) for r in cells}) == 15
+    assert all((r["c"] if r["side"] else r["r"]) == r["index"] % 5 for r in cells)
