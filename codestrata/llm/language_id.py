@@ -33,7 +33,6 @@ EPOCHS = 5
 BATCH = 64
 SEED = 42
 UNKNOWN = "und"
-JUDGED = 8000  # held-out labelled documents, at about most, that low scores are fitted on
 LEAST_JUDGED = 20  # a length with fewer of them has no low score
 CHUNK = 96  # windows that run through the network together: what they need fits a core's cache
 
@@ -271,16 +270,14 @@ def length_class(text: Column) -> Column:
     return F.when(n < WINDOW // 4, 0).when(n < WINDOW, 1).otherwise(2)
 
 
-def low_scores(docs: DataFrame, net: Network, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> dict[int, float]:
-    """Per length class the score below which a text is taken for no language that the network knows.
+def low_scores(predicted: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> dict[int, float]:
+    """Per length class the score below which a text is taken for no language that the network knows; ``predicted`` is a result of ``predict``.
 
-    It is half of the score that 99 of 100 held-out labelled texts reach, so that clean texts stay. About JUDGED of them
-    are chosen by a hash of id and text; those without a letter do not count.
+    It is half of the score that 99 of 100 held-out labelled texts reach, so that clean texts stay. All of them count, but for
+    those without a letter. Scores have six digits, so there are few different ones to rank, however many texts.
     """
     text = F.col(f"`{text_col}`")
-    known = docs.where(held_out(id_col) & F.col(f"`{label_col}`").isNotNull() & text.isNotNull())
-    share = min(1.0, JUDGED / max(known.count(), 1))
-    known = known.select(text.alias("text")).where(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), text), F.lit(1 << 32)) < int(share * (1 << 32)))
-    seen = predict(known, net).where(F.col("lang_pred") != UNKNOWN).select(length_class(F.col("text")).alias("length"), "score")
-    found = seen.groupBy("length").agg(F.percentile("score", F.lit(0.01)).alias("low"), F.count("*").alias("n")).collect()
+    known = predicted.where(held_out(id_col) & F.col(f"`{label_col}`").isNotNull() & text.isNotNull() & (F.col("lang_pred") != UNKNOWN))
+    seen = known.select(length_class(text).alias("length"), "score").groupBy("length", "score").agg(F.count("*").alias("n"))
+    found = seen.groupBy("length").agg(F.percentile("score", F.lit(0.01), F.col("n")).alias("low"), F.sum("n").alias("n")).collect()
     return {r["length"]: r["low"] / 2 for r in found if r["n"] >= LEAST_JUDGED}

@@ -37,3 +37,16 @@ def test_no_labels_at_all(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS).withColumn("lang", F.lit(None).cast("string"))
     got = by_language(spark, docs)
     assert set(got) == lettered(docs) and set(got.values()) == {None}
+
+
+def test_low_scores_come_from_all_held_out_texts(spark):
+    """More held-out texts than any bounded sample had, with the low scores in few of them."""
+    n, text = 60_000, "t" * 200
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"), F.lit("en").alias("lang_pred"), (F.col("id") / (10 * n)).alias("made"))
+    rows = rows.withColumn("score", F.round("made", 6))
+    held = sorted(r["score"] for r in rows.where(language_id.held_out()).select("score").collect())
+    assert len(held) > 10_000
+    at = 0.01 * (len(held) - 1)
+    want = held[int(at)] + (held[int(at) + 1] - held[int(at)]) * (at % 1)
+    got = language_id.low_scores(rows)
+    assert set(got) == {2} and abs(got[2] - want / 2) < 1e-12
