@@ -240,18 +240,22 @@ def dedup_lines(
         F.col("id").alias("lost_id"), F.col("mark").alias("lost_mark"), "lost"
     )
 
-    @F.pandas_udf("kept string, n_lines long, n_dropped long")
-    def keep(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, packed in zip(texts, lost):
-            rows = (text or "").split("\n")
-            if packed is None:
-                out.append((text or "", len(rows), 0))
-                continue
-            gone = {p[i : i + WIDTH] for p in packed for i in range(0, len(p), WIDTH)}
-            stay = [r for r in rows if line_hash(r.encode(), min_chars) not in gone]
-            out.append(("\n".join(stay), len(rows), len(rows) - len(stay)))
-        return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
+    @F.arrow_udf("struct<kept:string,n_lines:long,n_dropped:long>")
+    def keep(texts: pa.Array, lost: pa.Array) -> pa.Array:
+        made = []
+        for at in range(0, len(texts), 256):  # few texts are Python objects at a time
+            out, n, dropped = [], [], []
+            for text, packed in zip(utf8(texts.slice(at, 256)), lost.slice(at, 256).to_pylist()):
+                rows = text.split(b"\n")
+                gone = {p[i : i + WIDTH] for p in packed or [] for i in range(0, len(p), WIDTH)}
+                stay = [r for r in rows if line_hash(r, min_chars) not in gone] if gone else rows
+                out.append(b"\n".join(stay) if gone else text)
+                n.append(len(rows))
+                dropped.append(len(rows) - len(stay))
+            kept = pa.array(out, pa.large_binary()).cast(pa.large_string())
+            made.append((kept, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())))
+        columns = [pa.concat_arrays(list(c)) for c in zip(*made)] if made else [pa.array([], t) for t in (pa.large_string(), pa.int64(), pa.int64())]
+        return pa.StructArray.from_arrays([columns[0].cast(pa.string()), *columns[1:]], names=["kept", "n_lines", "n_dropped"])
 
     met = keyed.join(lost, keyed["id"].eqNullSafe(lost["lost_id"]) & (keyed["mark"] == lost["lost_mark"]), "left")
     done = met.withColumn("done", keep("text", "lost"))
