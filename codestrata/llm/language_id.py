@@ -10,8 +10,6 @@ mean over its windows, by their length.
 
 from __future__ import annotations
 
-import functools
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,13 +58,6 @@ class Network:
     out: np.ndarray
     bias: np.ndarray
 
-    @property
-    def key(self) -> str:
-        h = hashlib.md5(repr(self.languages).encode())
-        for a in (self.embedding, *self.filters.values(), self.out, self.bias):
-            h.update(a.tobytes())
-        return h.hexdigest()
-
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, list]:
         """Maxima of all filters over windows of bytes, and what a training step needs again."""
         seen = self.embedding[x]
@@ -190,24 +181,6 @@ class Compiled:
         return names, scores
 
 
-@functools.lru_cache(2)
-def _compiled(key: str, box) -> Compiled:
-    return Compiled(box.net)
-
-
-class _Box:
-    """A network that compares equal to every other, so that the cache goes by the key alone."""
-
-    def __init__(self, net: Network):
-        self.net = net
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Box)
-
-    def __hash__(self) -> int:
-        return 0
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents that training never sees: a quarter, by crc32 of the id. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -248,17 +221,18 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> Dat
     """
     if net is None:
         return unpacked(docs.select(whole_row(docs)), "row", docs.columns, {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    shared, key = docs.sparkSession.sparkContext.broadcast(net), net.key  # a few hundred kilobytes
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kilobytes
 
     @F.arrow_udf("struct<lang:string,score:double>")
-    def run(texts: pa.Array) -> pa.Array:
-        model = _compiled(key, _Box(shared.value))
-        names, scores = [], []
-        for at in range(0, len(texts), 256):
-            n, s = model.of_texts(utf8(texts.slice(at, 256)))
-            names += n
-            scores += s
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = Compiled(shared.value)  # 25 MB, which go with the task: workers live on, idle or in other stages
+        for texts in columns:
+            names, scores = [], []
+            for at in range(0, len(texts), 256):
+                n, s = model.of_texts(utf8(texts.slice(at, 256)))
+                names += n
+                scores += s
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     d = docs.select(whole_row(docs), run(F.col(f"`{text_col}`")).alias("made"))
     return unpacked(d, "row", docs.columns, {"lang_pred": F.col("made.lang"), "score": F.col("made.score")})

@@ -240,24 +240,29 @@ def dedup_lines(
         F.col("id").alias("lost_id"), F.col("mark").alias("lost_mark"), "lost"
     )
 
-    @F.arrow_udf("struct<kept:string,n_lines:long,n_dropped:long>")
+    @F.arrow_udf("struct<kept:string,n_dropped:long>")
     def keep(texts: pa.Array, lost: pa.Array) -> pa.Array:
         made = []
         for at in range(0, len(texts), 256):  # few texts are Python objects at a time
-            out, n, dropped = [], [], []
+            out, dropped = [], []
             for text, packed in zip(utf8(texts.slice(at, 256)), lost.slice(at, 256).to_pylist()):
+                if not packed:
+                    out.append(None)
+                    dropped.append(0)
+                    continue
                 rows = text.split(b"\n")
-                gone = {p[i : i + WIDTH] for p in packed or [] for i in range(0, len(p), WIDTH)}
-                stay = [r for r in rows if line_hash(r, min_chars) not in gone] if gone else rows
-                out.append(b"\n".join(stay) if gone else text)
-                n.append(len(rows))
+                gone = {p[i : i + WIDTH] for p in packed for i in range(0, len(p), WIDTH)}
+                stay = [r for r in rows if line_hash(r, min_chars) not in gone]
+                out.append(b"\n".join(stay))
                 dropped.append(len(rows) - len(stay))
-            kept = pa.array(out, pa.large_binary()).cast(pa.large_string())
-            made.append((kept, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())))
-        columns = [pa.concat_arrays(list(c)) for c in zip(*made)] if made else [pa.array([], t) for t in (pa.large_string(), pa.int64(), pa.int64())]
-        return pa.StructArray.from_arrays([columns[0].cast(pa.string()), *columns[1:]], names=["kept", "n_lines", "n_dropped"])
+            made.append((pa.array(out, pa.binary()).cast(pa.string()), pa.array(dropped, pa.int64())))
+        columns = [pa.concat_arrays(list(c)) for c in zip(*made)] if made else [pa.array([], t) for t in (pa.string(), pa.int64())]
+        return pa.StructArray.from_arrays(columns, names=["kept", "n_dropped"])
 
     met = keyed.join(lost, keyed["id"].eqNullSafe(lost["lost_id"]) & (keyed["mark"] == lost["lost_mark"]), "left")
-    done = met.withColumn("done", keep("text", "lost"))
-    replaced = {text_col: F.col("done.kept"), "n_lines": F.col("done.n_lines"), "n_dropped": F.col("done.n_dropped")}
+    # a text that loses nothing stays where it is: only the others are handed to Python and back
+    done = met.withColumn("done", keep(F.when(F.col("lost").isNotNull(), F.col("text")), "lost"))
+    whole = F.coalesce("text", F.lit(""))
+    n_lines = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    replaced = {text_col: F.coalesce("done.kept", whole), "n_lines": n_lines.cast("long"), "n_dropped": F.col("done.n_dropped")}
     return unpacked(done, "row", docs.columns, replaced)

@@ -75,3 +75,11 @@ def test_index_is_minimal_and_perfect():
     assert (index.count[at] == np.arange(5000)).all() and (index.last[at] == np.arange(5000) * 7).all()
     other = rng.integers(-(2**63), 2**63 - 1, (5000, 2)).view(np.uint64)
     assert (index.look_up(other[:, 0].copy(), other[:, 1].copy()) == -1).all()
+
+
+def test_only_texts_that_lose_lines_reach_python(spark):
+    """Texts that stay as they are take no memory of the Python workers; their lines are counted where they lie."""
+    rows = [(i, LONG + "\nx") for i in range(3)] + [(9, "own\n\nlines\n"), (10, "\r\n\x0b é")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "keep(CASE WHEN isnotnull(lost" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert got(out) == plain(rows)

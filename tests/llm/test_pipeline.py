@@ -71,3 +71,16 @@ def test_odd_tables(spark, rows):
             assert len(got) == len(rows)
         if rows and name == "simhash_dedup":
             assert len([r for r in got if r["doc_id"] == 4]) == 1
+
+
+def test_stages_hand_few_texts_at_a_time_to_python(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "0")  # no limit
+        seen = corpus_pipeline.in_small_batches(lambda s, docs, folder: int(s.conf.get(key)))(spark, None, "")
+        assert 0 < seen <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(key, "7")
+        assert corpus_pipeline.in_small_batches(lambda s, docs, folder: int(s.conf.get(key)))(spark, None, "") == 7
+    finally:
+        spark.conf.set(key, before)
