@@ -30,6 +30,7 @@ DATA_BLOCK = 4096
 QUERY_BLOCK = 256
 PIVOTS = 256  # rows that the blocks are laid around, whatever the corpus
 LEAF = 64  # rows compared as one matrix product
+WORTH = 8  # points per child at least; a node that would fall into smaller ones stays whole and is compared as one product
 QUERY_LEAF = 1  # queries are compared alone at the bottom of their tree, unless they are equal
 EXACT = 1 << 52  # products of norms below it are exact in doubles
 LONGEST = (1 << 63) - 1
@@ -56,7 +57,7 @@ class CoverTree:
             centre, radius, start, stop = nodes[at][:4]
             nodes[at][4] = nodes[at][5] = len(nodes)
             if stop - start > leaf and 0 < radius < np.inf:
-                self._divide(nodes, order, start, stop, radius / 2)
+                self._divide(nodes, order, start, stop, radius / 2, WORTH if leaf >= WORTH else 1)
                 nodes[at][5] = len(nodes)
             at += 1
         table = np.array(nodes, np.float64).reshape(-1, 6)
@@ -69,8 +70,8 @@ class CoverTree:
         radius = float(np.sqrt(((own - self.points[centre]) ** 2).sum(axis=1).max()))
         nodes.append([centre, radius * (1 + 1e-12), start, stop, 0, 0])  # never below the true radius
 
-    def _divide(self, nodes: list, order: np.ndarray, start: int, stop: int, reach: float) -> None:
-        """Children around points farther than ``reach`` from each other that cover all points within it."""
+    def _divide(self, nodes: list, order: np.ndarray, start: int, stop: int, reach: float, worth: int) -> None:
+        """Children around points farther than ``reach`` from each other that cover all points within it; none if they had fewer than ``worth`` points on average."""
         own = order[start:stop]
         x = self.points[own]
         near = np.full(len(own), np.inf)
@@ -80,6 +81,8 @@ class CoverTree:
             far = int(near.argmax()) if centres else 0
             if centres and near[far] <= reach * reach:
                 break
+            if (len(centres) + 1) * worth > len(own):
+                return
             d = ((x - x[far]) ** 2).sum(axis=1)
             closer = d < near
             near[closer], label[closer] = d[closer], len(centres)
@@ -124,9 +127,11 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, worst: np.ndarray, k: int) -> list[tuple[list, list]]:
     """(scores, ids) of at most k best rows per query, best first, that may reach the query's ``worst`` allowed score."""
-    best: list[tuple[list, list]] = [([], []) for _ in query_ids]
     if not len(query_ids) or not len(data_ids):
-        return best
+        return [([], []) for _ in query_ids]
+    # the best so far, best first, and how many they are
+    best_score, best_id = np.zeros((2, len(query_ids), k), np.int64)
+    held = np.zeros(len(query_ids), np.int64)
     worst = worst.copy()
     limit = np.empty(len(queries.centre))  # per query node: its queries' smallest kth score
 
@@ -147,19 +152,26 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
     def leaves(q: int, d: int) -> None:
         own_q = queries.order[queries.start[q] : queries.stop[q]]
         own_d = data.order[data.start[d] : data.stop[d]]
-        scores = _product(queries.points[own_q], data.points[own_d])
-        ids = data_ids[own_d]
-        for row, i in enumerate(own_q):
-            s = scores[row]
-            keep = np.flatnonzero((s >= worst[i]) & (ids != query_ids[i]))
-            if not len(keep):
-                continue
-            all_s = best[i][0] + [int(v) for v in s[keep]]
-            all_i = best[i][1] + ids[keep].tolist()
-            order = sorted(range(len(all_s)), key=lambda p: (-all_s[p], all_i[p]))[:k]
-            best[i] = ([all_s[p] for p in order], [all_i[p] for p in order])
-            if len(order) == k:
-                worst[i] = max(worst[i], best[i][0][-1])
+        scores, ids = _product(queries.points[own_q], data.points[own_d]), data_ids[own_d]
+        may = (scores >= worst[own_q][:, None]) & (ids[None, :] != query_ids[own_q][:, None])
+        some = np.flatnonzero(may.any(axis=1))
+        if not len(some):
+            return
+        own_q, may, scores = own_q[some], may[some], scores[some].astype(np.int64)
+        if len(own_d) > k:  # ties with the kth stay
+            kth = np.partition(np.where(may, scores, -LONGEST - 1), len(own_d) - k, axis=1)[:, len(own_d) - k]
+            may &= scores >= kth[:, None]
+        row, col = np.nonzero(may)
+        old_row, old = np.nonzero(np.arange(k) < held[own_q][:, None])
+        row, score, names = np.concatenate((old_row, row)), np.concatenate((best_score[own_q[old_row], old], scores[row, col])), np.concatenate((best_id[own_q[old_row], old], ids[col]))
+        order = np.lexsort((names, ~score, row))  # ~ turns the order round without an overflow
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, place, order = row[place < k], place[place < k], order[place < k]
+        best_score[own_q[row], place], best_id[own_q[row], place] = score[order], names[order]
+        held[own_q] = np.bincount(row, minlength=len(own_q))
+        full = own_q[held[own_q] == k]
+        worst[full] = np.maximum(worst[full], best_score[full, k - 1])
         refresh(q)
 
     def descend(q: int, d: int) -> None:
@@ -181,7 +193,7 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
                 todo += [(kid, d) for kid in q_kids]
 
     descend(0, 0)
-    return best
+    return [(best_score[i, :n].tolist(), best_id[i, :n].tolist()) for i, n in enumerate(held.tolist())]
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:

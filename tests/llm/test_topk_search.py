@@ -111,3 +111,15 @@ def test_tight_groups_are_pruned(monkeypatch):
         s = x @ q[row]
         want = sorted((-s[i], i) for i in range(4000) if i != row * 100)[:5]
         assert [(-a, b) for a, b in zip(scores, ids)] == want
+
+
+def test_points_without_groups_stay_in_large_nodes():
+    """Far from each other in many dimensions: a node per point would cost more than it can prune."""
+    x = np.random.default_rng(5).normal(size=(1000, 64)) * 256
+    tree = CoverTree(x)
+    assert len(tree.radius) < 1000 / 8
+    q = x[::50].round()
+    found = dual_search(CoverTree(q, 1), np.arange(0, 1000, 50), CoverTree(x.round()), np.arange(1000), np.full(20, -np.inf), 5)
+    for row, (scores, ids) in enumerate(found):
+        s = x.round() @ q[row]
+        assert list(zip([-v for v in scores], ids)) == sorted((-s[i], i) for i in range(1000) if i != row * 50)[:5]
