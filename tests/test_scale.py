@@ -194,3 +194,15 @@ def test_functions_are_stored_once(spark, tmp_path):
     for _ in range(2):
         write_functions(df, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_look_up_moves_no_rows_for_a_small_table(spark, monkeypatch):
+    from codestrata import scale
+
+    big = spark.createDataFrame([(i, "a" if i % 3 else f"t{i}") for i in range(300)], "k long, t string")
+    small = spark.createDataFrame([("a", 1), ("t3", 2), ("t9", 3)], "t string, v int")
+    got = lambda how: sorted(map(str, scale.look_up(big, small, ["t"], how, ["k"]).select("k", "t", "v").collect()))
+    joined = {how: got(how) for how in ("inner", "left")}
+    assert "BroadcastHashJoin" in scale.look_up(big, small, ["t"])._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(scale, "SMALL_ROWS", 2)
+    assert joined == {how: got(how) for how in joined}
