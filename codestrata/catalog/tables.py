@@ -20,7 +20,7 @@ from codestrata.sources.views import pooled, register_view, views
 def _(t: Tables) -> DataFrame:
     root = t.scratch("corpus")
     rows = t.spread("documents", "doc_id").select(F.col("source").alias("problem"), F.col("lang").alias("kind"), F.col("text").alias("value"))
-    rows.write.option("maxRecordsPerFile", 1).partitionBy("problem", "kind").text(root)
+    S.write_sources(rows, root, ["problem", "kind"])
     found = S.read_corpus(t.spark, root, "*.txt")
     return found.select("label", "problem", F.md5("code").alias("digest"))
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +17,7 @@ from codestrata.scale import first_per_key, stable_hash
 
 __all__ = [
     "read_corpus",
+    "write_sources",
     "load",
     "read_csv",
     "read_keyed_lines",
@@ -39,6 +47,44 @@ def read_corpus(spark: SparkSession, root: str, pattern: str = "*.cpp") -> DataF
     )
 
 
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{[\]^]""")
+
+
+def _folder(name: str, value: str | None) -> str:
+    """The folder of a value, named as ``partitionBy`` does."""
+    return f"{name}={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', value) if value else _NO_VALUE}"
+
+
+def write_sources(df: DataFrame, root: str, folders: list[str], text: str = "value") -> None:
+    """One file ``*.txt`` per row, below a folder per value of ``folders``: the text and a line end.
+
+    Spark's writer starts a process per file, and another for its checksum, to set their rights on a local or mounted file system; there the
+    tasks write the files themselves. Rows are in the order of all columns, so a task that runs again writes the same files. Folders of other
+    file systems are left to Spark's writer.
+    """
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in [*folders, text]])
+    if urlsplit(root).scheme not in ("", "file"):
+        rows.write.option("maxRecordsPerFile", 1).partitionBy(*folders).text(root)
+        return
+    base = "/" + root.removeprefix("file:").lstrip("/")
+
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in it:
+            columns = [c.to_pylist() for c in batch.columns]
+            for *values, body in zip(*columns):
+                folder = os.path.join(base, *map(_folder, folders, values))
+                os.makedirs(folder, exist_ok=True)
+                with open(os.path.join(folder, f"part-{part:05d}-{n:09d}.txt"), "wb") as f:
+                    f.write((body or "").encode() + b"\n")
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    os.makedirs(base)
+    rows.sortWithinPartitions(*rows.columns).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def load(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
     """Read csv, tsv, json, jsonl or parquet by file extension with an explicit schema."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()

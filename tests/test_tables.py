@@ -22,6 +22,16 @@ def test_read_corpus(spark, tmp_path):
     assert {r["code"] for r in got} == {"int a;\nint b;"}
 
 
+def test_write_sources(spark, tmp_path):
+    """The same folders and texts as Spark's writer makes, without a checksum file for each, which costs a process."""
+    rows = spark.createDataFrame([("a:b", "x y", "1\n2"), ("a:b", "x y", "1\n2"), ("c", None, "ü"), ("c", "", None), ("d%=[1]", "+", "")], "p string, q string, value string")
+    S.write_sources(rows.repartition(3), str(tmp_path / "own"), ["p", "q"])
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("p", "q").text(str(tmp_path / "spark"))
+    found = [sorted(map(tuple, S.read_corpus(spark, str(tmp_path / d), "*.txt").select("label", "problem", "code").collect())) for d in ("own", "spark")]
+    assert found[0] == found[1] and len(found[0]) == 5
+    assert not list((tmp_path / "own").rglob("*.crc"))
+
+
 def test_load_nested_problems(spark, tmp_path):
     rows = [
         {"index": "1", "tags": ["dp"], "solutions": [{"index": "1a", "code": "x"}, {"index": "1b", "code": "y"}], "contest_name": "Round 1"},
