@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.arrays import difficulty_class, is_labelled, multi_hot
-from codestrata.scale import hash_int, hash_rank, hash_running_sum, salted_join, stable_hash
+from codestrata.scale import HASH_DIGITS, _cell, hash_int, hash_rank, hash_running_sum, salted_join, stable_hash
 from codestrata.session import cut
 
 RARE = 7  # the fewest rows of which each of the default shares gets one
@@ -211,16 +211,33 @@ def suffix_duplicates(df: DataFrame, keys: list[str], name: str, order: str, ext
 # ---- pairs --------------------------------------------------------------------------------------
 
 
-def _positions(functions: DataFrame, fold: str) -> DataFrame:
+GROUP_ROWS = 100_000  # rows of a provenance group that are numbered in one piece
+
+
+def _positions(functions: DataFrame, fold: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every function gets a position in its fold such that functions of one provenance are neighbours.
 
-    ``start`` and ``g`` are the first position and the size of its provenance group, ``n`` the fold size.
+    ``start`` and ``g`` are the first position and the size of its provenance group, ``n`` the fold size. A group of more than ``group_rows``
+    rows is numbered in pieces by the first digits of its md5, as many as its size asks for; small groups, which are most, are one piece each.
     """
     prov = ["project", "file_name", "function_name"]
-    rows = functions.select(fold, "id", *prov).withColumn("__h", stable_hash("row", "id"))
-    groups = rows.groupBy(fold, *prov).agg(F.count(F.lit(1)).alias("g")).withColumn("__gh", stable_hash("group", *prov))
-    groups = hash_running_sum(groups, [fold], "__gh", prov, "g", "start", total="n").drop("__gh")
-    return hash_rank(rows, [fold, *prov], "__h", ["id"], out="r", per_key=groups).select(fold, "id", "r", "start", "g", "n")
+    keys = [fold, *prov]
+    rows = functions.select(*keys, "id")
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("g")).withColumn("__gh", stable_hash("group", *prov))
+    groups = cut(hash_running_sum(groups, [fold], "__gh", prov, "g", "start", total="n").drop("__gh"))
+    pieces = F.ceil(F.log(16.0, F.col("g") / group_rows) - 1e-9)
+    groups = groups.select(_cell(keys, None), "start", "g", "n", F.when(F.col("g") > group_rows, F.greatest(pieces, F.lit(1))).otherwise(0).cast("int").alias("__digits"))
+    d = rows.withColumn("__cell", _cell(keys, None)).join(groups, "__cell").drop("__cell").withColumn("__h", stable_hash("row", "id"))
+    d = d.withColumn("__bucket", F.expr("substring(__h, 1, __digits)"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__h", "id")
+    d = d.withColumn("r", F.row_number().over(inside))
+    if not groups.filter("__digits > 0").isEmpty():
+        sizes = d.filter("__digits > 0").groupBy(*keys, "__bucket").agg(F.max("r").alias("__n"))
+        w = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(_cell(keys, "__bucket"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+        d = d.withColumn("__cell", _cell(keys, "__bucket")).join(offsets, "__cell", "left")
+        d = d.withColumn("r", F.col("r") + F.coalesce("__before", F.lit(0)))
+    return d.select(fold, "id", F.col("r").cast("long").alias("r"), "start", "g", "n")
 
 
 def epoch_pairs(functions: DataFrame, epochs: int = 25, fold: str = "fold", sides: str = "both") -> DataFrame:
@@ -259,8 +276,18 @@ def negative_pairs(functions: DataFrame, epochs: int = 1, fold: str = "fold") ->
 
 
 def batches(pairs: DataFrame, size: int, fold: str = "fold") -> DataFrame:
-    """Batch numbers per fold and epoch; a batch takes ``size / 2`` functions with both of their pairs."""
-    ids = pairs.select(fold, "epoch", "id_a").distinct()
-    ids = hash_rank(ids.withColumn("__h", stable_hash("batch", "epoch", "id_a")), [fold, "epoch"], "__h", ["id_a"], out="__rn")
-    ids = ids.withColumn("batch", F.floor((F.col("__rn") - 1) / (size // 2))).drop("__h", "__rn")
-    return pairs.join(ids, [fold, "epoch", "id_a"])
+    """Batch numbers per fold and epoch; a batch takes ``size / 2`` functions with both of their pairs.
+
+    All pairs of a function are in one md5 bucket, where a dense rank numbers the functions; the highest rank of a bucket is its number of
+    functions, so the pairs are made and shuffled once.
+    """
+    keys = [fold, "epoch", "__bucket"]
+    d = pairs.withColumn("__h", stable_hash("batch", "epoch", "id_a")).withColumn("__bucket", F.substring("__h", 1, HASH_DIGITS))
+    inside = Window.partitionBy(*keys).orderBy("__h", "id_a")
+    ranked = cut(d.withColumn("__rn", F.dense_rank().over(inside)).drop("__h"))
+    sizes = ranked.groupBy(*keys).agg(F.max("__rn").alias("__n"))
+    before = Window.partitionBy(fold, "epoch").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_cell(keys, None), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    number = F.floor((F.col("__before") + F.col("__rn") - 1) / (size // 2))
+    placed = ranked.withColumn("__cell", _cell(keys, None)).join(offsets, "__cell").withColumn("batch", number)
+    return placed.select(fold, "epoch", "id_a", *[c for c in pairs.columns if c not in (fold, "epoch", "id_a")], "batch")

@@ -206,3 +206,35 @@ def test_look_up_moves_no_rows_for_a_small_table(spark, monkeypatch):
     assert "BroadcastHashJoin" in scale.look_up(big, small, ["t"])._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(scale, "SMALL_ROWS", 2)
     assert joined == {how: got(how) for how in joined}
+
+
+def test_batches_make_their_pairs_once(spark):
+    from codestrata.operators.split import batches
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for b in it:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [("t" if i % 3 else None, i % 2, i // 2, i, y) for i in range(400) for y in (1, -1)]
+    pairs = spark.createDataFrame(rows, "fold string, epoch int, id_a long, id_b long, y int")
+    got = batches(pairs.mapInArrow(counted, pairs.schema), 10).collect()
+    assert made.value == len(rows) == len(got)
+    ids = {}
+    for f, e, a, _, _ in rows:
+        ids.setdefault((f, e), set()).add((hashlib.md5(f"batch:{e}:{a}".encode()).hexdigest(), a))
+    want = {(*k, a): i // 5 for k, v in ids.items() for i, (_, a) in enumerate(sorted(v))}
+    assert all(r["batch"] == want[r["fold"], r["epoch"], r["id_a"]] for r in got)
+
+
+def test_positions_of_groups_in_pieces(spark):
+    from codestrata.operators.split import _positions
+
+    rows = [(i, None if i % 5 == 0 else "p", "f", f"n{0 if i % 7 else 1}", "train" if i % 2 else "test") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, project string, file_name string, function_name string, fold string")
+    whole, pieces = (sorted(map(tuple, _positions(df, "fold", n).collect())) for n in (1000, 9))
+    assert whole == pieces and len(whole) == 600
+    at = {(r[0], r[3] + r[2] - 1) for r in whole}
+    assert at == {(f, i) for f in ("train", "test") for i in range(300)}
