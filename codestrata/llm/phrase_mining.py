@@ -119,14 +119,17 @@ def _phrase_hashes(langs: list[bytes], phrases: list[bytes]) -> np.ndarray:
 
 
 def known_phrases(frequent: DataFrame, count: int) -> Known:
-    """The filter over (lang, phrase); tasks set the bits of a segment each, and only the segments travel."""
+    """The filter over (lang, phrase, hash), the hash of rows without a phrase; tasks set the bits of a segment each, and only the segments travel."""
     if not count:
         return NOTHING
     size = min(FILTER_BITS, max(SEGMENT, 1 << math.ceil(math.log2(count * BITS_PER_PHRASE))))
 
     def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, 8192):
-            at = np.unique(_bits(_phrase_hashes(utf8(b.column(0)), utf8(b.column(1))), size))
+            hashes = b.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            named = b.filter(b.column(1).is_valid())
+            own = _phrase_hashes(utf8(named.column(0)), utf8(named.column(1)))
+            at = np.unique(_bits(np.concatenate((own, hashes[b.column(1).is_null().to_numpy(zero_copy_only=False)])), size))
             yield pa.record_batch([pa.array((at // SEGMENT).astype(np.int32)), pa.array((at % SEGMENT).astype(np.int32))], names=["segment", "place"])
 
     def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,8 @@ def known_phrases(frequent: DataFrame, count: int) -> Known:
         packed = [np.packbits(bits, bitorder="little").tobytes() for bits in segments.values()]
         yield pa.record_batch([pa.array(list(segments), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "bits"])
 
-    set_bits = frequent.select("lang", "phrase").mapInArrow(places, "segment int, place int")
+    hashes = F.col("hash") if "hash" in frequent.columns else F.lit(None).cast("long").alias("hash")
+    set_bits = frequent.select("lang", "phrase", hashes).mapInArrow(places, "segment int, place int")
     filled = set_bits.repartitionById(size // SEGMENT, "segment").mapInArrow(fill, "segment int, bits binary")
     bits = np.zeros(size // 8, np.uint8)
     for row in filled.collect():  # at most the bound of a filter in all
@@ -147,18 +151,19 @@ def known_phrases(frequent: DataFrame, count: int) -> Known:
     return Known(size, bits)
 
 
-def _counted(lang: bytes, names: list[bytes], ids: np.ndarray, passes: list[Known], max_words: int, last: bool = False) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, int]]:
-    """(phrases, counts, proposed, words) of what this pass counts in a run of word numbers; number 0 is the gap.
+def _counted(lang: bytes, names: list[bytes], ids: np.ndarray, passes: list[Known], max_words: int, last: bool = False, by_hash: bool = False, told: Known | None = None) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(phrases, hashes, counts, proposed, words) of what this pass counts in a run of word numbers; number 0 is the gap.
 
     ``passes`` are the filters so far, the last one that of this pass. A phrase that an earlier pass has counted is left out.
-    In a ``last`` pass what no pass has counted is proposed too.
+    In a ``last`` pass what no pass has counted is proposed too. ``by_hash`` leaves out the texts of the border, and ``told`` has the border phrases
+    of the first pass that are counted again, with their texts.
     """
     words = np.concatenate((np.zeros(1, np.uint64), _word_hashes(lang, names[1:])))
     within = [k.has(words) for k in passes]  # which phrases of the present length each filter holds, their parts with them
     for w in within:
         w[0] = False
     if len(passes) == 1:  # later passes have all words behind them
-        yield names[1:], np.bincount(ids, minlength=len(names))[1:], within[0][1:], 1
+        yield names[1:], words[1:], np.bincount(ids, minlength=len(names))[1:], within[0][1:], 1
     texts, hashes, phrase = names, words, ids  # of the present length; ``phrase`` numbers the one that starts at each place
     here = np.flatnonzero(ids)
     for k in range(2, max_words + 1):
@@ -172,21 +177,28 @@ def _counted(lang: bytes, names: list[bytes], ids: np.ndarray, passes: list[Know
         starts, ends, final = phrase[here[first]], phrase[here[first] + 1], behind[first]
         reached = [w[starts] & w[ends] for w in within]  # by each pass: these it has counted
         new = ~np.any(reached[:-1], axis=0) if len(passes) > 1 else np.ones(len(code), bool)
-        texts = [texts[a] + b" " + names[b] for a, b in zip(starts.tolist(), final.tolist())]
         hashes = _longer(hashes[starts], words[final])
         within = [f.has(hashes) & r for f, r in zip(passes, reached)]
         if last:
             within[-1] |= new
-        yield list(compress(texts, new.tolist())), counts[new], within[-1][new], k
+        if by_hash:
+            texts = [texts[a] + b" " + names[b] if p else b"" for a, b, p in zip(starts.tolist(), final.tolist(), within[-1].tolist())]
+        else:
+            texts = [texts[a] + b" " + names[b] for a, b in zip(starts.tolist(), final.tolist())]
+        proposes = within[-1]
+        if told is not None:
+            again = told.has(hashes) & reached[0] & ~within[0]
+            new, proposes = new | again, proposes | again
+        yield list(compress(texts, new.tolist())), hashes[new], counts[new], proposes[new], k
         phrase = np.zeros(len(ids) + 1, np.int64)
         phrase[here] = back
 
 
 def _near(ids: np.ndarray, words: np.ndarray, failed: Known, max_words: int) -> np.ndarray:
-    """The run cut down to where phrases of at most ``max_words`` words around a failure can lie, with gaps between."""
+    """The run cut down to where failures and phrases of at most ``max_words`` words around them can lie, with gaps between."""
     near = np.zeros(len(ids) + 1, np.int32)
     here, hashes = np.flatnonzero(ids), words[ids[ids > 0]]
-    for k in range(1, max_words):
+    for k in range(1, max_words + 1):
         hit = here[failed.has(hashes)]
         np.add.at(near, np.maximum(hit - (max_words - k), 0), 1)
         np.add.at(near, np.minimum(hit + max_words, len(ids)), -1)
@@ -213,13 +225,15 @@ class _Numbers(dict):
         return n
 
 
-COUNTS = "lang string, phrase string, words int, proposed boolean, n long"
+COUNTS = "lang string, phrase string, hash long, words int, proposed boolean, n long"
 
 
-def _pass(docs: DataFrame, passes: list[Known], failed: Known | None, max_words: int, last: bool = False) -> DataFrame:
-    """(lang, phrase, words, proposed, n): exact counts of what this pass counts; ``words`` 0 is the number of all words of a language.
+def _pass(docs: DataFrame, passes: list[Known], failed: Known | None, max_words: int, last: bool = False, by_hash: bool = False, told: bool = False) -> DataFrame:
+    """(lang, phrase, hash, words, proposed, n): exact counts of what this pass counts; ``words`` 0 is the number of all words of a language.
 
     ``failed`` are the failures of the pass before, None in the first pass, which counts all words. A ``last`` pass leaves no failures.
+    A pass ``by_hash`` counts border phrases of two words and more by their hashes only, so they have no text; the next one has the failures
+    ``told``: it counts those whose hash is in ``failed`` again, with their texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast((passes, failed))  # filters of bounded size, one per pass and one more
 
@@ -234,11 +248,15 @@ def _pass(docs: DataFrame, passes: list[Known], failed: Known | None, max_words:
                 passes, failed = shared.value
                 if failed is not None:
                     ids = _near(ids, np.concatenate((np.zeros(1, np.uint64), _word_hashes(lang, numbers.names[1:]))), failed, max_words)
-                found = _counted(lang, numbers.names, ids, passes, max_words, last)
+                found = _counted(lang, numbers.names, ids, passes, max_words, last, by_hash, failed if told else None)
                 if failed is None:
-                    yield _rows(shown, [None], np.array([np.count_nonzero(ids)]), np.array([True]), 0)
-                for phrases, n, proposed, k in found:
-                    yield _rows(shown, phrases, n, proposed, k)
+                    yield _rows(shown, [None], None, np.array([np.count_nonzero(ids)]), np.array([True]), 0)
+                for phrases, hashes, n, proposed, k in found:
+                    if by_hash and k > 1:
+                        border = ~proposed
+                        yield _rows(shown, None, hashes[border], n[border], proposed[border], k)
+                        phrases, n, proposed = list(compress(phrases, proposed.tolist())), n[proposed], proposed[proposed]
+                    yield _rows(shown, phrases, None, n, proposed, k)
             held.clear()
 
         for b in batches_of(it, 256):
@@ -254,34 +272,41 @@ def _pass(docs: DataFrame, passes: list[Known], failed: Known | None, max_words:
         yield from flushed()
 
     counted = docs.mapInArrow(count, COUNTS)
-    return counted.groupBy("lang", "phrase", "words", "proposed").agg(F.sum("n").alias("n"))
+    return counted.groupBy("lang", "phrase", "hash", "words", "proposed").agg(F.sum("n").alias("n"))
 
 
-def _rows(lang: str, phrases: list, n: np.ndarray, proposed: np.ndarray, k: int) -> pa.RecordBatch:
-    size = len(phrases)
-    columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int32))), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(size, k, np.int32)), pa.array(proposed), pa.array(n, pa.int64())]
-    return pa.record_batch(columns, names=["lang", "phrase", "words", "proposed", "n"])
+def _rows(lang: str, phrases: list | None, hashes: np.ndarray | None, n: np.ndarray, proposed: np.ndarray, k: int) -> pa.RecordBatch:
+    size = len(n)
+    texts = pa.nulls(size, pa.string()) if phrases is None else pa.array(phrases, pa.binary()).cast(pa.string())
+    numbers = pa.nulls(size, pa.int64()) if hashes is None else pa.array(hashes.view(np.int64))
+    columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int32))), texts, numbers, pa.array(np.full(size, k, np.int32)), pa.array(proposed), pa.array(n, pa.int64())]
+    return pa.record_batch(columns, names=["lang", "phrase", "hash", "words", "proposed", "n"])
 
 
-def _closed(docs: DataFrame, start: Known, min_count: int, max_words: int) -> DataFrame:
+def _closed(docs: DataFrame, start: Known, min_count: int, max_words: int, by_hash: bool = False) -> DataFrame:
     """Frequent phrases and the word numbers (``words`` 0), by passes until no border phrase fails.
 
     After pass i no phrase of i words is missing, so there are at most ``max_words`` passes. Failures at few places have one pass
     more: a place lies in 14 phrases of 2 to 5 words, so this pass counts less than the first one.
+    ``by_hash``: the first pass, whose border is by far the largest table, shuffles it as hashes. A hash that reaches the support is only a
+    hint (texts may share one): the second pass counts these phrases as texts, so all counts are exact.
     """
-    counted = cut(_pass(docs, [start], None, max_words).where((F.col("n") >= min_count) | (F.col("words") == 0)))
-    passes, found, last = [start], counted, False
+    counted = cut(_pass(docs, [start], None, max_words, *([False, True] if by_hash else [])).where((F.col("n") >= min_count) | (F.col("words") == 0)))
+    passes, found, last, untold = [start], counted.where("words = 0 OR phrase IS NOT NULL"), False, by_hash
     total = counted.where("words = 0").agg(F.sum("n")).first()[0] or 0
     while True:
-        failed = counted.where(~F.col("proposed") & F.col("words").between(1, max_words - 1))
+        failed = counted.where(~F.col("proposed") & (F.col("words").between(1, max_words - 1) | F.col("hash").isNotNull()))
         missed, places = failed.agg(F.count("*"), F.sum("n")).first()
         if last or not missed:
             return found
         last = places * FEW <= total
         frequent = found.where("words > 0")
+        if untold:
+            frequent = frequent.unionByName(failed.where("phrase IS NULL"))
         passes.append(known_phrases(frequent, frequent.count()))
         failures = known_phrases(failed, missed)
-        counted = cut(_pass(docs, passes, failures, max_words, *([last] if last else [])).where(F.col("n") >= min_count))
+        counted = cut(_pass(docs, passes, failures, max_words, last, False, untold).where(F.col("n") >= min_count))
+        untold = False
         found = found.unionByName(counted)
 
 
@@ -295,7 +320,7 @@ def frequent_phrases(docs: DataFrame, id_col: str, lang_col: str, text_col: str,
     lowered = max(2, min_count // (2 * sample_of))  # half of what is expected at the support itself
     proposed = _closed(rows.where("sampled").select("lang", "text"), NOTHING, lowered, max_words).where("words > 0")
     start = known_phrases(proposed, proposed.count())
-    return _closed(rows.select("lang", "text"), start, min_count, max_words).select("lang", "phrase", "words", "n")
+    return _closed(rows.select("lang", "text"), start, min_count, max_words, True).select("lang", "phrase", "words", "n")
 
 
 def collocations(

@@ -136,3 +136,15 @@ def test_few_failures_take_one_pass(spark, monkeypatch):
     monkeypatch.setattr(phrase_mining, "_pass", lambda d, filters, *more: passes.append(len(filters)) or run(d, filters, *more))
     assert got(phrase_mining._closed(docs, start, 12, 5).where("words > 0").select("phrase", "n")) == frequent
     assert passes == [1, 2]
+
+
+def test_a_border_counted_by_hash_gives_exact_texts(spark):
+    """Failures of every length, the longest too, have their texts and counts from the pass after; the border itself has no texts."""
+    rows = [(i, "en", "a b c d e f") for i in range(30)] + [(100 + i, "en", f"a b x{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("lang", "text")
+    frequent = sorted((" ".join(p), f) for (_, p), f in plain_counts(rows)[0].items() if f >= 30)
+    proposed = [p for p, _ in frequent if len(p.split()) < 5 and p != "c d"]
+    start = phrase_mining.known_phrases(spark.createDataFrame([("en", p) for p in proposed], "lang string, phrase string"), len(proposed))
+    border = phrase_mining._pass(docs, [start], None, 5, False, True).where("words > 1 AND NOT proposed")
+    assert border.count() and not border.where("phrase IS NOT NULL OR hash IS NULL").count()
+    assert got(phrase_mining._closed(docs, start, 30, 5, True).where("words > 0").select("phrase", "n")) == frequent
