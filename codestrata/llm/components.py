@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.llm.common import pieces
 from codestrata.session import cut
 
+EDGES = 1 << 20  # edges, of two longs each, that one task may hold: 16 MB whatever the corpus
+
 
 def smallest_linked(linked: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix: the smallest row number reachable from every row."""
@@ -62,9 +65,12 @@ def _thinned(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(stars, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node reachable. ``edges`` has longs a and b.
 
+    Every task first replaces its edges by stars, and as long as fewer tasks can hold what is left, at ``per_task`` edges each, the
+    stars are gathered in so many without a shuffle. If one holds them all nothing remains to be done; more go through rounds.
+
     Every round hangs the larger neighbours of a node under its smallest neighbour, then the smaller
     ones; the edges left when nothing changes are stars. Rounds grow with the logarithm of the
     number of nodes. Minima are combined before the shuffle and joined back, so the centre of a large
@@ -87,9 +93,16 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38)"))).first())
 
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    now = cut(_thinned(ordered.distinct()))
-    seen = state(now)
+    now = cut(_thinned(ordered))
+    seen, tasks = state(now), None
     while seen[0]:
+        few = pieces(seen[0], per_task)
+        if tasks is None or few < tasks:
+            now, tasks = cut(_thinned(now.coalesce(few))), few
+            if few == 1:
+                break
+            seen = state(now)
+            continue
         now = cut(star(star(now, True), False))
         was, seen = seen, state(now)
         if was == seen:

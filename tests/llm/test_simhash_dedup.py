@@ -127,6 +127,18 @@ def test_components_of_a_long_chain(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    from codestrata.llm import components as module
+
+    df = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long").repartition(16)
+    written = []
+    monkeypatch.setattr(module, "cut", lambda d, real=module.cut: written.append(1) or real(d))
+    want = {i: 0 for i in range(501)}
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want
+    assert len(written) == 2  # every round is a chain of shuffles and one more table
+    assert {r["node"]: r["root"] for r in components(df, per_task=40).collect()} == want
+
+
 def test_few_words():
     assert fingerprint(b"") == 0
     assert fingerprint(b"Two words") == xxhash.xxh64_intdigest(b"two words", seed=42)
