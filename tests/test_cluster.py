@@ -170,3 +170,57 @@ def test_grid_cells_work_for_both_sides(spark, monkeypatch):
     cells = C._grid(rows, "index").collect()
     assert len(cells) == 60 * 5 and len({(r["r"], r["c"]) for r in cells}) == 15
     assert all((r["c"] if r["side"] else r["r"]) == r["index"] % 5 for r in cells)
+
+
+def merged_by_all_pairs(x):
+    """Rounds of mutual nearest neighbours from the whole matrix of products."""
+    sums, sizes, ids, level, out = x.copy(), np.ones(len(x)), np.arange(len(x)), 0, []
+    while len(ids) > 1:
+        level += 1
+        mean = sums / sizes[:, None]
+        sim = np.round(mean @ mean.T, C.DIGITS)
+        np.fill_diagonal(sim, -np.inf)
+        best = sim.argmax(1)
+        a = np.flatnonzero((best[best] == np.arange(len(ids))) & (np.arange(len(ids)) < best))
+        out += [(int(ids[i]), int(ids[best[i]]), round(1.0 - sim[i, best[i]], 7), level) for i in a]
+        sums[a] += sums[best[a]]
+        sizes[a] += sizes[best[a]]
+        rest = np.delete(np.arange(len(ids)), best[a])
+        sums, sizes, ids = sums[rest], sizes[rest], ids[rest]
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 150])
+def test_merges_need_few_products(monkeypatch, copies):
+    """The merges of all pairs, but a cluster is compared with all others only where its list no longer tells the nearest."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 12)) + 0.8
+    x[:copies] = x[rng.integers(copies, len(x), copies)]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    compared = []
+    monkeypatch.setattr(C, "_best", lambda qid, q, cid, c, k, real=C._best: compared.append(len(qid) * len(cid)) or real(qid, q, cid, c, k))
+    got = C._mutual_merges(x.copy(), np.ones(len(x)), np.arange(len(x)))
+    want = merged_by_all_pairs(x)
+    assert [(int(a), int(b), round(h, 7), level) for a, b, h, level in got] == want
+    left = len(x) - np.array([0, *np.cumsum(np.bincount([w[3] for w in want])[1:-1])])
+    assert 0 < sum(compared) < 0.8 * (left.astype(float) ** 2).sum()
+
+
+def test_spectral_in_one_task_and_over_a_grid(spark):
+    """The same groups from the whole matrix, from products in one task and from products over stripes; few tables stay behind."""
+    rng = np.random.default_rng(4)
+    rows = [(p, i, [float(v) for v in rng.normal(0, 0.4, 3) + 3 * np.eye(3)[i % 3] * (i % 7 > 1)]) for p in ("p", "q") for i in range(400)]
+    pts = spark.createDataFrame(rows, "problem string, index long, x0 array<double>").withColumn("x1", F.slice("x0", 1, 2))
+    ks = pts.select("problem").distinct().withColumn("k", F.lit(4))
+    rows = lambda df: sorted((r["problem"], r["index"], r["cluster"]) for r in df.collect())
+    want = rows(C.multiview_spectral(pts, ks))
+    assert rows(C.multiview_spectral(pts, ks, block=100)) == want
+    assert rows(C.multiview_spectral(pts.repartition(5), ks, block=100, whole=150)) == want
+
+
+def test_kmeans_of_a_large_problem_takes_few_jobs(spark, monkeypatch):
+    """5,000 rows hold few numbers, so that their rounds need no jobs."""
+    pts = noise(spark, 5000, seed=2)
+    ks = pts.select("problem").distinct().withColumn("k", F.lit(3))
+    monkeypatch.setattr(C, "_large_kmeans", lambda *a: pytest.fail("rounds of jobs"))
+    assert C.kmeans(pts, ks).count() == 5000
