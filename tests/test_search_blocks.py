@@ -1,6 +1,7 @@
 """The ranking of a block and the grid of stripes against a full sort."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,37 @@ def test_rows_of_the_grid_are_copied_by_stripes(spark, monkeypatch):
     assert grid._jdf.queryExecution().logical().toString().count("explode(sequence(0, 3") == 2
     got = S.nearest(rows, rows, 5, max_bytes=0, block=8).orderBy("query_id", "rank").select("cand_id", F.col("score")).collect()
     assert ([r[0] for r in got], [r[1] for r in got]) == plain(x, x, 5)
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.01, 100.0])
+def test_later_blocks_rank_only_what_reaches_the_kth(spark, monkeypatch, scale):
+    """Queries in blocks of 16 meet 600 candidates 100 at a time, with ties; later blocks rank few scores, and nothing is lost."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(600, 5)), 2) * scale
+    x[300:350] = x[:50]
+    monkeypatch.setattr(S, "BLOCK", 100)
+    assert len(S._reaching(x * 1e30, x * 1e30, np.full(600, -1e70))[0]) == 600 * 600  # beyond single precision
+    least = np.sort(np.round(x @ x[:100].T, S.SCORE_DIGITS), axis=1)[:, -4]
+    row, col = S._reaching(x, x[100:], least - 2.0 * 10.0**-S.SCORE_DIGITS)
+    assert set(zip(*np.nonzero(np.round(x @ x[100:].T, S.SCORE_DIGITS) >= least[:, None]))) <= set(zip(row, col))
+    ranked = []
+    monkeypatch.setattr(S, "_floor", lambda s, k, real=S._floor: ranked.append(len(s)) or real(s, k))
+
+    class Rows:  # stands in for a table: the grid hands its two sides to one task
+        def count(self):
+            return 1
+
+        def select(self, *columns):
+            return self
+
+        groupBy = cogroup = select
+
+        def applyInPandas(self, run, schema):
+            own = pd.DataFrame({"id": np.arange(600), "x": list(x)})
+            return run(own, own)
+
+    found = S._grid(Rows(), Rows(), 4, 16)
+    found = found.sort_values(["query_id", "score", "cand_id"], ascending=[True, False, True])
+    top, scores = plain(x, x, 4)
+    assert found["cand_id"].tolist() == top and np.allclose(found["score"], scores, rtol=1e-12)
+    assert sum(ranked) == 600  # the first block of candidates only
