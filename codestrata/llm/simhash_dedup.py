@@ -188,14 +188,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other. Repeated rows share a component; null ids do not count as smallest unless a component has
     no other, and then its ``component_id`` is null. No rows give no rows.
     """
+    return simhash_roots(docs, id_col, text_col, shingle, radius).select("id", "mark", "fp", "component_id")
+
+
+def simhash_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``simhash_components`` with the ``root`` of every component: one of its fingerprints."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ids = cut(fingerprints(texts, "text", "fp", shingle).select("id", F.xxhash64("text").alias("mark"), "fp"))
     points = cut(ids.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(linked_fingerprints(points, radius)).withColumnRenamed("node", "fp")
     roots = points.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_point = roots.join(named, "root").select("fp", "component_id")
-    return ids.join(by_point, "fp").select("id", "mark", "fp", "component_id")
+    by_point = roots.join(named, "root").select("fp", "root", "component_id")
+    return ids.join(by_point, "fp").select("id", "mark", "fp", "root", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

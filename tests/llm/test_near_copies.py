@@ -94,3 +94,24 @@ def test_stage_of_the_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = set(plain_components([(r["doc_id"], r["text"]) for r in docs.collect()]).values())
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()} == want
+
+
+def test_stage_links_close_fingerprints_too(spark):
+    """Texts that SimHash links below a Jaccard similarity of 0.8 stay once, with all that either of them is linked to."""
+    from codestrata.llm.simhash_dedup import RADIUS, fingerprint
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    apart = lambda a, b: (fingerprint(a.encode()) ^ fingerprint(b.encode())).bit_count()
+    alike = lambda a, b: similar(shingles(a.encode()).tobytes(), shingles(b.encode()).tobytes())
+    while True:  # one sentence over and over outweighs the words that differ
+        often = " ".join(rng.choices(words, k=6))
+        a, b = (" ".join([often] * 60 + rng.choices(words, k=20)) for _ in range(2))
+        if apart(a, b) <= RADIUS and not alike(a, b):
+            break
+    c = b + " " + b.split()[-1]  # alike b
+    assert alike(b, c) and not alike(a, c)
+    rows = [(3, a), (5, b), (4, c), (4, "another text of the same id"), (7, "a text of its own"), (None, b), (8, None), (9, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(3, a), (4, "another text of the same id"), (7, "a text of its own"), (8, None)], key=lambda r: r[0])
