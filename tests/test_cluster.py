@@ -224,3 +224,21 @@ def test_kmeans_of_a_large_problem_takes_few_jobs(spark, monkeypatch):
     ks = pts.select("problem").distinct().withColumn("k", F.lit(3))
     monkeypatch.setattr(C, "_large_kmeans", lambda *a: pytest.fail("rounds of jobs"))
     assert C.kmeans(pts, ks).count() == 5000
+
+
+def test_single_precision_gives_way_where_it_stalls(monkeypatch):
+    """Clear groups, whose leading eigenvalues are alike: residuals that single precision cannot bring down end it, and the last products are double."""
+    rng = np.random.default_rng(4)
+    x = np.array([rng.normal(0, 0.4, 3) + 3 * np.eye(3)[i % 3] * (i % 7 > 1) for i in range(400)])
+    kinds, offs = [], []
+    monkeypatch.setattr(C, "_affinity_times", lambda *a, real=C._affinity_times, **b: kinds.append(b.get("kind")) or real(*a, **b))
+    monkeypatch.setattr(C, "_projection", lambda *a, real=C._projection: (lambda found: offs.append(found[1]) or found)(real(*a)))
+    vec, degree = C._iterated([x, x[:, :2]], rng.integers(-(2**62), 2**62, 400), 4, 1.0)
+    assert len(offs) < 12 and offs[-1] <= C.RESIDUAL and kinds[2] is np.float32 and kinds[-1] is np.float64
+    total, roots = 0.0, []
+    for view in (x, x[:, :2]):
+        a = C._affinity(view, view, 1.0)
+        roots.append(np.sqrt(a.sum(1)))
+        total = total + a / roots[-1][:, None] / roots[-1][None, :] / 2
+    value, want = np.linalg.eigh(total)
+    assert np.allclose(np.abs(vec.T @ total @ vec), np.diag(value[::-1][:4]), atol=1e-6) and np.allclose(degree, np.mean(roots, axis=0))
